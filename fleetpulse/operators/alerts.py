@@ -87,25 +87,19 @@ def _follow(seconds: np.ndarray, start: int, cooldown: int) -> Iterator[int]:
         at = int(following[at])
 
 
-def _exit_waits(seconds: np.ndarray, begin: int, length: int, cooldown: int) -> list[int]:
-    """For each wait at the start of a chunk (0..cooldown seconds), the wait left at its end."""
+def _exit_waits(seconds: np.ndarray, end: int, cooldown: int, heads: int) -> list[int]:
+    """Wait left at `end` if the first alert that may fire is the one at position 0, 1, .. heads - 1."""
     seconds = np.asarray(seconds, dtype=np.int64)
     following = np.searchsorted(seconds, seconds + cooldown)
-    starts = np.searchsorted(seconds, begin + np.arange(cooldown + 1))
-    left: dict[int, int] = {len(seconds): 0}
-    for start in np.unique(starts)[::-1]:
-        path, at = [], int(start)
-        while at not in left:
+    left: dict[int, int] = {}
+    for head in reversed(range(heads)):
+        path, at = [head], int(following[head])
+        while at < len(seconds) and at not in left:
             path.append(at)
-            step = int(following[at])
-            if step == len(seconds):
-                left[at] = max(0, int(seconds[at]) + cooldown - begin - length)
-                break
-            at = step
-        for earlier in path:
-            left[earlier] = left[at]
-    waits = [left[int(s)] for s in starts]
-    return [w if s < len(seconds) else max(0, e - length) for e, (s, w) in enumerate(zip(starts, waits))]
+            at = int(following[at])
+        wait = left[at] if at in left else max(0, int(seconds[path[-1]]) + cooldown - end)
+        left.update(dict.fromkeys(path, wait))
+    return [left[head] for head in range(heads)]
 
 
 def apply_cooldown(
@@ -117,9 +111,10 @@ def apply_cooldown(
 
     The choice is sequential, yet no task sees a whole (host, rule): alerts are reduced to one per
     second, then cut into days, each at most 86,400 entries. What a day does to the ones after it is
-    fully described by the wait it leaves for each wait it may start with (0..cooldown), a list of 61
-    numbers. Those lists are chained per (host, rule), one entry per day, and every day is then worked
-    out on its own from the wait it really starts with.
+    fully described by the wait it leaves for each alert that may be its first to fire; only alerts
+    within `cooldown` of its start and the one after them qualify. Those short lists are chained per
+    (host, rule), one entry per day, and every day is then worked out on its own from the wait it
+    really starts with.
     """
     length = max(chunk_seconds, cooldown)
     payload = [c for c in alerts.columns if c not in ("host", "rule", "ts")]
@@ -133,8 +128,9 @@ def apply_cooldown(
     )
 
     @F.pandas_udf("array<bigint>")
-    def exit_waits(seconds: pd.Series, chunk: pd.Series) -> pd.Series:
-        return pd.Series([_exit_waits(s, c * length, length, cooldown) for s, c in zip(seconds, chunk)])
+    def exit_waits(seconds: pd.Series, chunk: pd.Series, heads: pd.Series) -> pd.Series:
+        rows = zip(seconds, chunk, heads)
+        return pd.Series([_exit_waits(s, (c + 1) * length, cooldown, h) for s, c, h in rows])
 
     @F.pandas_udf("array<int>")
     def firing(seconds: pd.Series, chunk: pd.Series, wait: pd.Series) -> pd.Series:
@@ -144,7 +140,16 @@ def apply_cooldown(
 
         return pd.Series([positions(*row) for row in zip(seconds, chunk, wait)])
 
-    links = chunks.select("host", "rule", "chunk", exit_waits("seconds", "chunk").alias("exits"))
+    begin = F.col("chunk") * length
+    early = F.size(F.filter("seconds", lambda second: second <= begin + cooldown))
+    heads = F.least(early + 1, F.size("seconds"))
+    links = chunks.select(
+        "host",
+        "rule",
+        "chunk",
+        F.slice("seconds", F.lit(1), heads).alias("heads"),
+        exit_waits("seconds", "chunk", heads).alias("exits"),
+    )
     nothing = F.array().cast("array<struct<chunk:bigint,wait:bigint>>")
     start = F.struct(
         F.lit(-1).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("left"), nothing.alias("waits")
@@ -152,8 +157,10 @@ def apply_cooldown(
 
     def step(state: Column, link: Column) -> Column:
         first = F.when(link["chunk"] == 0, F.lit(cooldown)).otherwise(F.lit(0)).cast("bigint")
-        wait = F.when(link["chunk"] == state["chunk"] + 1, F.greatest(state["left"], first)).otherwise(first)
-        left = F.element_at(link["exits"], (wait + 1).cast("int"))
+        carried = F.when(link["chunk"] == state["chunk"] + 1, state["left"]).otherwise(F.lit(0).cast("bigint"))
+        wait = F.greatest(first, carried)
+        blocked = F.size(F.filter(link["heads"], lambda second: second < link["chunk"] * length + wait))
+        left = F.coalesce(F.get(link["exits"], blocked), F.greatest(wait - length, F.lit(0)))
         entry = F.struct(link["chunk"].alias("chunk"), wait.alias("wait"))
         return F.struct(
             link["chunk"].alias("chunk"), left.alias("left"), F.array_append(state["waits"], entry).alias("waits")
@@ -161,7 +168,7 @@ def apply_cooldown(
 
     waits = (
         links.groupBy("host", "rule")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", "exits"))).alias("links"))
+        .agg(F.array_sort(F.collect_list(F.struct("chunk", "heads", "exits"))).alias("links"))
         .select("host", "rule", F.inline(F.aggregate("links", start, step)["waits"]))
     )
     fired = chunks.join(waits, ["host", "rule", "chunk"]).withColumn(

@@ -1,0 +1,23 @@
+"""What the per-host streaming operators share: row order and late rows.
+
+A micro-batch is sorted by `(ts, sample_id)` per key. A row that is older than the last one already
+processed for its key cannot be placed any more: it is returned with `late = true` and does not touch
+the state, so that the caller can route it to a sink of its own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+import pandas as pd
+
+ORDER = ["ts", "sample_id"]
+
+
+def split_late(batches: Iterable[pd.DataFrame], last: tuple[int, int] | None) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rows of one key in this micro-batch, in order: those still in time, and the late ones."""
+    rows = pd.concat(list(batches), ignore_index=True).sort_values(ORDER, ignore_index=True)
+    if last is None:
+        return rows, rows.iloc[:0]
+    late = (rows["ts"] < last[0]) | ((rows["ts"] == last[0]) & (rows["sample_id"] <= last[1]))
+    return rows[~late].reset_index(drop=True), rows[late].reset_index(drop=True)
