@@ -348,9 +348,9 @@ def _rolling(m: str) -> list[str]:
 
 
 def _slope(m: str) -> list[str]:
-    """Least squares on x = 0..9 from lags: sum((x - 4.5) * y) / 82.5."""
-    terms = " + ".join(f"{4.5 - k} * lag({m}, {k}) over w" for k in range(10))
-    return [f"coalesce(({terms}) / 82.5, 0.0) as {m}_slope"]
+    frame = f"over ({HOST_ORDER} rows between 9 preceding and current row)"
+    place = f"row_number() over ({HOST_ORDER})"
+    return [f"case when {place} < 10 then 0.0 else regr_slope({m}, rn) {frame} end as {m}_slope"]
 
 
 def _burst(m: str) -> list[str]:
@@ -360,7 +360,8 @@ def _burst(m: str) -> list[str]:
 
 def _family(columns: list[str]) -> str:
     names = [c.rsplit(" as ", 1)[1] for c in columns]
-    inner = f"select sample_id, {', '.join(columns)} from samples window w as ({HOST_ORDER})"
+    numbered = f"(select *, row_number() over ({HOST_ORDER}) as rn from samples)"
+    inner = f"select sample_id, {', '.join(columns)} from {numbered} window w as ({HOST_ORDER})"
     return f"select sample_id, {snapped(names)} from ({inner})"
 
 
@@ -407,7 +408,7 @@ NATIVE = [c for m in METRICS for c in (*_lags(m), *_rolling(m), *_slope(m))] + [
 FEATURE_CTES = [
     ORDERED,
     EMA,
-    ("native", f"select sample_id, host, ts, {', '.join(METRICS)}, {', '.join(NATIVE)} from samples window w as ({HOST_ORDER})"),
+    ("native", f"select sample_id, host, ts, {', '.join(METRICS)}, {', '.join(NATIVE)} from ordered window w as ({HOST_ORDER})"),
     (
         "feats",
         "select n.sample_id, n.host, n.ts, "
@@ -464,7 +465,7 @@ def scaler_apply():
 @oracle
 def feature_catalog():
     return _on_features(
-        "select cast(idx as int) as idx, feature, count(*) filter (value <> 0) as nonzero_rows "
+        "select cast(idx as int) as idx, feature, count(*) filter (abs(value) > 1e-6) as nonzero_rows "
         f"from long join {NAMES} using (feature) group by all",
         [LONG],
     )

@@ -64,8 +64,14 @@ def snap(value: Column | str, digits: int = 6) -> Column:
     return F.floor(value * scale + 0.4999).cast("double") / scale
 
 
-def snapped(names: Sequence[str]) -> list[Column]:
-    return [snap(n, digits_of(n)).alias(n) for n in names]
+def snapped(names: Sequence[str], digits: int | None = None) -> list[Column]:
+    """`snap` for many columns, as SQL text."""
+
+    def text(name: str) -> str:
+        scale = f"{float(10 ** (digits or digits_of(name)))!r}D"
+        return f"cast(floor(`{name}` * {scale} + 0.4999D) as double) / {scale} as `{name}`"
+
+    return [F.expr(text(n)) for n in names]
 
 
 def scored_samples(spark: SparkSession, folder: str) -> DataFrame:
@@ -360,7 +366,7 @@ def scaler_fit(spark, folder):
 def scaler_apply(spark, folder):
     table = features.feature_table(views.load_samples(spark, folder))
     scaled = scaling.apply_scaler(table, scaling.fit_scaler(table, FEATURES), keep=["sample_id"])
-    return scaled.select("sample_id", *[snap(n).alias(n) for n in FEATURES])
+    return scaled.select("sample_id", *snapped(FEATURES, digits=6))
 
 
 @query

@@ -65,7 +65,7 @@ def chronological_split(samples: DataFrame, val_split: float = 0.2) -> tuple[Dat
 def score_features(features: DataFrame, model: AnomalyModel) -> DataFrame:
     """Add `score` to a feature table; works on static and streaming tables."""
     scorer = model.scorer(features.sparkSession)
-    return features.withColumn("score", scorer.score(scaled_columns(features.columns, model.scaler)))
+    return features.withColumn("score", scorer.score(list(scaled_columns(features.columns, model.scaler).values())))
 
 
 def fit_model(
@@ -80,7 +80,9 @@ def fit_model(
     names = settings.feature_names()
     features = feature_table(train, settings)
     stats = scaler_rows(fit_scaler(features, names))
-    scaled = features.select("sample_id", *scaled_columns(names, stats))
+    scaled = features.selectExpr(
+        "sample_id", *[f"{sql} as `{name}`" for name, sql in scaled_columns(names, stats).items()]
+    )
     nodes = fit_forest(scaled, names, n_trees, max_samples, seed).collect()
     drawn = max(n["size"] for n in nodes)
     model = AnomalyModel(stats, nodes, drawn, settings)

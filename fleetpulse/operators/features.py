@@ -7,11 +7,10 @@ takes samples and returns them with columns added; names that are not columns of
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from fleetpulse.plans.segments import SegmentPlan, core_rows, segmented
 from fleetpulse.schema import IO_METRICS, METRICS, ROW_KEY
@@ -50,16 +49,14 @@ class FeatureSettings:
             *[f"{c}_burst" for c in self.burst_metrics()],
         ]
 
+    def depth(self) -> int:
+        """How many earlier rows the features other than the averages look at."""
+        windows = (self.short_window, self.long_window, self.slope_window, self.burst_window)
+        return max(max(windows) - 1, max(self.lag_periods, default=0))
+
     def rows_before(self) -> int:
         """How many earlier rows any feature of a row depends on."""
-        return max(
-            self.long_window - 1,
-            self.short_window - 1,
-            self.slope_window,
-            self.burst_window - 1,
-            max(self.lag_periods, default=0),
-            max((ema_memory(a) for a in self.alphas), default=0),
-        )
+        return max(self.depth(), max((ema_memory(a) for a in self.alphas), default=0))
 
 
 def ema_suffix(alpha: float) -> str:
@@ -75,48 +72,91 @@ def _ema_block(alpha: float) -> int:
     return 1 if alpha >= 1 else max(1, math.floor(math.log(SMALLEST_POWER) / math.log(1 - alpha)))
 
 
-def _present(df: DataFrame, columns: Iterable[str]) -> list[str]:
-    return [c for c in columns if c in df.columns]
+def _over(keys: Sequence[str], order: str = "ts, sample_id", frame: str = "") -> str:
+    """Window clause; the features are SQL text, since hundreds of them are slow to build call by call."""
+    return f"over (partition by {', '.join(keys)} order by {order} {frame})"
+
+
+def _back(column: str, rows: int) -> str:
+    """The value `rows` rows earlier, as `_with_history` provides it."""
+    return f"`{column}`" if rows == 0 else f"`__{column}_back{rows}`"
+
+
+def _with_history(
+    frame: DataFrame, columns: Sequence[str], depth: int, over: str, extra: Sequence[str] = ()
+) -> DataFrame:
+    """Add the last `depth` earlier values of each column, and `extra` expressions on the same window.
+
+    Everything that looks back a few rows is arithmetic on these: a lag costs one step per row, while
+    a sliding aggregate visits its whole frame again for each row (five times slower for 30 rows).
+    """
+    lags = [f"lag(`{c}`, {k}) {over} as {_back(c, k)}" for c in columns for k in range(1, depth + 1)]
+    return frame.selectExpr("*", *lags, *extra)
+
+
+def _deviation_sums(columns: Iterable[str], windows: Iterable[int]) -> dict[str, str]:
+    """Sums of the differences between the last values and the current one, and of their squares.
+
+    The current value is the origin, so nothing cancels when they are subtracted later: it is one of the
+    values itself, hence within a few deviations of their mean.
+    """
+    out = {}
+    for c in columns:
+        for rows in sorted(set(windows)):
+            terms = [f"coalesce({_back(c, k)} - `{c}`, 0D)" for k in range(1, rows)]
+            out[f"__dev{rows}_{c}"] = " + ".join(terms) or "0D"
+            out[f"__sq{rows}_{c}"] = " + ".join(f"{t} * {t}" for t in terms) or "0D"
+    return out
 
 
-def _trailing(w: WindowSpec, rows: int) -> WindowSpec:
-    return w.rowsBetween(1 - rows, 0)
+def _mean(column: str, rows: int) -> str:
+    return f"(`{column}` + `__dev{rows}_{column}` / least(rn + 1, {rows}))"
 
 
-def lag_columns(columns: Sequence[str], w: WindowSpec, periods: Sequence[int]) -> list[Column]:
-    return [F.lag(c, k).over(w).alias(f"{c}_lag{k}") for c in columns for k in periods]
+def lag_columns(columns: Sequence[str], periods: Iterable[int]) -> dict[str, str]:
+    return {f"{c}_lag{k}": _back(c, k) for c in columns for k in periods}
 
 
-def rolling_columns(columns: Sequence[str], w: WindowSpec, short: int, long: int) -> list[Column]:
+def rolling_columns(columns: Sequence[str], short: int, long: int) -> dict[str, str]:
     """Mean and sample deviation over the last `short` and `long` rows, fewer at a host's start."""
-    out = []
+    out = {}
     for c in columns:
         for tag, rows in (("s", short), ("l", long)):
-            frame = _trailing(w, rows)
-            out.append(F.avg(c).over(frame).alias(f"{c}_rmean_{tag}"))
-            out.append(F.stddev_samp(c).over(frame).alias(f"{c}_rstd_{tag}"))
+            n, first, second = f"least(rn + 1, {rows})", f"`__dev{rows}_{c}`", f"`__sq{rows}_{c}`"
+            spread = f"greatest(0D, {second} - {first} * {first} / {n})"
+            out[f"{c}_rmean_{tag}"] = _mean(c, rows)
+            out[f"{c}_rstd_{tag}"] = f"if(rn = 0, null, sqrt({spread} / ({n} - 1)))"
     return out
 
 
-def slope_columns(columns: Sequence[str], w: WindowSpec, rn: Column, rows: int) -> list[Column]:
-    """Least-squares slope per row over the last `rows` rows; 0 until that many exist."""
-    frame = _trailing(w, rows)
-    return [
-        F.when(rn < rows - 1, F.lit(0.0)).otherwise(F.regr_slope(F.col(c), rn).over(frame)).alias(f"{c}_slope")
-        for c in columns
-    ]
+def slope_columns(columns: Sequence[str], rows: int) -> dict[str, str]:
+    """Least-squares slope per row over the last `rows` rows; 0 until that many exist.
+
+    On evenly spaced rows least squares is a fixed weighting of the values.
+    """
+    middle, spread = (rows - 1) / 2, rows * (rows * rows - 1) / 12
+    out = {}
+    for c in columns:
+        terms = " + ".join(f"{middle - k}D * {_back(c, k)}" for k in range(rows))
+        out[f"{c}_slope"] = f"coalesce(({terms}) / {spread}D, 0D)"
+    return out
 
 
-def burst_columns(columns: Sequence[str], w: WindowSpec, rows: int) -> list[Column]:
+def burst_columns(columns: Sequence[str], rows: int) -> dict[str, str]:
     """Largest value over mean value of the last `rows` rows."""
-    frame = _trailing(w, rows)
-    return [(F.max(c).over(frame) / (F.avg(c).over(frame) + 1e-6)).alias(f"{c}_burst") for c in columns]
+    return {
+        f"{c}_burst": f"greatest({', '.join(_back(c, k) for k in range(rows))}) / ({_mean(c, rows)} + 1e-6D)"
+        for c in columns
+    }
+
 
+def _named(expressions: dict[str, str]) -> list[str]:
+    return [f"{sql} as `{name}`" for name, sql in expressions.items()]
 
-def _numbered(frame: DataFrame, keys: list[str]) -> DataFrame:
+
+def _numbered(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add `rn`, the 0-based position of a row in its window partition."""
-    w = Window.partitionBy(*keys).orderBy("ts", "sample_id")
-    return frame.withColumn("rn", (F.row_number().over(w) - 1).cast("bigint"))
+    return frame.selectExpr("*", f"cast(row_number() {_over(keys)} - 1 as bigint) as rn")
 
 
 def _ema_blocks(alphas: Sequence[float]) -> dict[float, int]:
@@ -130,59 +170,69 @@ def _ema_blocks(alphas: Sequence[float]) -> dict[float, int]:
     return sizes
 
 
-def _ema_sums(frame: DataFrame, keys: list[str], columns: Sequence[str], alphas: Sequence[float]) -> DataFrame:
+def _ema_sums(frame: DataFrame, keys: Sequence[str], columns: Sequence[str], alphas: Sequence[float]) -> DataFrame:
     """Add `__sum_*`: the weighted sum over a row's block up to the row.
 
     An exponential average is a recursion, which no SQL window has. Unrolled it is
     `q**t * sum(w_i * x_i * q**-i)`, a running sum; blocks keep `q**-i` in range. The first row of a
     host has weight 1, every other row `alpha`.
     """
-    for size in sorted(set(_ema_blocks(alphas).values())):
-        frame = frame.withColumn(f"__blk{size}", F.floor(F.col("rn") / size))
-    for size in sorted(set(_ema_blocks(alphas).values())):
-        place = (F.col("rn") % size).cast("double")
-        block = Window.partitionBy(*keys, f"__blk{size}").orderBy("rn")
-        so_far = block.rowsBetween(Window.unboundedPreceding, 0)
-        sums = []
-        for alpha in [a for a, s in _ema_blocks(alphas).items() if s == size]:
-            q = F.lit(1.0 - alpha)
-            weight = F.when(F.col("rn") == 0, 1.0).otherwise(alpha) * F.pow(q, -place)
-            for c in columns:
-                total = F.sum(F.col(c) * weight).over(so_far)
-                sums.append((F.pow(q, place) * total).alias(f"__sum_{c}_{ema_suffix(alpha)}"))
-        frame = frame.select("*", *sums)
+    blocks = _ema_blocks(alphas)
+    sizes = sorted(set(blocks.values()))
+    frame = frame.selectExpr("*", *[f"floor(rn / {size}) as __blk{size}" for size in sizes])
+    for size in sizes:
+        shared = [a for a in blocks if blocks[a] == size]
+        place = f"cast(rn % {size} as double)"
+        growth = [f"pow({1.0 - a!r}D, -{place}) as __up_{ema_suffix(a)}" for a in shared]
+        over = _over([*keys, f"__blk{size}"], "rn", "rows between unbounded preceding and current row")
+        sums = {
+            f"__sum_{c}_{ema_suffix(a)}": f"sum(`{c}` * if(rn = 0, 1D, {a!r}D) * __up_{ema_suffix(a)}) {over}"
+            f" / __up_{ema_suffix(a)}"
+            for c in columns
+            for a in shared
+        }
+        frame = frame.selectExpr("*", *growth).selectExpr("*", *_named(sums))
     return frame
 
 
-def _ema_columns(
-    keys: list[str], columns: Sequence[str], alphas: Sequence[float]
-) -> list[Column]:
+def ema_columns(keys: Sequence[str], columns: Sequence[str], alphas: Sequence[float]) -> dict[str, str]:
     """Averages from the block sums: own block plus what the end of the previous block still weighs.
 
     A block is long enough that anything before the previous block has decayed to nothing.
     """
-    out = []
+    out = {}
     blocks = _ema_blocks(alphas)
     for c in columns:
-        for alpha in alphas:
-            name = f"{c}_{ema_suffix(alpha)}"
-            if alpha not in blocks:
-                out.append(F.col(c).alias(name))
+        for a in alphas:
+            name = f"{c}_{ema_suffix(a)}"
+            if a not in blocks:
+                out[name] = f"`{c}`"
                 continue
-            size = blocks[alpha]
-            place = F.col("rn") % size
-            local = F.col(f"__sum_{name}")
-            earlier = (
-                Window.partitionBy(*keys)
-                .orderBy(f"__blk{size}", "rn")
-                .rowsBetween(Window.unboundedPreceding, -1)
-            )
-            carried = F.last(F.when(place == size - 1, local), ignorenulls=True).over(earlier)
-            decay = F.pow(F.lit(1.0 - alpha), (place + 1).cast("double"))
-            out.append((local + decay * F.coalesce(carried, F.lit(0.0))).alias(name))
+            size, local = blocks[a], f"`__sum_{name}`"
+            over = _over(keys, f"__blk{size}, rn", "rows between unbounded preceding and 1 preceding")
+            carried = f"last(if(rn % {size} = {size - 1}, {local}, null), true) {over}"
+            decay = f"{1.0 - a!r}D / __up_{ema_suffix(a)}"
+            out[name] = f"{local} + {decay} * coalesce({carried}, 0D)"
     return out
 
 
+def _looking_back(
+    samples: DataFrame,
+    columns: Iterable[str],
+    depth: int,
+    plan: SegmentPlan | None,
+    compute: Callable[[list[str]], dict[str, str]],
+    windows: Sequence[int] = (),
+) -> DataFrame:
+    """`samples` plus the columns that `compute` derives from the last `depth` earlier rows."""
+    present = [c for c in columns if c in samples.columns]
+    frame, keys = segmented(samples, plan, before=depth)
+    own = [f"`{c}`" for c in frame.columns]
+    history = _with_history(_numbered(frame, keys), present, depth, _over(keys))
+    history = history.selectExpr("*", *_named(_deviation_sums(present, windows)))
+    return core_rows(history.selectExpr(*own, *_named(compute(present))))
+
+
 def add_lags(
     samples: DataFrame,
     columns: Sequence[str] = METRICS,
@@ -190,9 +240,7 @@ def add_lags(
     plan: SegmentPlan | None = None,
 ) -> DataFrame:
     """Add `<c>_lag<k>`: the value `k` rows earlier on the same host."""
-    frame, keys = segmented(samples, plan, before=max(periods, default=0))
-    w = Window.partitionBy(*keys).orderBy("ts", "sample_id")
-    return core_rows(frame.select("*", *lag_columns(_present(samples, columns), w, periods)))
+    return _looking_back(samples, columns, max(periods, default=0), plan, lambda c: lag_columns(c, periods))
 
 
 def add_rolling_stats(
@@ -203,25 +251,8 @@ def add_rolling_stats(
     plan: SegmentPlan | None = None,
 ) -> DataFrame:
     """Add `<c>_rmean_s`, `_rstd_s`, `_rmean_l`, `_rstd_l`; a deviation of one row is NULL."""
-    frame, keys = segmented(samples, plan, before=max(short_window, long_window) - 1)
-    w = Window.partitionBy(*keys).orderBy("ts", "sample_id")
-    return core_rows(
-        frame.select("*", *rolling_columns(_present(samples, columns), w, short_window, long_window))
-    )
-
-
-def add_ema(
-    samples: DataFrame,
-    columns: Sequence[str] = METRICS,
-    alphas: Sequence[float] = (0.1, 0.3),
-    plan: SegmentPlan | None = None,
-) -> DataFrame:
-    """Add `<c>_ema<int(10 * alpha)>`: y = (1 - alpha) * previous y + alpha * x, starting at x."""
-    columns = _present(samples, columns)
-    frame, keys = segmented(samples, plan, before=max((ema_memory(a) for a in alphas), default=0))
-    frame = _ema_sums(_numbered(frame, keys), keys, columns, alphas)
-    result = frame.select(*samples.columns, "in_core", *_ema_columns(keys, columns, alphas))
-    return core_rows(result)
+    windows = [short_window, long_window]
+    return _looking_back(samples, columns, max(windows) - 1, plan, lambda c: rolling_columns(c, *windows), windows)
 
 
 def add_slope(
@@ -231,11 +262,7 @@ def add_slope(
     plan: SegmentPlan | None = None,
 ) -> DataFrame:
     """Add `<c>_slope`: least-squares slope per row over the last `window` rows, 0 before that."""
-    frame, keys = segmented(samples, plan, before=window)
-    frame = _numbered(frame, keys)
-    w = Window.partitionBy(*keys).orderBy("ts", "sample_id")
-    slopes = slope_columns(_present(samples, columns), w, F.col("rn"), window)
-    return core_rows(frame.select("*", *slopes).drop("rn"))
+    return _looking_back(samples, columns, window - 1, plan, lambda c: slope_columns(c, window))
 
 
 def add_burstiness(
@@ -245,9 +272,21 @@ def add_burstiness(
     plan: SegmentPlan | None = None,
 ) -> DataFrame:
     """Add `<c>_burst`: maximum over mean of the last `window` rows."""
-    frame, keys = segmented(samples, plan, before=window - 1)
-    w = Window.partitionBy(*keys).orderBy("ts", "sample_id")
-    return core_rows(frame.select("*", *burst_columns(_present(samples, columns), w, window)))
+    return _looking_back(samples, columns, window - 1, plan, lambda c: burst_columns(c, window), [window])
+
+
+def add_ema(
+    samples: DataFrame,
+    columns: Sequence[str] = METRICS,
+    alphas: Sequence[float] = (0.1, 0.3),
+    plan: SegmentPlan | None = None,
+) -> DataFrame:
+    """Add `<c>_ema<int(10 * alpha)>`: y = (1 - alpha) * previous y + alpha * x, starting at x."""
+    present = [c for c in columns if c in samples.columns]
+    frame, keys = segmented(samples, plan, before=max((ema_memory(a) for a in alphas), default=0))
+    own = [f"`{c}`" for c in frame.columns]
+    sums = _ema_sums(_numbered(frame, keys), keys, present, alphas)
+    return core_rows(sums.selectExpr(*own, *_named(ema_columns(keys, present, alphas))))
 
 
 def feature_table(
@@ -269,18 +308,22 @@ def feature_table(
     frame, keys = segmented(narrow, plan, before=settings.rows_before())
     frame = _ema_sums(_numbered(frame, keys), keys, metrics, settings.alphas)
 
-    blocks = sorted(set(_ema_blocks(settings.alphas).values()))
-    order = [f"__blk{blocks[-1]}", "rn"] if blocks else ["rn"]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    computed = [
-        *lag_columns(metrics, w, settings.lag_periods),
-        *rolling_columns(metrics, w, settings.short_window, settings.long_window),
-        *_ema_columns(keys, metrics, settings.alphas),
-        *slope_columns(metrics, w, F.col("rn"), settings.slope_window),
-        *burst_columns(settings.burst_metrics(), w, settings.burst_window),
-    ]
-    names = settings.feature_names()
-    wide = frame.select(*keep, "in_core", *[m for m in metrics if m not in keep], *computed)
-    return wide.filter("in_core").select(
-        *keep, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names if n not in keep]
-    )
+    sizes = sorted(set(_ema_blocks(settings.alphas).values()))
+    over = _over(keys, f"__blk{sizes[-1]}, rn" if sizes else "rn")
+    averages = ema_columns(keys, metrics, settings.alphas)
+    frame = _with_history(frame, metrics, settings.depth(), over, extra=_named(averages))
+    sums = {
+        **_deviation_sums(metrics, [settings.short_window, settings.long_window]),
+        **_deviation_sums(settings.burst_metrics(), [settings.burst_window]),
+    }
+    frame = frame.filter("in_core").selectExpr("*", *_named(sums))
+    computed = {
+        **lag_columns(metrics, settings.lag_periods),
+        **rolling_columns(metrics, settings.short_window, settings.long_window),
+        **{name: f"`{name}`" for name in averages},
+        **slope_columns(metrics, settings.slope_window),
+        **burst_columns(settings.burst_metrics(), settings.burst_window),
+    }
+    kept = [f"`{c}`" for c in keep]
+    filled = [f"coalesce({computed.get(n, f'`{n}`')}, 0D) as `{n}`" for n in settings.feature_names() if n not in keep]
+    return frame.selectExpr(*kept, *filled)

@@ -143,8 +143,8 @@ class ForestScorer:
         }
         self._forest = spark.sparkContext.broadcast(forest)
 
-    def score(self, features: Sequence[Column]) -> Column:
-        """Score in [-1, 0): the more negative, the more anomalous. `features` in training order."""
+    def score(self, features: Sequence[Column | str]) -> Column:
+        """Score in [-1, 0): the more negative, the more anomalous. `features` (columns or SQL) in training order."""
         shared = self._forest
 
         @F.pandas_udf("double")
@@ -162,7 +162,7 @@ class ForestScorer:
             mean = total / len(forest["roots"])
             return pd.Series(-np.exp2(-mean / forest["usual"]))
 
-        return walk(*features)
+        return walk(*[F.expr(f) if isinstance(f, str) else f for f in features])
 
 
 def contamination_offset(scores: DataFrame, contamination: float = 0.05) -> float | None:

@@ -5,33 +5,34 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+EPSILON = sys.float_info.epsilon
+
 
 def fit_scaler(features: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row per feature: `idx, feature, mean, scale`, from a single aggregation pass.
 
-    `scale` is the population deviation. A feature that is constant up to rounding error has scale 1.
+    `scale` is the population deviation; MLlib's summary has the sample variance, hence `(n - 1) / n`.
+    A feature that is constant up to rounding error has scale 1.
     """
-    eps = sys.float_info.epsilon
-    stats = features.agg(
-        F.count("*").alias("n"),
-        *[F.avg(n).alias(f"{n}__mean") for n in names],
-        *[F.var_pop(n).alias(f"{n}__var") for n in names],
+    summary = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.array(*names)))
+    moments = features.select(summary.alias("s")).select(
+        F.col("s.count").alias("n"),
+        vector_to_array("s.mean").alias("mean"),
+        vector_to_array("s.variance").alias("variance"),
+        F.array(*[F.lit(n) for n in names]).alias("feature"),
+    )
+    rows = moments.selectExpr("n", "posexplode(arrays_zip(feature, mean, variance)) as (idx, f)").selectExpr(
+        "n", "idx", "f.feature", "f.mean", "f.variance * (n - 1) / n as var"
+    )
+    noise = f"n * {EPSILON}D * var + pow(n * mean * {EPSILON}D, 2)"
+    return rows.filter("n > 0").selectExpr(
+        "idx", "feature", "mean", f"if(var <= {noise}, 1D, sqrt(var)) as scale"
     )
-
-    def entry(idx: int, name: str) -> Column:
-        n, mean, var = F.col("n"), F.col(f"{name}__mean"), F.col(f"{name}__var")
-        noise = n * eps * var + F.pow(n * mean * eps, F.lit(2.0))
-        return F.struct(
-            F.lit(idx).alias("idx"),
-            F.lit(name).alias("feature"),
-            mean.alias("mean"),
-            F.when(var <= noise, 1.0).otherwise(F.sqrt(var)).alias("scale"),
-        )
-
-    return stats.select(F.inline(F.array(*[entry(i, n) for i, n in enumerate(names)])))
 
 
 def scaler_rows(scaler: DataFrame) -> list[Row]:
@@ -42,24 +43,23 @@ def scaler_rows(scaler: DataFrame) -> list[Row]:
     return rows
 
 
-def scaled_columns(available: Sequence[str], stats: Sequence[Row]) -> list[Column]:
-    """Scaled features in training order; a feature that is not available counts as 0.0."""
-    return [
-        (((F.col(s.feature) if s.feature in available else F.lit(0.0)) - s["mean"]) / s["scale"]).alias(s.feature)
+def scaled_columns(available: Sequence[str], stats: Sequence[Row]) -> dict[str, str]:
+    """SQL of the scaled features in training order; a feature that is not available counts as 0.0."""
+    known = set(available)
+    return {
+        s.feature: f"({f'`{s.feature}`' if s.feature in known else '0D'} - {s['mean']!r}D) / {s['scale']!r}D"
         for s in stats
-    ]
+    }
 
 
 def apply_scaler(features: DataFrame, scaler: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """`keep` and the scaled features, in training order."""
-    return features.select(*keep, *scaled_columns(features.columns, scaler_rows(scaler)))
+    scaled = scaled_columns(features.columns, scaler_rows(scaler))
+    return features.selectExpr(*keep, *[f"{sql} as `{name}`" for name, sql in scaled.items()])
 
 
-def feature_catalog(features: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Ordered feature names with their index and how many rows hold a value other than 0."""
-    counts = features.agg(*[F.count_if(F.col(n) != 0).alias(n) for n in names])
-    entries = [
-        F.struct(F.lit(i).alias("idx"), F.lit(n).alias("feature"), F.col(n).alias("nonzero_rows"))
-        for i, n in enumerate(names)
-    ]
-    return counts.select(F.inline(F.array(*entries)))
+def feature_catalog(features: DataFrame, names: Sequence[str], noise: float = 1e-6) -> DataFrame:
+    """Ordered feature names with their index and how many rows hold a value that is not 0 up to `noise`."""
+    counts = features.selectExpr(*[f"count_if(abs(`{n}`) > {noise!r}D) as `{n}`" for n in names])
+    entries = ", ".join(f"struct({i} as idx, '{n}' as feature, `{n}` as nonzero_rows)" for i, n in enumerate(names))
+    return counts.selectExpr(f"inline(array({entries}))")

@@ -16,12 +16,6 @@ from fleetpulse.operators.forest import below_threshold
 from fleetpulse.streaming.state import split_late
 
 
-def _tail_rows(settings: FeatureSettings) -> int:
-    """Earlier rows that the row-count frames reach back to."""
-    frames = [settings.short_window, settings.long_window, settings.slope_window, settings.burst_window]
-    return max(max(frames) - 1, max(settings.lag_periods, default=0))
-
-
 def _window_features(
     values: pd.DataFrame, tail: np.ndarray, averages: np.ndarray | None, settings: FeatureSettings
 ) -> tuple[pd.DataFrame, np.ndarray]:
@@ -62,7 +56,7 @@ def feature_stream(rows: DataFrame, settings: FeatureSettings = FeatureSettings(
     State per host: the last 29 rows, the running averages and the last position; its size is fixed.
     """
     metrics, names = list(settings.metrics), settings.feature_names()
-    keep, width = _tail_rows(settings), len(settings.metrics)
+    keep, width = settings.depth(), len(settings.metrics)
     output = ["sample_id", "host", "ts", *names, "late"]
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
