@@ -7,7 +7,7 @@ takes samples and returns them with columns added; names that are not columns of
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -94,19 +94,25 @@ def _with_history(
     return frame.selectExpr("*", *lags, *extra)
 
 
-def _deviation_sums(columns: Iterable[str], windows: Iterable[int]) -> dict[str, str]:
-    """Sums of the differences between the last values and the current one, and of their squares.
+def _with_deviation_sums(frame: DataFrame, windows: Mapping[str, Iterable[int]]) -> DataFrame:
+    """Add, per column and window, the sum of differences between the last values and the current one,
+    and the sum of their squares.
 
     The current value is the origin, so nothing cancels when they are subtracted later: it is one of the
     values itself, hence within a few deviations of their mean.
     """
-    out = {}
-    for c in columns:
-        for rows in sorted(set(windows)):
-            terms = [f"coalesce({_back(c, k)} - `{c}`, 0D)" for k in range(1, rows)]
-            out[f"__dev{rows}_{c}"] = " + ".join(terms) or "0D"
-            out[f"__sq{rows}_{c}"] = " + ".join(f"{t} * {t}" for t in terms) or "0D"
-    return out
+    steps = {
+        f"__step{k}_{c}": f"coalesce({_back(c, k)} - `{c}`, 0D)"
+        for c, sizes in windows.items()
+        for k in range(1, max(sizes, default=0))
+    }
+    sums = {}
+    for c, sizes in windows.items():
+        for rows in sorted(set(sizes)):
+            terms = [f"`__step{k}_{c}`" for k in range(1, rows)]
+            sums[f"__dev{rows}_{c}"] = " + ".join(terms) or "0D"
+            sums[f"__sq{rows}_{c}"] = " + ".join(f"{t} * {t}" for t in terms) or "0D"
+    return frame.selectExpr("*", *_named(steps)).selectExpr("*", *_named(sums))
 
 
 def _mean(column: str, rows: int) -> str:
@@ -229,7 +235,7 @@ def _looking_back(
     frame, keys = segmented(samples, plan, before=depth)
     own = [f"`{c}`" for c in frame.columns]
     history = _with_history(_numbered(frame, keys), present, depth, _over(keys))
-    history = history.selectExpr("*", *_named(_deviation_sums(present, windows)))
+    history = _with_deviation_sums(history, dict.fromkeys(present, windows))
     return core_rows(history.selectExpr(*own, *_named(compute(present))))
 
 
@@ -312,11 +318,10 @@ def feature_table(
     over = _over(keys, f"__blk{sizes[-1]}, rn" if sizes else "rn")
     averages = ema_columns(keys, metrics, settings.alphas)
     frame = _with_history(frame, metrics, settings.depth(), over, extra=_named(averages))
-    sums = {
-        **_deviation_sums(metrics, [settings.short_window, settings.long_window]),
-        **_deviation_sums(settings.burst_metrics(), [settings.burst_window]),
-    }
-    frame = frame.filter("in_core").selectExpr("*", *_named(sums))
+    windows = {m: [settings.short_window, settings.long_window] for m in metrics}
+    for m in settings.burst_metrics():
+        windows[m].append(settings.burst_window)
+    frame = _with_deviation_sums(frame.filter("in_core"), windows)
     computed = {
         **lag_columns(metrics, settings.lag_periods),
         **rolling_columns(metrics, settings.short_window, settings.long_window),

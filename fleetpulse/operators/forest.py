@@ -19,6 +19,7 @@ from fleetpulse.plans.ranks import exact_percentile
 from fleetpulse.schema import FOREST_SCHEMA
 
 EULER_GAMMA = 0.5772156649015329
+NODE_COLUMNS = ["tree_id", "node_id", "feature", "threshold", "left", "right", "size", "depth"]
 
 
 def average_path(size: int | float) -> float:
@@ -57,6 +58,7 @@ def forest_sample(rows: DataFrame, n_trees: int = 100, max_samples: int = 256, s
             )
         )
     per_tree = ids.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    per_tree = per_tree.repartition("tree_id")  # hash after the shuffle, where there are more tasks
     hashed = per_tree.withColumn("h", hash_number(seed, F.col("tree_id"), F.col("sample_id")))
     order = Window.partitionBy("tree_id").orderBy("h", "sample_id")
     return (
@@ -87,8 +89,7 @@ def _grow(points: np.ndarray, tree_id: int, seed: int, height: int) -> pd.DataFr
         nodes.append((tree_id, node, feature, cut, left, right, len(members), depth))
         pending.append((right, depth + 1, members[~goes_left]))
         pending.append((left, depth + 1, members[goes_left]))
-    columns = ["tree_id", "node_id", "feature", "threshold", "left", "right", "size", "depth"]
-    frame = pd.DataFrame(nodes, columns=columns)
+    frame = pd.DataFrame(nodes, columns=NODE_COLUMNS)
     return frame.astype({c: "Int32" for c in ("feature", "left", "right")})
 
 
@@ -106,13 +107,13 @@ def fit_forest(
     the result. The sample (two integers per row, `n_trees * max_samples` rows) is broadcast.
     """
     sample = forest_sample(features, n_trees, max_samples, seed)
-    drawn = features.select("sample_id", *names).join(F.broadcast(sample), "sample_id")
+    points = features.select("sample_id", F.array(*names).alias("point"))
+    drawn = points.join(F.broadcast(sample), "sample_id")
     height = math.ceil(math.log2(max(2, max_samples)))
-    names = list(names)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("sample_id")
-        return _grow(group[names].to_numpy(dtype=float), int(group["tree_id"].iloc[0]), seed, height)
+        return _grow(np.stack(group["point"]), int(group["tree_id"].iloc[0]), seed, height)
 
     return drawn.groupBy("tree_id").applyInPandas(grow, FOREST_SCHEMA)
 
@@ -128,17 +129,26 @@ class ForestScorer:
     def __init__(self, spark: SparkSession, nodes: Sequence[Row], drawn: int):
         if not nodes:
             raise RuntimeError("Model not fitted")
-        ordered = sorted(nodes, key=lambda r: (r.tree_id, r.node_id))
-        position = {(r.tree_id, r.node_id): i for i, r in enumerate(ordered)}
-        own = range(len(ordered))
-        leaf = [r.feature is None for r in ordered]
+        table = pd.DataFrame.from_records([tuple(n) for n in nodes], columns=NODE_COLUMNS)
+        table = table.sort_values(["tree_id", "node_id"], ignore_index=True)
+        position = pd.Series(table.index, index=pd.MultiIndex.from_frame(table[["tree_id", "node_id"]]))
+        leaf = table["feature"].isna().to_numpy()
+
+        def child(side: str) -> np.ndarray:
+            """Position of the child; a leaf leads to itself, so that all rows can walk equally far."""
+            inner = table[~leaf]
+            found = np.arange(len(table))
+            found[~leaf] = position.loc[list(zip(inner["tree_id"], inner[side].astype(int)))].to_numpy()
+            return found
+
+        trees = table.groupby("tree_id")["depth"].max()
         forest = {
-            "feature": np.array([0 if is_leaf else r.feature for r, is_leaf in zip(ordered, leaf)]),
-            "cut": np.array([np.inf if is_leaf else r.threshold for r, is_leaf in zip(ordered, leaf)]),
-            "left": np.array([i if is_leaf else position[r.tree_id, r.left] for i, r, is_leaf in zip(own, ordered, leaf)]),
-            "right": np.array([i if is_leaf else position[r.tree_id, r.right] for i, r, is_leaf in zip(own, ordered, leaf)]),
-            "path": np.array([r.depth + average_path(r["size"]) for r in ordered]),
-            "roots": [(position[r.tree_id, 0], max(n.depth for n in ordered if n.tree_id == r.tree_id)) for r in ordered if r.node_id == 0],
+            "feature": table["feature"].fillna(0).astype(int).to_numpy(),
+            "cut": table["threshold"].astype(float).where(~leaf, np.inf).to_numpy(),
+            "left": child("left"),
+            "right": child("right"),
+            "path": table["depth"].to_numpy() + table["size"].map(average_path).to_numpy(),
+            "roots": [(int(position[tree, 0]), int(depth)) for tree, depth in trees.items()],
             "usual": average_path(drawn) or 1.0,
         }
         self._forest = spark.sparkContext.broadcast(forest)
