@@ -118,7 +118,8 @@ def apply_cooldown(
     """
     length = max(chunk_seconds, cooldown)
     payload = [c for c in alerts.columns if c not in ("host", "rule", "ts")]
-    per_second = alerts.groupBy("host", "rule", "ts").agg(
+    known = alerts.filter(F.col("host").isNotNull() & F.col("rule").isNotNull())
+    per_second = known.groupBy("host", "rule", "ts").agg(
         F.min_by(F.struct(*payload), F.struct("sample_id", "rule_order")).alias("alert")
     )
     chunks = (
@@ -171,7 +172,8 @@ def apply_cooldown(
         .agg(F.array_sort(F.collect_list(F.struct("chunk", "heads", "exits"))).alias("links"))
         .select("host", "rule", F.inline(F.aggregate("links", start, step)["waits"]))
     )
-    fired = chunks.join(waits, ["host", "rule", "chunk"]).withColumn(
+    # A left join, so that both uses of `chunks` stay the same plan and share its shuffle.
+    fired = chunks.join(waits, ["host", "rule", "chunk"], "left").withColumn(
         "fires", firing("seconds", "chunk", "wait")
     )
     kept = F.transform("fires", lambda i: F.get("hits", i))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,10 @@ from fleetpulse.operators.forest import (
     below_threshold,
     calibrate_threshold,
     contamination_offset,
-    fit_forest,
+    forest_sample,
+    grow_trees,
 )
-from fleetpulse.operators.scaling import fit_scaler, scaled_columns, scaler_rows
+from fleetpulse.operators.scaling import feature_moments, scaled_columns, scaler_rows, scaler_table
 from fleetpulse.plans.ranks import precedes_rank
 from fleetpulse.session import pinned
 from fleetpulse.schema import FOREST_SCHEMA, SCALER_SCHEMA
@@ -76,16 +79,30 @@ def fit_model(
     contamination: float | None = 0.05,
     seed: int = 42,
 ) -> AnomalyModel:
-    """Fit scaler and forest on samples. `contamination=None` skips scoring the training rows."""
+    """Fit scaler and forest on samples. `contamination=None` skips scoring the training rows.
+
+    One pass over the features yields both their moments and the points the trees are grown from
+    (`n_trees * max_samples` at most, so the pinned row has a size set by the parameters).
+    """
     names = settings.feature_names()
-    features = feature_table(train, settings)
-    stats = scaler_rows(fit_scaler(features, names))
-    scaled = features.selectExpr(
-        "sample_id", *[f"{sql} as `{name}`" for name, sql in scaled_columns(names, stats).items()]
+    features = feature_table(train, settings, keep=["sample_id"])
+    trees = (
+        forest_sample(train, n_trees, max_samples, seed)
+        .groupBy("sample_id")
+        .agg(F.collect_list("tree_id").alias("trees"))
     )
-    nodes = fit_forest(scaled, names, n_trees, max_samples, seed).collect()
-    drawn = max(n["size"] for n in nodes)
-    model = AnomalyModel(stats, nodes, drawn, settings)
+    point = F.struct("sample_id", "trees", F.array(*names).alias("point"))
+    summary = pinned(
+        features.join(F.broadcast(trees), "sample_id", "left").agg(
+            feature_moments(names).alias("moments"),
+            F.collect_list(F.when(F.col("trees").isNotNull(), point)).alias("points"),
+        )
+    )
+    stats = scaler_rows(scaler_table(summary, names))
+    mean, scale = (np.array([s[k] for s in stats]) for k in ("mean", "scale"))
+    drawn = summary.select(F.inline("points")).select("sample_id", "point", F.explode("trees").alias("tree_id"))
+    nodes = grow_trees(drawn, max_samples, seed, prepare=lambda points: (points - mean) / scale).collect()
+    model = AnomalyModel(stats, nodes, max(n["size"] for n in nodes), settings)
     if contamination is None:
         return model
     scores = pinned(score_features(features, model).select("score"))
@@ -224,8 +241,6 @@ def save_model(spark: SparkSession, root: str, model: AnomalyModel, name: str =
 
 def load_model(spark: SparkSession, root: str, name: str = MODEL_NAME) -> AnomalyModel | None:
     """The newest model of that name, or None."""
-    import json
-
     found = latest_models(spark.read.parquet(f"{root}/models")).filter(F.col("name") == name).first()
     if found is None:
         return None

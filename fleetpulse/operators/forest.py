@@ -7,7 +7,7 @@ tree from at most `max_samples` rows and walks a batch of rows through the trees
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -93,6 +93,26 @@ def _grow(points: np.ndarray, tree_id: int, seed: int, height: int) -> pd.DataFr
     return frame.astype({c: "Int32" for c in ("feature", "left", "right")})
 
 
+def grow_trees(
+    drawn: DataFrame,
+    max_samples: int = 256,
+    seed: int = 42,
+    prepare: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
+    """Node table of trees grown in parallel from `tree_id, sample_id, point`, one group per tree.
+
+    A group has at most `max_samples` rows. They are sorted by `sample_id` first, so that partitioning
+    cannot change the result.
+    """
+    height = math.ceil(math.log2(max(2, max_samples)))
+
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        points = np.stack(group.sort_values("sample_id")["point"])
+        return _grow(prepare(points) if prepare else points, int(group["tree_id"].iloc[0]), seed, height)
+
+    return drawn.groupBy("tree_id").applyInPandas(grow, FOREST_SCHEMA)
+
+
 def fit_forest(
     features: DataFrame,
     names: Sequence[str],
@@ -100,22 +120,13 @@ def fit_forest(
     max_samples: int = 256,
     seed: int = 42,
 ) -> DataFrame:
-    """Node table of the fitted trees.
+    """Fit on a table with `sample_id` and the columns `names`.
 
-    `features` has `sample_id` and the columns `names`. Trees grow in parallel, one group of at most
-    `max_samples` rows each. Rows are sorted by `sample_id` first, so that partitioning cannot change
-    the result. The sample (two integers per row, `n_trees * max_samples` rows) is broadcast.
+    The drawn sample (two integers per row, `n_trees * max_samples` rows) is broadcast.
     """
     sample = forest_sample(features, n_trees, max_samples, seed)
     points = features.select("sample_id", F.array(*names).alias("point"))
-    drawn = points.join(F.broadcast(sample), "sample_id")
-    height = math.ceil(math.log2(max(2, max_samples)))
-
-    def grow(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sample_id")
-        return _grow(np.stack(group["point"]), int(group["tree_id"].iloc[0]), seed, height)
-
-    return drawn.groupBy("tree_id").applyInPandas(grow, FOREST_SCHEMA)
+    return grow_trees(points.join(F.broadcast(sample), "sample_id"), max_samples, seed)
 
 
 class ForestScorer:
@@ -153,14 +164,12 @@ class ForestScorer:
         }
         self._forest = spark.sparkContext.broadcast(forest)
 
-    def score(self, features: Sequence[Column | str]) -> Column:
-        """Score in [-1, 0): the more negative, the more anomalous. `features` (columns or SQL) in training order."""
+    def walk(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from a batch of points to their scores, for use inside a task."""
         shared = self._forest
 
-        @F.pandas_udf("double")
-        def walk(*columns: pd.Series) -> pd.Series:
+        def scores(points: np.ndarray) -> np.ndarray:
             forest = shared.value
-            points = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             flat, start = points.ravel(), np.arange(len(points)) * points.shape[1]
             total = np.zeros(len(points))
             for root, depth in forest["roots"]:
@@ -169,10 +178,19 @@ class ForestScorer:
                     stays_left = flat[start + forest["feature"][at]] <= forest["cut"][at]
                     at = np.where(stays_left, forest["left"][at], forest["right"][at])
                 total += forest["path"][at]
-            mean = total / len(forest["roots"])
-            return pd.Series(-np.exp2(-mean / forest["usual"]))
+            return -np.exp2(-total / len(forest["roots"]) / forest["usual"])
+
+        return scores
+
+    def score(self, features: Sequence[Column | str]) -> Column:
+        """Score in [-1, 0): the more negative, the more anomalous. `features` (columns or SQL) in training order."""
+        walk = self.walk()
+
+        @F.pandas_udf("double")
+        def scores(*columns: pd.Series) -> pd.Series:
+            return pd.Series(walk(np.column_stack([c.to_numpy(dtype=float) for c in columns])))
 
-        return walk(*[F.expr(f) if isinstance(f, str) else f for f in features])
+        return scores(*[F.expr(f) if isinstance(f, str) else f for f in features])
 
 
 def contamination_offset(scores: DataFrame, contamination: float = 0.05) -> float | None:

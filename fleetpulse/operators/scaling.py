@@ -7,23 +7,27 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 EPSILON = sys.float_info.epsilon
 
 
-def fit_scaler(features: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per feature: `idx, feature, mean, scale`, from a single aggregation pass.
+def feature_moments(names: Sequence[str]) -> Column:
+    """Aggregate with count, mean and variance of all features in one vector summary."""
+    return Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.array(*names)))
+
+
+def scaler_table(summary: DataFrame, names: Sequence[str], column: str = "moments") -> DataFrame:
+    """One row per feature, `idx, feature, mean, scale`, from a one-row table with `feature_moments`.
 
     `scale` is the population deviation; MLlib's summary has the sample variance, hence `(n - 1) / n`.
     A feature that is constant up to rounding error has scale 1.
     """
-    summary = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.array(*names)))
-    moments = features.select(summary.alias("s")).select(
-        F.col("s.count").alias("n"),
-        vector_to_array("s.mean").alias("mean"),
-        vector_to_array("s.variance").alias("variance"),
+    moments = summary.select(
+        F.col(f"{column}.count").alias("n"),
+        vector_to_array(f"{column}.mean").alias("mean"),
+        vector_to_array(f"{column}.variance").alias("variance"),
         F.array(*[F.lit(n) for n in names]).alias("feature"),
     )
     rows = moments.selectExpr("n", "posexplode(arrays_zip(feature, mean, variance)) as (idx, f)").selectExpr(
@@ -35,6 +39,11 @@ def fit_scaler(features: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
+def fit_scaler(features: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Mean and scale of each feature, from a single aggregation pass."""
+    return scaler_table(features.select(feature_moments(names).alias("moments")), names)
+
+
 def scaler_rows(scaler: DataFrame) -> list[Row]:
     """The statistics on the driver, in feature order: as many rows as there are features."""
     rows = scaler.orderBy("idx").collect()

@@ -30,7 +30,7 @@ def running_totals(
         buckets = min(MAX_BUCKETS, 8 + df.count() // ROWS_PER_BUCKET)
     steps = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(order, steps, 1.0 / (4 * buckets)))) if steps else []
-    splits = [float("-inf"), *cuts, float("inf")]
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol=order, outputCol="bucket").transform(df)
 
     summary = bucketed.groupBy("bucket").agg(

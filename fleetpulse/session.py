@@ -46,13 +46,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Compute `df` once and read it back from reliable storage in every later use.
+    """Compute `df` once, write it to the shared folder and read it back in every later use.
 
-    Used before several passes over something costly (forest scores). The files live in the shared
-    folder, so losing an executor loses nothing.
+    Used before several passes over something costly (forest scores). It cuts the lineage, and since the
+    files are not on executors, losing one loses nothing.
     """
-    folder = shared_folder(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fleetpulse.operators.detection import AnomalyModel, score_features
+from fleetpulse.operators.detection import AnomalyModel
 from fleetpulse.operators.features import FeatureSettings, ema_suffix
 from fleetpulse.operators.forest import below_threshold
 from fleetpulse.streaming.state import split_late
@@ -50,20 +50,25 @@ def _window_features(
     return pd.DataFrame(out)[settings.feature_names()].fillna(0.0), ends
 
 
-def feature_stream(rows: DataFrame, settings: FeatureSettings = FeatureSettings()) -> DataFrame:
-    """`sample_id, host, ts, <features>, late` of a sample stream, equal to `feature_table` on the same rows.
+def _per_host(
+    rows: DataFrame,
+    settings: FeatureSettings,
+    finish: Callable[[pd.DataFrame], pd.DataFrame],
+    columns: Sequence[str],
+) -> DataFrame:
+    """Run the features of each host through `finish`, whose double columns are `columns`.
 
     State per host: the last 29 rows, the running averages and the last position; its size is fixed.
     """
-    metrics, names = list(settings.metrics), settings.feature_names()
-    keep, width = settings.depth(), len(settings.metrics)
-    output = ["sample_id", "host", "ts", *names, "late"]
+    metrics = list(settings.metrics)
+    keep, width = settings.depth(), len(metrics)
+    output = ["sample_id", "host", "ts", *columns, "late"]
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
         fresh, late = split_late(batches, last[:2] if last else None)
         if len(late):
-            yield late[["sample_id", "host", "ts"]].assign(late=True).reindex(columns=output)
+            yield late.assign(late=True).reindex(columns=output)
         if not len(fresh):
             return
         tail = np.reshape(last[2], (-1, width)) if last else np.empty((0, width))
@@ -74,10 +79,10 @@ def feature_stream(rows: DataFrame, settings: FeatureSettings = FeatureSettings(
         state.update(
             (int(end["ts"]), int(end["sample_id"]), recent.ravel().tolist(), ends.ravel().tolist())
         )
-        ids = fresh[["sample_id", "host", "ts"]]
-        yield pd.concat([ids, features, pd.Series(False, index=ids.index, name="late")], axis=1)
+        result = pd.concat([fresh[["sample_id", "host", "ts"]], finish(features)], axis=1)
+        yield result.assign(late=False)[output]
 
-    types = ", ".join(f"{n} double" for n in names)
+    types = ", ".join(f"`{c}` double" for c in columns)
     return (
         rows.select("sample_id", "host", "ts", *metrics)
         .groupBy("host")
@@ -91,17 +96,32 @@ def feature_stream(rows: DataFrame, settings: FeatureSettings = FeatureSettings(
     )
 
 
+def feature_stream(rows: DataFrame, settings: FeatureSettings = FeatureSettings()) -> DataFrame:
+    """`sample_id, host, ts, <features>, late` of a sample stream, equal to `feature_table` on the same rows."""
+    return _per_host(rows, settings, lambda features: features, settings.feature_names())
+
+
 def detect_stream(rows: DataFrame, model: AnomalyModel) -> DataFrame:
-    """Add `score`, `is_anomaly` and `late` to a sample stream; late rows have neither score nor flag."""
-    features = feature_stream(rows, model.settings)
-    scored = score_features(features, model)
-    in_time = ~F.col("late")
-    return scored.select(
-        "sample_id",
-        "host",
-        "ts",
-        *model.settings.metrics,
-        F.when(in_time, F.col("score")).alias("score"),
-        F.when(in_time, below_threshold(F.col("score"), model.threshold)).alias("is_anomaly"),
-        "late",
-    )
+    """`sample_id, host, ts, <metrics>, score, is_anomaly, late`; late rows have neither score nor flag.
+
+    Rows are scored where their features are computed, so the 88 features never leave the task.
+    """
+    if model.threshold is None:
+        raise RuntimeError("Threshold not calibrated")
+    settings = model.settings
+    metrics = list(settings.metrics)
+    walk = model.scorer(rows.sparkSession).walk()
+    order = [s.feature for s in model.scaler]
+    mean, scale = (np.array([s[k] for s in model.scaler]) for k in ("mean", "scale"))
+
+    def finish(features: pd.DataFrame) -> pd.DataFrame:
+        points = (features.reindex(columns=order, fill_value=0.0).to_numpy(dtype=float) - mean) / scale
+        return features[metrics].assign(score=walk(points))
+
+    scored = _per_host(rows, settings, finish, [*metrics, "score"])
+    return scored.withColumn("is_anomaly", below_threshold(F.col("score"), model.threshold))
+
+
+def late_rows(stream: DataFrame) -> DataFrame:
+    """Rows that came too late to be placed, for a sink of their own."""
+    return stream.filter("late")

@@ -29,7 +29,7 @@ def ingest_stream(
     columns = ["sample_id", *SAMPLE_COLUMNS]
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("batch", F.lit(batch_id))
+        batch = batch.withColumn("batch", F.lit(batch_id)).persist()  # two writes, one read of the source
         accepted = batch.filter("missing = ''").withColumn("date", utc_day(F.col("ts")))
         for part, extra, by, target in (
             (accepted, ["batch", "date"], ["date", "batch"], path),
@@ -37,6 +37,7 @@ def ingest_stream(
         ):
             writer = part.select(*columns, *extra).write.mode("overwrite").partitionBy(*by)
             writer.option("partitionOverwriteMode", "dynamic").parquet(target)
+        batch.unpersist()
 
     return (
         checked.writeStream.foreachBatch(store)
