@@ -22,7 +22,7 @@ from fleetpulse.operators.forest import (
     forest_sample,
     grow_trees,
 )
-from fleetpulse.operators.scaling import feature_moments, scaled_columns, scaler_rows, scaler_table
+from fleetpulse.operators.scaling import point_moments, scaled_columns, scaler_rows, scaler_table
 from fleetpulse.plans.ranks import precedes_rank
 from fleetpulse.session import pinned
 from fleetpulse.schema import FOREST_SCHEMA, SCALER_SCHEMA
@@ -91,11 +91,11 @@ def fit_model(
         .groupBy("sample_id")
         .agg(F.collect_list("tree_id").alias("trees"))
     )
-    point = F.struct("sample_id", "trees", F.array(*names).alias("point"))
+    points = features.select("sample_id", F.array(*names).alias("point"))
+    drawn = F.when(F.col("trees").isNotNull(), F.struct("sample_id", "trees", "point"))
     summary = pinned(
-        features.join(F.broadcast(trees), "sample_id", "left").agg(
-            feature_moments(names).alias("moments"),
-            F.collect_list(F.when(F.col("trees").isNotNull(), point)).alias("points"),
+        points.join(F.broadcast(trees), "sample_id", "left").agg(
+            point_moments().alias("moments"), F.collect_list(drawn).alias("points")
         )
     )
     stats = scaler_rows(scaler_table(summary, names))

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 EPSILON = sys.float_info.epsilon
 
 
-def feature_moments(names: Sequence[str]) -> Column:
-    """Aggregate with count, mean and variance of all features in one vector summary."""
-    return Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.array(*names)))
+def point_moments(point: str = "point") -> Column:
+    """Aggregate with count, mean and variance of every element of an array of doubles."""
+    return Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.col(point)))
 
 
 def scaler_table(summary: DataFrame, names: Sequence[str], column: str = "moments") -> DataFrame:
-    """One row per feature, `idx, feature, mean, scale`, from a one-row table with `feature_moments`.
+    """One row per feature, `idx, feature, mean, scale`, from a one-row table with `point_moments`.
 
     `scale` is the population deviation; MLlib's summary has the sample variance, hence `(n - 1) / n`.
     A feature that is constant up to rounding error has scale 1.
@@ -41,7 +41,8 @@ def scaler_table(summary: DataFrame, names: Sequence[str], column: str = "moment
 
 def fit_scaler(features: DataFrame, names: Sequence[str]) -> DataFrame:
     """Mean and scale of each feature, from a single aggregation pass."""
-    return scaler_table(features.select(feature_moments(names).alias("moments")), names)
+    points = features.select(F.array(*names).alias("point"))
+    return scaler_table(points.agg(point_moments().alias("moments")), names)
 
 
 def scaler_rows(scaler: DataFrame) -> list[Row]:
