@@ -143,21 +143,31 @@ def lead_time_runs(detections: DataFrame, plan: SegmentPlan | None = None) -> Da
     """One row per start of an anomalous run: `sample_id, host, start_ts, detected_ts, lead_time`.
 
     `detected_ts` is the first flagged row among the 100 rows from the start on, NULL if there is none.
+    Read backwards, the next flagged row is a running value; a frame of 100 rows would be visited anew
+    for every row.
     """
     frame, keys = segmented(detections, plan, before=1, after=DETECTION_ROWS - 1)
-    w = Window.partitionBy(*keys).orderBy("ts", "sample_id")
-    ahead = w.rowsBetween(0, DETECTION_ROWS - 1)
-    runs = frame.select(
+    backwards = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("sample_id"))
+    to_here = backwards.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = frame.select(
         "*",
-        (F.col("y_true") - F.lag("y_true", 1, 0).over(w) == 1).alias("starts"),
-        F.first(F.when(F.col("is_anomaly"), F.col("ts")), ignorenulls=True).over(ahead).alias("detected_ts"),
+        F.row_number().over(backwards).alias("place"),
+        (F.col("y_true") - F.lead("y_true", 1, 0).over(backwards) == 1).alias("starts"),
     )
-    return core_rows(runs).filter("starts").select(
-        "sample_id",
-        "host",
-        F.col("ts").alias("start_ts"),
-        "detected_ts",
-        (F.col("detected_ts") - F.col("ts")).alias("lead_time"),
+    flagged = F.when(F.col("is_anomaly"), F.struct("place", "ts"))
+    runs = numbered.withColumn("next", F.last(flagged, ignorenulls=True).over(to_here))
+    soon_enough = F.col("place") - F.col("next.place") < DETECTION_ROWS
+    return (
+        core_rows(runs)
+        .filter("starts")
+        .withColumn("detected_ts", F.when(soon_enough, F.col("next.ts")))
+        .select(
+            "sample_id",
+            "host",
+            F.col("ts").alias("start_ts"),
+            "detected_ts",
+            (F.col("detected_ts") - F.col("ts")).alias("lead_time"),
+        )
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.durations import utc_day
@@ -49,7 +49,7 @@ def sensor_map_temperature(
 def write_samples(rows: DataFrame, path: str) -> int:
     """Append complete rows to the store, partitioned by day, and the others to `<path>_rejected`.
 
-    Returns the number of rows appended. Rows are clustered by day before the write so that each day gets few
+    Returns the number of rows appended, counted while they are written. Rows are clustered by day before the write so that each day gets few
     files, and spread over hosts and a salt so that one busy day or host does not land in one task.
     """
     checked = validate_samples(rows)
@@ -57,10 +57,12 @@ def write_samples(rows: DataFrame, path: str) -> int:
     columns = [*key, *SAMPLE_COLUMNS]
     accepted = checked.filter("missing = ''").select(*columns).withColumn("date", utc_day(F.col("ts")))
     salt = F.pmod(F.xxhash64("host", "ts"), F.lit(16))
-    accepted.repartition("date", salt).write.mode("append").partitionBy("date").parquet(path)
+    written = Observation("written")
+    spread = accepted.repartition("date", salt).observe(written, F.count("*").alias("rows"))
+    spread.write.mode("append").partitionBy("date").parquet(path)
     rejected = checked.filter("missing != ''").select(*columns, "missing")
     rejected.write.mode("append").parquet(f"{path}_rejected")
-    return accepted.count()
+    return written.get["rows"]
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -14,6 +14,7 @@ from fleetpulse.operators.detection import (
     train,
 )
 from fleetpulse.operators.evaluation import evaluation_report, inject_anomalies, lead_time, lead_time_runs
+from fleetpulse.plans.segments import plan_segments
 from fleetpulse.schema import SAMPLE_SCHEMA
 from fleetpulse.sources.store import detection_rows, scan_detections, write_detections
 
@@ -129,3 +130,21 @@ def test_lead_time_by_hand(spark):
     assert found == {20: 20, 60: None}
     assert tuple(lead_time(runs).first()) == (20.0, 20.0)
     assert tuple(lead_time(runs.filter("lead_time is null")).first()) == (0.0, 0.0)
+
+
+def test_lead_time_reaches_100_rows_on_any_host_size(spark):
+    """Random labels against a direct reading of the definition, on whole and on cut hosts."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], i // 4, int(y), bool(p)) for i, (y, p) in enumerate(zip(rng.random(2000) < 0.3, rng.random(2000) < 0.012))]
+    frame = spark.createDataFrame(rows, "sample_id long, host string, ts long, y_true int, is_anomaly boolean")
+    expected = set()
+    for host in "ab":
+        own = [r for r in rows if r[1] == host]
+        for i, (sample, _, ts, y, _) in enumerate(own):
+            if y - (own[i - 1][3] if i else 0) == 1:
+                hits = [r[2] for r in own[i : i + 100] if r[4]]
+                expected.add((sample, hits[0] if hits else None))
+    for plan in (None, plan_segments(frame, hot_rows=100, segment_rows=150)):
+        runs = lead_time_runs(frame, plan).collect()
+        assert {(r.sample_id, r.detected_ts) for r in runs} == expected and len(runs) == len(expected)
+    assert any(found is None for _, found in expected)
