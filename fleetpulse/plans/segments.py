@@ -65,13 +65,10 @@ def number_rows(hot: DataFrame, segment_rows: int) -> DataFrame:
         .groupBy("host", "slot")
         .agg(F.array_sort(F.collect_list(order_key)).alias("cuts"))
     )
+    passed = F.size(F.filter("cuts", lambda cut: cut <= order_key))
     pieces = (
         slotted.join(F.broadcast(cuts), ["host", "slot"], "left")
-        .withColumn(
-            "piece",
-            F.coalesce(F.size(F.filter("cuts", lambda cut: cut <= order_key)), F.lit(0)),
-        )
-        .withColumn("piece", F.when(F.col("cuts").isNull(), 0).otherwise(F.col("piece")))
+        .withColumn("piece", F.when(F.col("cuts").isNull(), 0).otherwise(passed))
         .drop("cuts")
     )
     earlier = Window.partitionBy("host").orderBy("slot", "piece").rowsBetween(Window.unboundedPreceding, -1)
