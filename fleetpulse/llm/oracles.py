@@ -4,7 +4,38 @@ from __future__ import annotations
 
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    "op5_ngram_jaccard_join": f"""
+        with recursive w as (
+          select row_number() over () as r, doc_id, {_WORDS.format(_LOWER.format('text'))} as w from documents
+        ),
+        s as (
+          select distinct r, doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+            else list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from w
+        ),
+        n as (select w.r, w.doc_id, count(s.g) as n from w left join s using (r) group by all),
+        rare as (select *, count(*) over (partition by g) as df from s),
+        cut as (
+          select *, row_number() over (partition by r order by df, g) as k from rare
+        ),
+        head as (select cut.r, g, n from cut join n using (r) where 100 * (k - 1) <= 25 * n),
+        cand as (
+          select distinct a.r as a, b.r as b from head a join head b using (g)
+          where a.r < b.r and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+        ),
+        both_ as (
+          select a, b, count(*) as i from cand join s x on x.r = a join s y on y.r = b and x.g = y.g group by a, b
+        ),
+        link as (
+          select a, b from both_ join n x on x.r = a join n y on y.r = b where 100 * i >= 75 * (x.n + y.n - i)
+        ),
+        e as (select a, b from link union select b, a from link),
+        reach(a, b) as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a)
+        select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(min(o.doc_id), n.doc_id)) as component_id
+        from n left join reach on reach.a = n.r left join n o on o.r = reach.b group by n.r, n.doc_id, n.n
+    """,
     "op10_substring_dedup": f"""
         with d as (
           select row_number() over () as r, doc_id, {_WORDS.format('text')} as w from documents

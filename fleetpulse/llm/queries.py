@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import substring_dedup
+from fleetpulse.llm import jaccard_join, substring_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.membership(jaccard_join.LinkedSets(table(spark, folder, "documents")))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.report(substring_dedup.Repeats(table(spark, folder, "documents")))
 
 
 QUERIES = {
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
