@@ -12,7 +12,7 @@ Method. Documents with one set are a class, which is one node from here on. In a
 * Heavy sets: the first shingles (k = 1) themselves are keys, i.e. inverted lists. Sets not much smaller than the
   boundary enter these lists too, so that a heavy and a light set meet there.
 * The boundary is the one with the smallest estimated cost: keys to write for light sets against list entries for
-  heavy sets, each weighed with the mean list length measured on all documents.
+  heavy sets, each weighed with the mean number of entries it meets, measured on all documents.
 
 Lists are not expanded into all pairs. Two members of each list are compared with all others first. The
 links found join sets into components, and then only members of a list that lie in different components are
@@ -127,15 +127,17 @@ def _gathered(parts: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[p
         yield pa.RecordBatch.from_arrays([longs(np.concatenate(c)) for c in zip(*held)], names=names)
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, float]:
-    """The most frequent shingles, sorted, and the mean length of the list that a shingle is in."""
+def frequent_shingles(docs: DataFrame, words: int, counted_all: int) -> tuple[np.ndarray, float]:
+    """The most frequent shingles, sorted, and how many others an entry of any other shingle's list meets.
+
+    `counted_all`: how many entries there are to count.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _gathered(([s[: -(-len(s) // SHARE)]] for _, s in _once(batches, words)), ["h"])
 
     counted = docs.select("text").mapInArrow(work, "h long").groupBy("h").count()
     counted = pinned(counted.where("count > 1"))
-    met, entries = counted.agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
     # The least count that leaves no more than FREQUENT shingles, in steps of a quarter of a power of two.
     step = F.floor(4 * F.log2("count"))
     sizes = counted.where("count >= 4").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
@@ -145,10 +147,11 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, float]:
         if total > FREQUENT:
             break
         least = row["step"]
-    if least is None:
-        return np.empty(0, np.uint64), 1.0
-    chosen = counted.where((F.col("count") >= 4) & (step >= least)).select("h").toPandas()["h"]
-    return np.sort(chosen.to_numpy(np.int64).view(np.uint64)), float(met or 0) / float(entries or 1)
+    frequent = F.lit(False) if least is None else (F.col("count") >= 4) & (step >= least)
+    others = F.col("count") * (F.col("count") - 1)
+    met = counted.where(~frequent).agg(F.sum(others)).first()[0]
+    chosen = counted.where(frequent).select("h").toPandas()["h"]
+    return np.sort(chosen.to_numpy(np.int64).view(np.uint64)), float(met or 0) / max(1, counted_all)
 
 
 def light_boundary(nodes: DataFrame, percent: int, met: float) -> int:
@@ -233,7 +236,8 @@ class LinkedSets:
         self.nodes = pinned(
             full.groupBy("cls", "n").agg(F.min("doc_id").alias("lead"), F.first("parity").alias("parity"))
         )
-        frequent, met = frequent_shingles(self.docs, words)
+        entries = self.nodes.agg(F.sum(F.ceil(F.col("n") / SHARE))).first()[0]
+        frequent, met = frequent_shingles(self.docs, words, entries or 0)
         self.boundary = light_boundary(self.nodes, percent, met)
         entries = pinned(_shared(postings(self.docs, words, percent, frequent, self.boundary)))
 
