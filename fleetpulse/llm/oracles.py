@@ -6,7 +6,105 @@ _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _number(text: str, salt: str, least: int, count: int) -> str:
+    return f"(('0x' || substr(md5('{salt}' || {text}), 1, 8))::bigint % {count} + {least})"
+
+
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+_SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
+
 ORACLES = {
+    "op1_pfair_mixing": """
+        with recursive n as (select source, count(*) as n from documents group by source),
+        w as (select source, n, ceil(n / 16.0)::bigint as blocks,
+            greatest(1, floor(sqrt(n) * 1000 / (select sum(sqrt(n) order by source) from n) + 0.5))::bigint as a from n),
+        src as (select list(a order by source nulls last) as a, list(blocks order by source nulls last) as blocks,
+            list(source order by source nulls last) as names, count(*)::bigint as k from w),
+        run(t, start, phase, base, used, pick, rel, due) as (
+          select -1::bigint, 0::bigint, 0::bigint, list_transform(names, lambda x: 0::bigint),
+            list_transform(names, lambda x: 0::bigint), 0::bigint, 0::bigint, 0::bigint from src
+          union all
+          select t, case when used[pick] = blocks[pick] then t + 1 else start end,
+            case when used[pick] = blocks[pick] then phase + 1 else phase end,
+            case when used[pick] = blocks[pick] then used else base end, used, pick, rel, due
+          from (
+            select t, start, phase, base, blocks, best[2] as pick, best[3] as rel, best[1] as due,
+              list_transform(range(1, k + 1), lambda s: used[s] + case when s = best[2] then 1 else 0 end) as used
+            from (
+              select t, start, phase, base, used, blocks, k, list_min(list_transform(
+                list_filter(range(1, k + 1), lambda s: used[s] < blocks[s] and (used[s] - base[s]) * total // a[s] <= t - start),
+                lambda s: [start - ((-((used[s] - base[s]) + 1) * total) // a[s]), s, start + (used[s] - base[s]) * total // a[s]])) as best
+              from (
+                select run.t + 1 as t, start, phase, base, used, a, blocks, k,
+                  list_sum(list_transform(list_filter(range(1, k + 1), lambda s: used[s] < blocks[s]), lambda s: a[s]))::bigint as total
+                from run, src where list_sum(used) < list_sum(blocks)
+              )
+            )
+          )
+        ),
+        slots as (
+          select t as slot, names[pick] as source, rel, due,
+            row_number() over (partition by pick order by t) - 1 as block, used, pick, t
+          from run, src where t >= 0
+        ),
+        phases as (select t, coalesce(lag(phase) over (order by t), 0) as phase from run),
+        docs as (
+          select doc_id, source, row_number() over (partition by source
+            order by md5(coalesce(doc_id::varchar, '')), doc_id) - 1 as k from documents
+        )
+        select doc_id, docs.source, (docs.k // 16)::bigint as block, phases.phase::bigint as phase, rel::bigint as release,
+          due::bigint as due, slot::bigint as slot,
+          (row_number() over (order by slot, docs.k) - 1)::bigint as position
+        from docs join slots on docs.source is not distinct from slots.source and docs.k // 16 = slots.block
+          join phases on phases.t = slots.slot
+    """,
+    "op2_exact_topk": """
+        with v as (
+          select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+          where vec_id is not null and len(embedding) > 0
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
+        ),
+        s as (
+          select q.vec_id as query_id, c.vec_id,
+            list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i]))::bigint as score
+          from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+        ),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 5
+    """,
+    "op3_url_filters": f"""
+        with c as (
+          select page_id, url, date '2024-01-01' + {_number("concat_ws('|', page_id::varchar, url)", 'fetched', 0, 366)}::int as fetched,
+            nullif(lower(regexp_extract(url, '{_HOST}', 1)), '') as host, nullif(regexp_extract(url, '{_SEGMENT}', 1), '') as seg
+          from pages
+        ),
+        p as (
+          select *, unnest([1, 2, 3, 4]) as level, unnest([host || '/' || seg, host,
+            case when len(string_split(host, '.')) > 3 then array_to_string(string_split(host, '.')[-3:], '.') end,
+            case when len(string_split(host, '.')) > 2 then array_to_string(string_split(host, '.')[-2:], '.') end]) as pattern from c
+        ),
+        l as (
+          select distinct pattern, list, kind, one_in from p,
+            (values ('adult', 'block', 5), ('malware', 'block', 7), ('trusted', 'allow', 6), ('spam', 'block', 4)) x(list, kind, one_in)
+          where pattern is not null
+        ),
+        a as (
+          select pattern, list, kind, date '2024-01-01' + {_number("list || '|' || pattern", 'add', 0, 180)}::int as since,
+            case when {_number("list || '|' || pattern", 'half', 0, 2)} = 0 then
+              {_number("list || '|' || pattern", 'remove', 30, 150)}::int end as days
+          from l where {_number("list || '|' || pattern", 'in', 0, 1000)} % one_in = 0
+        ),
+        hit as (
+          select page_id, url, fetched, level, a.pattern, max(kind) as decision, array_to_string(list_sort(list(list)), ',') as lists
+          from p join a on p.pattern = a.pattern and fetched >= since and (days is null or fetched < since + days)
+          group by all
+        ),
+        one as (select * from hit qualify row_number() over (partition by page_id, url, fetched order by level) = 1)
+        select c.page_id, c.url, c.fetched, coalesce(decision, 'none') as decision, pattern, lists
+        from c left join one using (page_id, url, fetched)
+    """,
     "op5_ngram_jaccard_join": f"""
         with recursive w as (
           select row_number() over () as r, doc_id, {_WORDS.format(_LOWER.format('text'))} as w from documents

@@ -2,15 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetpulse.llm import jaccard_join, substring_dedup
+from fleetpulse.llm import jaccard_join, mixing, substring_dedup, topk, url_filters
+
+
+#: Name, kind and share (one pattern in so many) of the lists for the URL filter.
+LISTS = [("adult", "block", 5), ("malware", "block", 7), ("trusted", "allow", 6), ("spam", "block", 4)]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in a mixture in which a source weighs the square root of its size."""
+    return mixing.mix_sources(table(spark, folder, "documents").select("doc_id", "source"))
+
+
+def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5, 256)
+
+
+def _number(text: Column, salt: str, least: int, count: int) -> Column:
+    """A number in [least, least + count) that depends on the text only."""
+    digits = F.substring(F.md5(F.concat(F.lit(salt), text).cast("binary")), 1, 8)
+    return (F.conv(digits, 16, 10).cast("long") % count + least).cast("int")
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Pages with a day of capture in 2024 that follows from id and URL, as the table has none."""
+    day = _number(F.concat_ws("|", F.col("page_id").cast("string"), "url"), "fetched", 0, 366)
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("fetched"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries of four lists about the patterns that the pages' own URLs have.
+
+    For a list, a pattern is added on a day of the first half of 2024 if its number says so, and for half of
+    them removed 30 to 179 days later.
+    """
+    every = F.array(*url_filters.patterns(F.col("url")))
+    known = pages.select(F.explode(every).alias("pattern")).where("pattern is not null").distinct()
+    lists = F.array(*[F.struct(F.lit(n).alias("list"), F.lit(k).alias("kind"), F.lit(m).alias("one_in")) for n, k, m in LISTS])
+    named = known.select("pattern", F.explode(lists).alias("x")).select("pattern", "x.*")
+    salted = F.concat_ws("|", "list", "pattern")
+    added = named.where(_number(salted, "in", 0, 1000) % F.col("one_in") == 0)
+    start = F.date_add(F.lit("2024-01-01").cast("date"), _number(salted, "add", 0, 180))
+    added = added.withColumn("listed", start).withColumn("action", F.lit("add"))
+    removed = added.where(_number(salted, "half", 0, 2) == 0).withColumn("action", F.lit("remove"))
+    removed = removed.withColumn("listed", F.date_add("listed", _number(salted, "remove", 30, 150)))
+    return added.unionByName(removed).drop("one_in")
+
+
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filters.judge(captures(pages), list_entries(pages))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.membership(jaccard_join.LinkedSets(table(spark, folder, "documents")))
 
@@ -20,6 +71,9 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pfair_mixing": op1_pfair_mixing,
+    "op2_exact_topk": op2_exact_topk,
+    "op3_url_filters": op3_url_filters,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
