@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import jaccard_join, mixing, substring_dedup, topk, url_filters
+from fleetpulse.llm import (
+    jaccard_join,
+    language_id,
+    mixing,
+    substring_dedup,
+    token_counts,
+    topk,
+    toxicity,
+    url_filters,
+)
 
 
 #: Name, kind and share (one pattern in so many) of the lists for the URL filter.
@@ -62,10 +71,22 @@ def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(captures(pages), list_entries(pages))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.membership(jaccard_join.LinkedSets(table(spark, folder, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), token_counts.load_vocabulary())
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.report(substring_dedup.Repeats(table(spark, folder, "documents")))
 
@@ -74,6 +95,9 @@ QUERIES = {
     "op1_pfair_mixing": op1_pfair_mixing,
     "op2_exact_topk": op2_exact_topk,
     "op3_url_filters": op3_url_filters,
+    "op4_language_id": op4_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op7_toxicity": op7_toxicity,
+    "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
