@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.llm import (
+    decontamination,
     jaccard_join,
     language_id,
     mixing,
@@ -83,6 +84,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), token_counts.load_vocabulary())
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
