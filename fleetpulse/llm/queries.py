@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm import (
     decontamination,
+    html_extraction,
     jaccard_join,
     language_id,
     mixing,
@@ -80,6 +81,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.membership(jaccard_join.LinkedSets(table(spark, folder, "documents")))
 
 
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extract(table(spark, folder, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -102,6 +107,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_language_id": op4_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_html_extraction": op6_html_extraction,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
