@@ -16,7 +16,8 @@ Method. Documents with one set are a class, which is one node from here on. In a
 
 Lists are not expanded into all pairs. Two members of each list are compared with all others first. The
 links found join sets into components, and then only members of a list that lie in different components are
-compared: all but those of the list's main component with everyone else. So each link between different sets is
+compared: all but those of the list's main component with everyone else in a short list, block by block in a longer one,
+where only pairs that pass the tests below leave a task. So each link between different sets is
 found or joins what is joined already.
 
 A compared pair passes four tests: sizes; position in the order; the parity of shingles in 2n or more slots,
@@ -48,6 +49,8 @@ WORDS = 5
 PERCENT = 75
 FREQUENT = 1 << 20  # shingles that tasks keep as frequent: 8 MB
 SHARE = 16  # one in so many shingles of a set is counted
+SHORT = 16  # entries of a list whose pairs are written one by one
+BLOCK = 256  # members of a longer list that are compared as a block
 LIGHT_MOST = 256  # no larger set is ever light: it would have thousands of keys
 
 
@@ -81,8 +84,35 @@ def _parity_gap(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _needed(n: Column, percent: int) -> Column:
-    return F.ceil(n * percent / 100)
+def _folded(parity: pa.Array, size: int) -> np.ndarray:
+    """Parities of at least `size` bytes folded to that size, one row each."""
+    out = np.zeros((len(parity), size), np.uint8)
+    for i, p in enumerate(parity):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(p.as_buffer(), np.uint8).reshape(-1, size), axis=0)
+    return out
+
+
+def _close_pairs(x: pa.StructArray, y: pa.StructArray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the pairs of a member of `x` and one of `y` that may link by component, size, place and parity."""
+    column = lambda m, name: m.field(name).to_numpy(zero_copy_only=False)
+    n, m = column(x, "n")[:, None], column(y, "n")[None, :]
+    p, q = column(x, "place")[:, None], column(y, "place")[None, :]
+    near = (column(x, "root")[:, None] != column(y, "root")[None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    near &= (np.minimum(p, q) < 0) | ((100 + percent) * np.minimum(n - p, m - q) >= percent * (n + m))
+    i, j = np.nonzero(near)
+    bytes_x = np.array([len(v.as_buffer()) for v in x.field("parity")])
+    bytes_y = np.array([len(v.as_buffer()) for v in y.field("parity")])
+    size = np.minimum(bytes_x[i], bytes_y[j])
+    gaps = np.zeros(len(i), np.int64)
+    for s in np.unique(size):
+        own = np.flatnonzero(size == s)
+        left, right = np.flatnonzero(bytes_x >= s), np.flatnonzero(bytes_y >= s)
+        a, b = _folded(x.field("parity").take(pa.array(left)), int(s)), _folded(y.field("parity").take(pa.array(right)), int(s))
+        for at in range(0, len(own), 1 << 14):
+            k = own[at : at + (1 << 14)]
+            gaps[k] = np.bitwise_count(a[np.searchsorted(left, i[k])] ^ b[np.searchsorted(right, j[k])]).sum(axis=1)
+    keep = (100 + percent) * gaps <= (100 - percent) * (n[i, 0] + m[0, j])
+    return column(x, "cls")[i[keep]], column(y, "cls")[j[keep]]
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -259,13 +289,17 @@ class LinkedSets:
         )
         shares = placed.groupBy("key", "root").count()
         mixed = pinned(
-            shares.groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.count(F.lit(1)).alias("roots"))
-            .where("roots > 1").select("key", F.col("m.root").alias("main"))
+            shares.groupBy("key").agg(
+                F.max(F.struct("count", "root")).alias("m"), F.count(F.lit(1)).alias("roots"), F.sum("count").alias("entries")
+            )
+            .where("roots > 1").select("key", "entries", F.col("m.root").alias("main"))
         )
         members = pinned(placed.join(mixed, "key"))
-        others = members.where("root <> main").alias("a").join(members.alias("b"), "key")
+        short = members.where(F.col("entries") <= SHORT)
+        others = short.where("root <> main").alias("a").join(short.alias("b"), "key")
         once = (F.col("b.root") == F.col("b.main")) | (F.col("a.cls") < F.col("b.cls"))
         second = _pairs(others.where((F.col("a.root") != F.col("b.root")) & once & _may_link(percent)))
+        second = second.unionByName(self._across(members.where(F.col("entries") > SHORT))).distinct()
         second = pinned(self._plausible(pinned(second.join(first, ["a", "b"], "left_anti"))))
         self.links = pinned(links.unionByName(self._verified(second)))
         roots = pinned(components(self.links))
@@ -275,6 +309,30 @@ class LinkedSets:
         least = pinned(led.groupBy("root").agg(F.min("lead").alias("component_id")))
         self.groups = pinned(led.join(least, "root").select("cls", "n", "component_id"))
 
+    def _across(self, members: DataFrame) -> DataFrame:
+        """Pairs of members of one list in different components that pass all tests but the exact one.
+
+        A list is dealt into blocks of some BLOCK members, and each two blocks of it meet in one row; so only pairs
+        that pass the test of parities are ever written.
+        """
+        percent = self.percent
+        blocks = F.ceil(F.col("entries") / BLOCK)
+        marked = members.join(self.nodes.select("cls", "parity"), "cls").withColumn("blocks", blocks)
+        dealt = pinned(
+            marked.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+            .groupBy("key", "blocks", "block")
+            .agg(F.collect_list(F.struct("cls", "n", "place", "root", "parity")).alias("m"))
+        )
+        left = dealt.select("key", F.col("m").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+        met = left.join(dealt.select("key", "block", F.col("m").alias("y")), ["key", "block"])
+
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                a, b = _close_pairs(x.values, y.values, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        return arrow_map(met.select("x", "y"), work, "a long, b long").distinct()
+
     def _plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose parities differ in no more slots than sets that link may differ in shingles."""
         percent = self.percent
