@@ -57,11 +57,11 @@ def test_toxicity(spark):
 
 def test_nnpu_keeps_risk_non_negative():
     rng = np.random.default_rng(0)
-    p, u = (rng.random((50, 20)) < 0.5).astype(float), (rng.random((400, 20)) < 0.5).astype(float)
-    p[:, 0], u[:80, 0], u[80:, 0] = 1, 1, 0
+    p, u = (rng.random((2000, 20)) < 0.5).astype(float), (rng.random((8000, 20)) < 0.5).astype(float)
+    p[:, 0], u[:1600, 0], u[1600:, 0] = 1, 1, 0
     weight, bias = toxicity.nnpu(p, u, 0.2)
     scores = u @ weight + bias
-    assert scores[:80].min() > scores[80:].max()
+    assert scores[:1600].min() > scores[1600:].max()
 
 
 def test_token_counts(spark):
