@@ -118,8 +118,7 @@ def apply_cooldown(
     """
     length = max(chunk_seconds, cooldown)
     payload = [c for c in alerts.columns if c not in ("host", "rule", "ts")]
-    known = alerts.filter(F.col("host").isNotNull() & F.col("rule").isNotNull())
-    per_second = known.groupBy("host", "rule", "ts").agg(
+    per_second = alerts.groupBy("host", "rule", "ts").agg(
         F.min_by(F.struct(*payload), F.struct("sample_id", "rule_order")).alias("alert")
     )
     chunks = (
@@ -172,8 +171,11 @@ def apply_cooldown(
         .agg(F.array_sort(F.collect_list(F.struct("chunk", "heads", "exits"))).alias("links"))
         .select("host", "rule", F.inline(F.aggregate("links", start, step)["waits"]))
     )
-    # A left join, so that both uses of `chunks` stay the same plan and share its shuffle.
-    fired = chunks.join(waits, ["host", "rule", "chunk"], "left").withColumn(
+    # A NULL host or rule is a key of its own. A left join, so that both uses of `chunks` stay the same plan and
+    # share its shuffle.
+    named = waits.select(F.col("host").alias("w_host"), F.col("rule").alias("w_rule"), F.col("chunk").alias("w_chunk"), "wait")
+    same = F.col("host").eqNullSafe(F.col("w_host")) & F.col("rule").eqNullSafe(F.col("w_rule"))
+    fired = chunks.join(named, same & (F.col("chunk") == F.col("w_chunk")), "left").withColumn(
         "fires", firing("seconds", "chunk", "wait")
     )
     kept = F.transform("fires", lambda i: F.get("hits", i))

@@ -27,7 +27,7 @@ from fleetpulse.plans.ranks import precedes_rank
 from fleetpulse.session import pinned
 from fleetpulse.schema import FOREST_SCHEMA, SCALER_SCHEMA
 from fleetpulse.sources.samples import scan_samples
-from fleetpulse.sources.store import latest_models, model_record
+from fleetpulse.sources.store import latest_models, model_record, stored_table
 
 # Limits above which a metric is named in tags and explanations.
 HIGH_PERCENT = 80
@@ -240,20 +240,27 @@ def save_model(spark: SparkSession, root: str, model: AnomalyModel, name: str =
 
 
 def load_model(spark: SparkSession, root: str, name: str = MODEL_NAME) -> AnomalyModel | None:
-    """The newest model of that name, or None."""
-    found = latest_models(spark.read.parquet(f"{root}/models")).filter(F.col("name") == name).first()
+    """The newest model of that name; None if there is no such model or a part of it is missing."""
+    registry = stored_table(spark, f"{root}/models")
+    found = registry and latest_models(registry).filter(F.col("name") == name).first()
     if found is None:
         return None
 
     def rows(table: str, *order: str) -> list[Row]:
-        frame = spark.read.parquet(f"{root}/{table}").filter(F.col("model_id") == found.model_id)
-        return frame.drop("model_id").orderBy(*order).collect()
+        frame = stored_table(spark, f"{root}/{table}")
+        if frame is None:
+            return []
+        return frame.filter(F.col("model_id") == found.model_id).drop("model_id").orderBy(*order).collect()
+
+    scaler, nodes = rows("scaler", "idx"), rows("forest", "tree_id", "node_id")
+    if not scaler or not nodes:
+        return None
 
     meta = json.loads(found.meta_json)
     knobs = {k: meta[k] for k in FeatureSettings.__dataclass_fields__}
     return AnomalyModel(
-        rows("scaler", "idx"),
-        rows("forest", "tree_id", "node_id"),
+        scaler,
+        nodes,
         meta["drawn"],
         FeatureSettings(**knobs),
         meta["threshold"],

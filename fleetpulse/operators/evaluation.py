@@ -103,6 +103,13 @@ def _with_class_totals(table: DataFrame, by_score: DataFrame) -> DataFrame:
     )
 
 
+def _end_point(scores: DataFrame, curve: DataFrame, first: float = 0.0) -> DataFrame:
+    """The curve's point without a threshold; its columns may be NULL even where those of `curve` may not."""
+    values = (first, 0.0, None)
+    row = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, curve.schema)]
+    return scores.sparkSession.range(1).select(*row)
+
+
 def roc_curve(scores: DataFrame, drop_collinear: bool = True) -> DataFrame:
     """Rows `fpr, tpr, threshold`, one per distinct score plus the origin.
 
@@ -122,8 +129,7 @@ def roc_curve(scores: DataFrame, drop_collinear: bool = True) -> DataFrame:
         (F.col("cum_pos") / F.col("positives")).alias("tpr"),
         (-F.col("score")).alias("threshold"),
     )
-    origin = scores.sparkSession.createDataFrame([(0.0, 0.0, None)], curve.schema)
-    return curve.unionByName(origin)
+    return curve.unionByName(_end_point(scores, curve))
 
 
 def pr_curve(scores: DataFrame) -> DataFrame:
@@ -135,8 +141,7 @@ def pr_curve(scores: DataFrame) -> DataFrame:
         (F.col("cum_pos") / F.col("positives")).alias("recall"),
         (-F.col("score")).alias("threshold"),
     )
-    end = scores.sparkSession.createDataFrame([(1.0, 0.0, None)], curve.schema)
-    return curve.unionByName(end)
+    return curve.unionByName(_end_point(scores, curve, 1.0))
 
 
 def lead_time_runs(detections: DataFrame, plan: SegmentPlan | None = None) -> DataFrame:

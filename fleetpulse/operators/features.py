@@ -34,6 +34,11 @@ class FeatureSettings:
     slope_window: int = 10
     burst_window: int = 10
 
+    def __post_init__(self):
+        names = [ema_suffix(a) for a in self.alphas]
+        if len(set(names)) < len(names):
+            raise ValueError(f"alphas {tuple(self.alphas)} give equal feature names {names}")
+
     def burst_metrics(self) -> list[str]:
         return [c for c in self.io_metrics if c in self.metrics]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,14 +31,16 @@ def build_session(app_name: str = "fleetpulse", master: str | None = None, **con
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared scratch folder, read from `spark.checkpoint.dir`.
 
-    Only a session without that setting (tests, a laptop) gets a fresh local folder, remembered as the
-    checkpoint folder of its context.
+    Only a session of one machine (master `local`) without that setting gets a fresh local folder, remembered as the
+    checkpoint folder of its context. On a cluster a local folder would lose what other machines write, so that is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetpulse-"))
     return context.getCheckpointDir().rstrip("/")
 

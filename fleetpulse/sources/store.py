@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,22 +50,31 @@ def sensor_map_temperature(
 def write_samples(rows: DataFrame, path: str) -> int:
     """Append complete rows to the store, partitioned by day, and the others to `<path>_rejected`.
 
-    Returns the number of rows appended, counted while they are written. Rows are clustered by day before the write so that each day gets few
-    files, and spread over hosts and a salt so that one busy day or host does not land in one task.
+    Returns the number of rows appended, counted while they are written. Rows are clustered by day before the write
+    so that each day gets few files; adaptive execution splits a day by its size.
     """
     checked = validate_samples(rows)
     key = [c for c in ("sample_id",) if c in rows.columns]
     columns = [*key, *SAMPLE_COLUMNS]
     accepted = checked.filter("missing = ''").select(*columns).withColumn("date", utc_day(F.col("ts")))
-    salt = F.pmod(F.xxhash64("host", "ts"), F.lit(16))
     written = Observation("written")
-    spread = accepted.repartition("date", salt).observe(written, F.count("*").alias("rows"))
+    spread = accepted.hint("rebalance", "date").observe(written, F.count("*").alias("rows"))
     spread.write.mode("append").partitionBy("date").parquet(path)
     rejected = checked.filter("missing != ''").select(*columns, "missing")
     rejected.write.mode("append").parquet(f"{path}_rejected")
     return written.get["rows"]
 
 
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at `path`, or None if nothing is stored there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -112,10 +122,10 @@ def removed_count(samples: DataFrame, now: int, days: int) -> DataFrame:
 
 
 def prune_store(spark: SparkSession, path: str, now: int, days: int) -> int:
-    """Remove samples older than `days` from a store written by `write_samples`; returns how many.
+    """Remove samples older than `days` from a store written in batch or by a stream; returns how many.
 
-    Only the boundary day is rewritten, and only its remaining rows are read. Whole days before it are
-    dropped as folders. The rows to keep are written aside first, so the day is never read and
+    Only the boundary day is rewritten, in the folders the store has (days, or days and batches), and only its
+    remaining rows are read. Whole days before it, and batches of that day without a remaining row, are dropped as folders. The rows to keep are written aside first, so the day is never read and
     overwritten in one job.
     """
     cutoff = retention_cutoff(now, days)
@@ -125,16 +135,17 @@ def prune_store(spark: SparkSession, path: str, now: int, days: int) -> int:
     if not removed:
         return 0
     keep = pinned(store.filter((F.col("date") == cutoff_day) & (F.col("ts") >= cutoff)))
-    if not keep.isEmpty():
-        keep.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-        old = F.col("date") < cutoff_day
-    else:
-        old = F.col("date") <= cutoff_day
+    folders = [c for c in ("date", "batch") if c in store.columns]
+    stay = {tuple(r) for r in keep.select(*folders).distinct().collect()}
+    there = store.filter(F.col("date") <= cutoff_day).select(*folders).distinct().collect()
+    if stay:
+        keep.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
     context = spark.sparkContext
     root = context._jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(context._jsc.hadoopConfiguration())
-    for (day,) in store.filter(old).select("date").distinct().collect():
-        files.delete(context._jvm.org.apache.hadoop.fs.Path(root, f"date={day}"), True)
+    for old in sorted({tuple(r) for r in there} - stay):
+        folder = "/".join(f"{c}={v}" for c, v in zip(folders, old))
+        files.delete(context._jvm.org.apache.hadoop.fs.Path(root, folder), True)
     spark.catalog.refreshByPath(path)
     return removed
 

@@ -1,6 +1,6 @@
 import numpy as np
-import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetpulse.operators.detection import (
@@ -17,36 +17,26 @@ from fleetpulse.operators.evaluation import evaluation_report, inject_anomalies,
 from fleetpulse.plans.segments import plan_segments
 from fleetpulse.schema import SAMPLE_SCHEMA
 from fleetpulse.sources.store import detection_rows, scan_detections, write_detections
+from fleetpulse.sources.views import load_samples
 
 
-def baseline(spark, n, start, seed=42):
-    rng, t = np.random.default_rng(seed), np.arange(n)
-    net = 1 + 0.5 * np.sin(t * 2 * np.pi / 86400)
-    frame = pd.DataFrame(
-        {
-            "sample_id": start + t,
-            "ts": start + t,
-            "host": "synthetic",
-            "cpu_pct": np.clip(30 + 10 * np.sin(t * 2 * np.pi / 86400) + rng.normal(0, 5, n), 0, 100),
-            "mem_pct": np.clip(40 + 20 * t / n + rng.normal(0, 3, n), 0, 100),
-            "disk_read_bps": rng.lognormal(10, 2, n),
-            "disk_write_bps": rng.lognormal(10, 2, n),
-            "net_up_bps": rng.lognormal(np.log(1e6 * net), 0.5),
-            "net_down_bps": rng.lognormal(np.log(5e6 * net), 0.5),
-            "swap_pct": np.clip(rng.normal(5, 2, n), 0, 100),
-            "proc_count": rng.poisson(200, n).astype("int32"),
-            "cpu_temp": np.nan,
-        }
-    )
-    return spark.createDataFrame(frame, SAMPLE_SCHEMA)
+def resting(spark, first, count, start):
+    """`count` samples of the given tables as one host that samples each second, with loads halved."""
+    rows = load_samples(spark, "/root/testdata/sf0.01")
+    place = F.row_number().over(Window.orderBy("ts", "sample_id")) - 1
+    rows = rows.withColumn("place", place).filter(F.col("place").between(first, first + count - 1))
+    second = F.col("place") - first + start
+    rows = rows.withColumns({"sample_id": second, "ts": second, "host": F.lit("one")})
+    halved = {c: F.col(c) / 2 for c in ("cpu_pct", "mem_pct")}
+    return rows.withColumns(halved).select([F.col(f.name).cast(f.dataType) for f in SAMPLE_SCHEMA])
 
 
 @pytest.fixture(scope="module")
 def workflow(spark, tmp_path_factory):
     """1,000 normal rows, then 200 with 10 % injected anomalies."""
     path = str(tmp_path_factory.mktemp("w") / "samples")
-    test = inject_anomalies(baseline(spark, 200, 1_001_000, 7), ["cpu_spike", "memory_leak"], 0.1)
-    normal = baseline(spark, 1000, 1_000_000).withColumn("y_true", F.lit(0))
+    test = inject_anomalies(resting(spark, 1000, 200, 1_001_000), ["cpu_spike", "memory_leak"], 0.1)
+    normal = resting(spark, 0, 1000, 1_000_000).withColumn("y_true", F.lit(0))
     normal.unionByName(test).coalesce(2).write.parquet(path)
     samples = spark.read.parquet(path)
     model, summary = train(samples, 1_000_000, 1_000_999, n_trees=50)
