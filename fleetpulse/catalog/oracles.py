@@ -579,6 +579,16 @@ def detect_summary():
     )
 
 
+@oracle
+def model_roundtrip():
+    """Every sample of the range is scored by both models, and alike."""
+    return statement(
+        f"""select count(*) as rows, count(*) filter (sample_id is null) as differences
+          from samples where ts between {RANGE_START} and {RANGE_END}""",
+        ["samples"],
+    )
+
+
 # ---- evaluation ---------------------------------------------------------------------------------
 
 CONFUSION = (
