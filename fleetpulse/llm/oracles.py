@@ -102,7 +102,7 @@ ORACLES = {
           group by all
         ),
         one as (select * from hit qualify row_number() over (partition by page_id, url, fetched order by level) = 1)
-        select c.page_id, c.url, c.fetched, coalesce(decision, 'none') as decision, pattern, lists
+        select c.page_id, c.url, c.fetched::date::varchar as fetched, coalesce(decision, 'none') as decision, pattern, lists
         from c left join one using (page_id, url, fetched)
     """,
     "op5_ngram_jaccard_join": f"""

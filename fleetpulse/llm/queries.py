@@ -70,7 +70,8 @@ def list_entries(pages: DataFrame) -> DataFrame:
 
 def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
-    return url_filters.judge(captures(pages), list_entries(pages))
+    judged = url_filters.judge(captures(pages), list_entries(pages))
+    return judged.withColumn("fetched", F.col("fetched").cast("string"))
 
 
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
