@@ -17,7 +17,7 @@ Method. Documents with one set are a class, which is one node from here on. In a
 Lists are not expanded into all pairs. Two members of each list are compared with all others first. The
 links found join sets into components, and then only members of a list that lie in different components are
 compared: all but those of the list's main component with everyone else in a short list, block by block in a longer one,
-where only pairs that pass the tests below leave a task. So each link between different sets is
+where only pairs that pass the tests below leave a task, each from the first list that both are in. So each link between different sets is
 found or joins what is joined already.
 
 A compared pair passes four tests: sizes; position in the order; the parity of shingles in 2n or more slots,
@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,13 +93,36 @@ def _folded(parity: pa.Array, size: int) -> np.ndarray:
     return out
 
 
-def _close_pairs(x: pa.StructArray, y: pa.StructArray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the pairs of a member of `x` and one of `y` that may link by component, size, place and parity."""
+def _common(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
+    """How many numbers each list of `x` shares with each list of `y`; a list holds a number once."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    numbers_x, numbers_y = x.flatten().to_numpy(), y.flatten().to_numpy()
+    row_x = np.repeat(np.arange(len(x)), pc.list_value_length(x).to_numpy())
+    row_y = np.repeat(np.arange(len(y)), pc.list_value_length(y).to_numpy())
+    both = np.intersect1d(numbers_x, numbers_y)
+    for at in range(0, len(both), 1 << 12):
+        part = both[at : at + (1 << 12)]
+        held = []
+        for numbers, row, rows in ((numbers_x, row_x, len(x)), (numbers_y, row_y, len(y))):
+            column = np.minimum(np.searchsorted(part, numbers), len(part) - 1)
+            own = part[column] == numbers
+            matrix = np.zeros((rows, len(part)), np.float32)
+            matrix[row[own], column[own]] = 1
+            held.append(matrix)
+        out += held[0] @ held[1].T
+    return out
+
+
+def _close_pairs(x: pa.StructArray, y: pa.StructArray, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the pairs of a member of `x` and one of `y` that may link by component, size and parity, and meet in
+    no list before this one. `same`: both are one block, so that each pair stands there twice."""
     column = lambda m, name: m.field(name).to_numpy(zero_copy_only=False)
     n, m = column(x, "n")[:, None], column(y, "n")[None, :]
-    p, q = column(x, "place")[:, None], column(y, "place")[None, :]
     near = (column(x, "root")[:, None] != column(y, "root")[None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-    near &= (np.minimum(p, q) < 0) | ((100 + percent) * np.minimum(n - p, m - q) >= percent * (n + m))
+    if same:
+        near &= column(x, "cls")[:, None] < column(y, "cls")[None, :]
+    if near.any():
+        near &= _common(x.field("before"), y.field("before")) == 0
     i, j = np.nonzero(near)
     bytes_x = np.array([len(v.as_buffer()) for v in x.field("parity")])
     bytes_y = np.array([len(v.as_buffer()) for v in y.field("parity")])
@@ -313,25 +337,29 @@ class LinkedSets:
         """Pairs of members of one list in different components that pass all tests but the exact one.
 
         A list is dealt into blocks of some BLOCK members, and each two blocks of it meet in one row; so only pairs
-        that pass the test of parities are ever written.
+        that pass the test of parities are ever written. Members bring the smaller keys of the lists here that they
+        are in, so that a pair is tested in the first list that both are in and nowhere else. The places of the
+        entries say nothing here, as that list need not be the one of their first common shingle.
         """
         percent = self.percent
         blocks = F.ceil(F.col("entries") / BLOCK)
-        marked = members.join(self.nodes.select("cls", "parity"), "cls").withColumn("blocks", blocks)
+        smaller = Window.partitionBy("cls").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        listed = members.select("key", "cls", "n", "root", "entries").distinct().withColumn("before", F.collect_list("key").over(smaller))
+        marked = listed.join(self.nodes.select("cls", "parity"), "cls").withColumn("blocks", blocks)
         dealt = pinned(
             marked.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
             .groupBy("key", "blocks", "block")
-            .agg(F.collect_list(F.struct("cls", "n", "place", "root", "parity")).alias("m"))
+            .agg(F.collect_list(F.struct("cls", "n", "root", "parity", "before")).alias("m"))
         )
-        left = dealt.select("key", F.col("m").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+        left = dealt.select("key", F.col("block").alias("first"), F.col("m").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
         met = left.join(dealt.select("key", "block", F.col("m").alias("y")), ["key", "block"])
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                a, b = _close_pairs(x.values, y.values, percent)
+            for x, y, same in zip(batch.column("x"), batch.column("y"), batch.column("same")):
+                a, b = _close_pairs(x.values, y.values, same.as_py(), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-        return arrow_map(met.select("x", "y"), work, "a long, b long").distinct()
+        return arrow_map(met.select("x", "y", (F.col("first") == F.col("block")).alias("same")), work, "a long, b long")
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose parities differ in no more slots than sets that link may differ in shingles."""

@@ -76,10 +76,11 @@ def brute_groups(rows):
     return sorted(((r[0], len(sets[i]), least.get(find(i), r[0]) if sets[i] else r[0]) for i, r in enumerate(rows)), key=key)
 
 
-@pytest.mark.parametrize(("short", "boundary"), [(16, None), (0, 40)])
-def test_jaccard_join(docs, rows, monkeypatch, short, boundary):
+@pytest.mark.parametrize(("short", "block", "boundary"), [(16, 256, None), (0, 256, 40), (0, 3, 0)])
+def test_jaccard_join(docs, rows, monkeypatch, short, block, boundary):
     monkeypatch.setattr(jaccard_join, "SHORT", short)
-    if boundary:
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    if boundary is not None:
         monkeypatch.setattr(jaccard_join, "light_boundary", lambda *_: boundary)
     found = jaccard_join.membership(jaccard_join.LinkedSets(docs)).collect()
     key = lambda x: tuple(-1 if v is None else v for v in x)
