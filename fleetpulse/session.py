@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app_name: str = "fleetpulse", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution, skew-join splitting and Arrow transfer."""
@@ -54,8 +56,18 @@ def pinned(df: DataFrame) -> DataFrame:
     """Compute `df` once, write it to the shared folder and read it back in every later use.
 
     Used before several passes over something costly (forest scores). It cuts the lineage, and since the
-    files are not on executors, losing one loses nothing.
+    files are not on executors, losing one loses nothing. Shuffle files of the write are of no use afterwards and
+    are removed when it ends; otherwise a job of many such steps keeps them all until the driver's next collection.
     """
-    path = scratch_path(df.sparkSession, "pinned")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "pinned")
+    before = spark.conf.get(REMOVE_SHUFFLES, None)
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(REMOVE_SHUFFLES)
+        else:
+            spark.conf.set(REMOVE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
