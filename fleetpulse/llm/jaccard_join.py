@@ -52,6 +52,8 @@ FREQUENT = 1 << 20  # shingles that tasks keep as frequent: 8 MB
 SHARE = 16  # one in so many shingles of a set is counted
 SHORT = 16  # entries of a list whose pairs are written one by one
 BLOCK = 256  # members of a longer list that are compared as a block
+MARK = 256  # most bytes of parity that a member brings to a block; longer ones are folded
+KNOWN = 64  # most keys that a member brings to a block
 LIGHT_MOST = 256  # no larger set is ever light: it would have thousands of keys
 
 
@@ -140,20 +142,22 @@ def _close_pairs(x: pa.StructArray, y: pa.StructArray, same: bool, percent: int)
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (size of the set), cls (equal for equal sets) and parity of each document."""
+    """doc_id, n (size of the set), cls (equal for equal sets), parity and mark (folded parity) of each document."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n = np.zeros(batch.num_rows, np.int64)
         cls = mix(np.random.default_rng(0).integers(0, 1 << 63, batch.num_rows, np.uint64))  # empty sets: any key
         parity: list[bytes | None] = [None] * batch.num_rows
+        mark: list[bytes | None] = [None] * batch.num_rows
         for row, shingles in _sets(batch.column("text"), words):
             n[row], cls[row], parity[row] = len(shingles), _class_of(shingles), _parity(shingles)
+            mark[row] = _folded(pa.array([parity[row]], pa.binary()), min(len(parity[row]), MARK)).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n), longs(cls), pa.array(parity, pa.binary())],
-            names=["doc_id", "n", "cls", "parity"],
+            [batch.column("doc_id"), pa.array(n), longs(cls), pa.array(parity, pa.binary()), pa.array(mark, pa.binary())],
+            names=["doc_id", "n", "cls", "parity", "mark"],
         )
 
-    return arrow_map(docs, work, "doc_id long, n long, cls long, parity binary")
+    return arrow_map(docs, work, "doc_id long, n long, cls long, parity binary, mark binary")
 
 
 def _once(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.uint64, np.ndarray]]:
@@ -288,7 +292,7 @@ class LinkedSets:
         self.sets = stored.select("doc_id", "n", "cls")
         full = stored.where("n > 0")
         self.nodes = pinned(
-            full.groupBy("cls", "n").agg(F.min("doc_id").alias("lead"), F.first("parity").alias("parity"))
+            full.groupBy("cls", "n").agg(F.min("doc_id").alias("lead"), F.first("parity").alias("parity"), F.first("mark").alias("mark"))
         )
         entries = self.nodes.agg(F.sum(F.ceil(F.col("n") / SHARE))).first()[0]
         frequent, met = frequent_shingles(self.docs, words, entries or 0)
@@ -337,19 +341,25 @@ class LinkedSets:
         """Pairs of members of one list in different components that pass all tests but the exact one.
 
         A list is dealt into blocks of some BLOCK members, and each two blocks of it meet in one row; so only pairs
-        that pass the test of parities are ever written. Members bring the smaller keys of the lists here that they
-        are in, so that a pair is tested in the first list that both are in and nowhere else. The places of the
-        entries say nothing here, as that list need not be the one of their first common shingle.
+        that pass the test of parities (of folded ones for long texts) are ever written. Members bring the smaller
+        keys of the lists here that they are in, KNOWN at most, so that a pair is tested in the first list that both
+        are in; where they know no common key among those, it may leave more than one list, but never none. The
+        places of entries say nothing here, as that list need not be the one of their first common shingle.
         """
         percent = self.percent
         blocks = F.ceil(F.col("entries") / BLOCK)
-        smaller = Window.partitionBy("cls").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-        listed = members.select("key", "cls", "n", "root", "entries").distinct().withColumn("before", F.collect_list("key").over(smaller))
-        marked = listed.join(self.nodes.select("cls", "parity"), "cls").withColumn("blocks", blocks)
+        in_order = Window.partitionBy("cls").orderBy("key")
+        least = F.when(F.col("rank") <= KNOWN, F.col("key"))
+        listed = (
+            members.select("key", "cls", "n", "root", "entries").distinct()
+            .withColumn("rank", F.row_number().over(in_order))
+            .withColumn("before", F.collect_list(least).over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+        )
+        marked = listed.join(self.nodes.select("cls", "mark"), "cls").withColumn("blocks", blocks)
         dealt = pinned(
             marked.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
             .groupBy("key", "blocks", "block")
-            .agg(F.collect_list(F.struct("cls", "n", "root", "parity", "before")).alias("m"))
+            .agg(F.collect_list(F.struct("cls", "n", "root", F.col("mark").alias("parity"), "before")).alias("m"))
         )
         left = dealt.select("key", F.col("block").alias("first"), F.col("m").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
         met = left.join(dealt.select("key", "block", F.col("m").alias("y")), ["key", "block"])

@@ -76,8 +76,10 @@ def brute_groups(rows):
     return sorted(((r[0], len(sets[i]), least.get(find(i), r[0]) if sets[i] else r[0]) for i, r in enumerate(rows)), key=key)
 
 
-@pytest.mark.parametrize(("short", "block", "boundary"), [(16, 256, None), (0, 256, 40), (0, 3, 0)])
-def test_jaccard_join(docs, rows, monkeypatch, short, block, boundary):
+@pytest.mark.parametrize(("short", "block", "known", "boundary"), [(16, 256, 64, None), (0, 256, 64, 40), (0, 3, 2, 0)])
+def test_jaccard_join(docs, rows, monkeypatch, short, block, known, boundary):
+    monkeypatch.setattr(jaccard_join, "KNOWN", known)
+    monkeypatch.setattr(jaccard_join, "MARK", 16 * known)
     monkeypatch.setattr(jaccard_join, "SHORT", short)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     if boundary is not None:
