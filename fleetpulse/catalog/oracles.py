@@ -488,32 +488,85 @@ def _hash(text: str) -> str:
     return f"cast('0x' || substr(md5({text}), 1, 13) as bigint)"
 
 
+def _drawn(trees: int, size: int) -> str:
+    """The rows with the smallest keys of each tree; a key is a linear map of the row's hash modulo 2**52."""
+    factor = f"(2 * ({_hash(f"'{SEED}|factor|' || tree_id")} % 1024) + 1)"
+    key = f"(({_hash(f"'{SEED}|' || sample_id")} * {factor} + {_hash(f"'{SEED}|shift|' || tree_id")}) % (1::bigint << 52))"
+    return f"""select * from (
+      select cast(tree_id as int) as tree_id,
+        cast(row_number() over (partition by tree_id order by {key}, sample_id) as int) as rank, sample_id
+      from samples, range({trees}) t(tree_id)) where rank <= {size}"""
+
+
 @oracle
 def forest_sample():
-    """100 trees of 256: each tree its own hash order while there are fewer than 25,600 rows."""
-    own = _hash(f"'{SEED}|' || tree_id || '|' || sample_id")
-    shared = _hash(f"'{SEED}|' || sample_id")
+    return statement(_drawn(100, 256), ["samples"])
+
+
+@oracle
+def forest_sample_dealt():
+    return statement(_drawn(8, 32), ["samples"])
+
+
+def _share(what: str) -> str:
+    return f"({_hash(f"'{SEED}|{what}|' || tree_id || '|' || node_id")} / (1::bigint << 52))"
+
+
+def _grown(trees: int, size: int, height: int) -> list[tuple[str, str]]:
+    """CTEs that grow trees over METRICS level by level: `nodes` has one row per node, lists count from 1."""
+    ends = lambda end, over="": "[" + ", ".join(f"{end}(point[{i + 1}]){over}" for i in range(len(METRICS))) + "]"
+    varying = "[" + ", ".join(f"case when low[{i + 1}] < high[{i + 1}] then {i + 1} end" for i in range(len(METRICS))) + "]"
+    split = f"""
+      select *, case when cut >= high[axis] then low[axis] else cut end as threshold from (
+        select *, low[axis] + {_share('cut')} * (high[axis] - low[axis]) as cut from (
+          select *, case when size > 1 and depth < {height} then
+            axes[cast(floor({_share('feature')} * len(axes)) as int) + 1] end as axis from (
+              select *, list_filter({varying}, lambda i: i is not null) as axes from %s)))"""
+    own = " over (partition by tree_id, node_id)"
+    placed = f"(select *, count(*){own} as size, {ends('min', own)} as low, {ends('max', own)} as high from grown)"
+    once = f"""(select tree_id, node_id, min(depth) as depth, count(*) as size, {ends('min')} as low, {ends('max')} as high
+      from grown group by tree_id, node_id)"""
+    return [
+        ("drawn", _drawn(trees, size)),
+        ("grown", f"""
+          select tree_id, 0 as node_id, 0 as depth, [{', '.join(METRICS)}] as point from drawn join samples using (sample_id)
+          union all
+          select tree_id, 2 * node_id + case when point[axis] <= threshold then 1 else 2 end, depth + 1, point
+          from ({split % placed}) where axis is not null"""),
+        ("nodes", split % once),
+    ]
+
+
+@oracle
+def forest_fit_metrics():
+    inner = "case when axis is not null then cast({} as int) end as {}"
     return statement(
-        f"""select * from (
-          select cast(tree_id as int) as tree_id,
-            cast(row_number() over (partition by tree_id order by {own}, sample_id) as int) as rank, sample_id
-          from samples, range(100) t(tree_id) where (select count(*) from samples) < 25600) where rank <= 256
-        union all
-        select cast(place // 256 as int), cast(place % 256 + 1 as int), sample_id from (
-          select sample_id, row_number() over (order by {shared}, sample_id) - 1 as place from samples
-          where (select count(*) from samples) >= 25600) where place < 25600""",
+        f"""select tree_id, node_id, {inner.format('axis - 1', 'feature')}, {snap('threshold', 2)} as threshold,
+          {inner.format('2 * node_id + 1', '"left"')}, {inner.format('2 * node_id + 2', '"right"')},
+          cast(size as int) as size, depth from nodes""",
         ["samples"],
+        _grown(8, 32, 5),
+        recursive=True,
     )
 
 
 @oracle
-def forest_sample_dealt():
-    shared = _hash(f"'{SEED}|' || sample_id")
+def forest_score_metrics():
+    usual = "case when {0} <= 1 then 0e0 when {0} = 2 then 1e0 else 2 * (ln({0} - 1) + 0.5772156649015329e0) - 2 * ({0} - 1.0e0) / {0} end"
+    walk = f"""
+      select sample_id, [{', '.join(METRICS)}] as point, cast(tree_id as int) as tree_id, 0 as node_id
+      from samples, range(8) t(tree_id)
+      union all
+      select sample_id, point, tree_id, 2 * node_id + case when point[axis] <= threshold then 1 else 2 end
+      from walk join nodes using (tree_id, node_id) where axis is not null"""
+    score = f"-pow(2, -sum(depth + {usual.format('size')}) / 8 / ({usual.format('any_value(biggest)')}))"
     return statement(
-        f"""select cast(place // 32 as int) as tree_id, cast(place % 32 + 1 as int) as rank, sample_id from (
-          select sample_id, row_number() over (order by {shared}, sample_id) - 1 as place from samples)
-        where place < 256""",
+        f"""select sample_id, {snap(score, 9)} as score
+        from walk join (select *, max(size) over () as biggest from nodes) using (tree_id, node_id)
+        where axis is null group by sample_id""",
         ["samples"],
+        [*_grown(8, 32, 5), ("walk", walk)],
+        recursive=True,
     )
 
 

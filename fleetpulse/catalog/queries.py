@@ -393,7 +393,7 @@ def forest_sample(spark, folder):
 
 @query
 def forest_sample_dealt(spark, folder):
-    """Few small trees, so that there are rows enough to deal every row to at most one tree."""
+    """Few small trees."""
     return forest.forest_sample(views.load_samples(spark, folder), n_trees=8, max_samples=32, seed=SEED)
 
 
@@ -402,6 +402,23 @@ def forest_fit(spark, folder):
     return forest.fit_forest(features.feature_table(views.load_samples(spark, folder)), FEATURES, seed=SEED)
 
 
+def metric_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Small trees over the metrics themselves."""
+    return forest.fit_forest(views.load_samples(spark, folder), METRICS, n_trees=8, max_samples=32, seed=SEED)
+
+
+@query
+def forest_fit_metrics(spark, folder):
+    return metric_forest(spark, folder).withColumn("threshold", snap("threshold", 2))
+
+
+@query
+def forest_score_metrics(spark, folder):
+    nodes = metric_forest(spark, folder).collect()  # 8 trees of at most 63 nodes
+    score = forest.ForestScorer(spark, nodes, max(n["size"] for n in nodes)).score(METRICS)
+    return views.load_samples(spark, folder).select("sample_id", snap(score, 9).alias("score"))
+
+
 def trained(spark: SparkSession, folder: str) -> tuple[DataFrame, detection.AnomalyModel, DataFrame]:
     rows = views.load_samples(spark, folder)
     bounds = rows.agg(F.min("ts"), F.max("ts")).first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def hash_number(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
+def hash_value(*parts: str | int) -> int:
+    """`hash_number` of plain values, worked out where it is called."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:HASH_DIGITS], 16)
+
+
 def hash_uniform(low: float, high: float, *parts: Column | str | int) -> Column:
     """A number in [low, high) that depends only on the given values."""
     return F.lit(float(low)) + F.lit(float(high - low)) * (hash_number(*parts) / F.lit(float(HASH_RANGE)))

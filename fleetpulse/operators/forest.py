@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.hashing import HASH_RANGE, hash_number
+from fleetpulse.functions.hashing import HASH_RANGE, hash_number, hash_value
 from fleetpulse.plans.ranks import exact_percentile
 from fleetpulse.schema import FOREST_SCHEMA
 
@@ -34,43 +34,39 @@ def average_path(size: int | float) -> float:
 def forest_sample(rows: DataFrame, n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> DataFrame:
     """Which rows each tree is grown from: `tree_id, rank, sample_id`, without replacement per tree.
 
-    With enough rows, each is hashed once and the smallest `n_trees * max_samples` hashes are dealt out
-    in runs, one run per tree; a cutoff keeps the ranked set near twice that number however long the
-    table is. With fewer rows every tree takes the smallest hashes of its own hash order.
+    Each row is hashed once. A tree's keys are a linear map of the hashes, modulo their range, and it takes the rows
+    with its smallest keys (all rows, if there are fewer); the law is the same for every number of rows. Only keys
+    below a cutoff leave a row, some four times as many as wanted, and only these are ranked.
     """
     total = rows.count()
-    wanted = n_trees * max_samples
-    ids = rows.select("sample_id")
-    if total >= wanted:
-        hashed = ids.withColumn("h", hash_number(seed, F.col("sample_id")))
-        cutoff = 2 * wanted * HASH_RANGE // total
-        while cutoff < HASH_RANGE and hashed.filter(F.col("h") < cutoff).count() < wanted:
-            cutoff *= 2
-        order = Window.orderBy("h", "sample_id")
-        return (
-            hashed.filter(F.col("h") < cutoff)
-            .withColumn("place", F.row_number().over(order) - 1)
-            .filter(F.col("place") < wanted)
-            .select(
-                F.floor(F.col("place") / max_samples).cast("int").alias("tree_id"),
-                (F.col("place") % max_samples + 1).cast("int").alias("rank"),
-                "sample_id",
-            )
-        )
-    per_tree = ids.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    per_tree = per_tree.repartition("tree_id")  # hash after the shuffle, where there are more tasks
-    hashed = per_tree.withColumn("h", hash_number(seed, F.col("tree_id"), F.col("sample_id")))
-    order = Window.partitionBy("tree_id").orderBy("h", "sample_id")
-    return (
-        hashed.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= max_samples)
-        .select("tree_id", "rank", "sample_id")
-    )
+    trees = range(n_trees)
+    # Factors below 2**11 keep the product of a 52-bit hash in a long; odd ones map no two hashes to one key.
+    factors = F.array(*[F.lit(2 * (hash_value(seed, "factor", t) % 1024) + 1).cast("bigint") for t in trees])
+    shifts = F.array(*[F.lit(hash_value(seed, "shift", t)).cast("bigint") for t in trees])
+
+    def keyed(h: Column, t: Column) -> Column:
+        return F.struct(t.alias("tree_id"), F.pmod(h * F.get(factors, t) + F.get(shifts, t), F.lit(HASH_RANGE)).alias("key"))
+
+    # The hash is an element of the array, not a free name in the function, so that it is computed once per row.
+    keys = F.transform(F.array_repeat(hash_number(seed, F.col("sample_id")), n_trees), keyed)
+    cutoff = 4 * max_samples * HASH_RANGE // max(1, total)
+    while True:
+        below = F.filter(keys, lambda k: k["key"] < F.lit(min(cutoff, HASH_RANGE)))  # noqa: B023
+        near = rows.select("sample_id", F.inline(below))
+        full = F.count_if(F.col("count") >= max_samples)
+        if cutoff >= HASH_RANGE or near.groupBy("tree_id").count().agg(full).first()[0] == n_trees:
+            break
+        cutoff *= 2
+    order = Window.partitionBy("tree_id").orderBy("key", "sample_id")
+    ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_samples)
+    return ranked.select("tree_id", "rank", "sample_id")
 
 
 def _grow(points: np.ndarray, tree_id: int, seed: int, height: int) -> pd.DataFrame:
-    """Isolate `points` by random cuts; node `i` has the children `2i + 1` and `2i + 2`."""
-    rng = np.random.default_rng([seed, tree_id])
+    """Isolate `points` by random cuts; node `i` has the children `2i + 1` and `2i + 2`.
+
+    Seed, tree and node decide a cut, so the order in which nodes are grown does not matter.
+    """
     nodes = []
     pending = [(0, 0, points)]
     while pending:
@@ -80,8 +76,9 @@ def _grow(points: np.ndarray, tree_id: int, seed: int, height: int) -> pd.DataFr
         if not len(varying):
             nodes.append((tree_id, node, None, None, None, None, len(members), depth))
             continue
-        feature = int(rng.choice(varying))
-        cut = float(rng.uniform(low[feature], high[feature]))
+        drawn, share = (hash_value(seed, what, tree_id, node) / HASH_RANGE for what in ("feature", "cut"))
+        feature = int(varying[int(drawn * len(varying))])
+        cut = float(low[feature] + share * (high[feature] - low[feature]))
         if cut >= high[feature]:  # rounding may reach the upper end, which would leave a side empty
             cut = float(low[feature])
         goes_left = members[:, feature] <= cut

@@ -80,11 +80,23 @@ def test_labels_and_threshold(spark, data, nodes, scored):
 
 def test_sample_without_replacement(spark):
     rows = spark.range(5000).withColumnRenamed("id", "sample_id")
-    for trees, size in ((10, 64), (100, 128)):  # dealt out once, and drawn per tree
+    for trees, size in ((10, 64), (100, 128)):
         drawn = forest_sample(rows, trees, size).toPandas()
         assert (drawn.groupby("tree_id")["sample_id"].nunique() == size).all() and len(drawn) == trees * size
 
 
+def test_one_law_at_every_size(spark):
+    """Trees overlap as independent draws do, whether or not there are rows enough for all of them."""
+    for total, size in ((2000, 199), (2000, 201), (20000, 199), (150, 199)):
+        rows = spark.range(total).withColumnRenamed("id", "sample_id")
+        drawn = forest_sample(rows, 10, size).toPandas()
+        share = min(1, size / total)
+        assert len(drawn) == 10 * min(size, total)
+        assert drawn["sample_id"].nunique() == pytest.approx(total * (1 - (1 - share) ** 10), rel=0.06)
+        again = forest_sample(rows.repartition(7), 10, size).toPandas()
+        assert set(map(tuple, drawn.to_numpy())) == set(map(tuple, again.to_numpy()))
+
+
 def test_few_rows(spark):
     nodes = fit_forest(matrix(spark, np.random.default_rng(0).normal(size=(3, 10))), COLUMNS, n_trees=4).collect()
     assert {n["size"] for n in nodes if n.node_id == 0} == {3}
