@@ -64,8 +64,8 @@ def precision_recall_at(scores: DataFrame, threshold: float) -> DataFrame:
 
 
 def _by_score(scores: DataFrame, *extra: Column) -> DataFrame:
-    """Positives and negatives per distinct score; ties meet here, before anything is ordered."""
-    return (
+    """Positives and negatives per distinct score, stored for several passes; ties meet here, before anything is ordered."""
+    return pinned(
         scores.groupBy(F.col("score").cast("double").alias("score"))
         .agg(F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") == 0).alias("neg"), *extra)
     )

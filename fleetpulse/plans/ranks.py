@@ -17,10 +17,13 @@ DIRECT_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 
 
-def value_at_rank(df: DataFrame, column: str, rank: int, direct_rows: int = DIRECT_ROWS):
-    """The value at 0-based `rank` in ascending order; NULLs are left out, None if out of range."""
+def value_at_rank(df: DataFrame, column: str, rank: int, direct_rows: int = DIRECT_ROWS, rows: int | None = None):
+    """The value at 0-based `rank` in ascending order; NULLs are left out, None if out of range.
+
+    `rows`: how many values there are, if that is known.
+    """
     left = df.select(column).filter(F.col(column).isNotNull())
-    rows = left.count()
+    rows = left.count() if rows is None else rows
     if not 0 <= rank < rows:
         return None
     value = F.col(column)
@@ -54,16 +57,21 @@ def value_at_rank(df: DataFrame, column: str, rank: int, direct_rows: int = DIRE
 
 
 def exact_percentile(df: DataFrame, column: str, fraction: float, direct_rows: int = DIRECT_ROWS) -> float | None:
-    """Percentile with linear interpolation between the two neighbouring values."""
+    """Percentile with linear interpolation between the two neighbouring values.
+
+    The lower one is searched for; the upper one is the same value again or the next larger one, which one pass tells.
+    """
     rows = df.filter(F.col(column).isNotNull()).count()
     if rows == 0:
         return None
     position = fraction * (rows - 1)
     rank = math.floor(position)
-    low = value_at_rank(df, column, rank, direct_rows)
+    low = value_at_rank(df, column, rank, direct_rows, rows)
     if position == rank:
         return float(low)
-    high = value_at_rank(df, column, rank + 1, direct_rows)
+    value = F.col(column)
+    up_to_low, above = df.agg(F.count_if(value <= F.lit(low)), F.min(F.when(value > F.lit(low), value))).first()
+    high = low if up_to_low > rank + 1 else above
     return float(low + (high - low) * (position - rank))
 
 

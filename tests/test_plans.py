@@ -35,16 +35,22 @@ def test_percentile_of_nothing(spark):
     assert exact_percentile(spark.createDataFrame([], "v double"), "v", 0.5) is None
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 40])
-def test_running_totals(spark, buckets):
+@pytest.mark.parametrize("buckets, per_group", [(1, 1000), (7, 1000), (40, 3), (40, 1)])
+def test_running_totals(spark, buckets, per_group):
     rows = spark.range(500).selectExpr("cast(id * id as double) as k", "pmod(hash(id), 9) as a", "id % 5 as b")
-    result = running_totals(rows, "k", ["a", "b"], following=["b"], buckets=buckets)
+    result = running_totals(rows, "k", ["a", "b"], following=["b"], buckets=buckets, buckets_per_group=per_group)
     ours = result.toPandas().sort_values("k", ignore_index=True)
     assert ours["cum_a"].tolist() == ours["a"].cumsum().tolist()
     assert ours["cum_b"].tolist() == ours["b"].cumsum().tolist()
     assert ours["next_b"].tolist()[:-1] == ours["b"].tolist()[1:] and np.isnan(ours["next_b"].iloc[-1])
 
 
+def test_running_totals_of_nothing_and_of_nulls(spark):
+    rows = spark.createDataFrame([(1.0, 2), (None, 5), (3.0, 4)], "k double, a int")
+    assert sorted(r["cum_a"] for r in running_totals(rows, "k", ["a"]).collect()) == [2, 6]
+    assert running_totals(rows.limit(0), "k", ["a"]).count() == 0
+
+
 def test_running_totals_keep_rows_apart(spark, plan_of):
     rows = spark.range(5000).selectExpr("cast(id as double) as k", "1 as a")
     plan = plan_of(running_totals(rows, "k", ["a"], buckets=16))
