@@ -46,6 +46,8 @@ from events""",
     "scored": "select sample_id, host, ts, y_true, -floor(cpu_pct) / 100.0E0 as score from samples",
     "counters": """
 select sample_id, host, ts, (sample_id * 104729) % 50000000 as read_bytes,
+  (sample_id * 65537 + 17) % 50000000 as write_bytes,
+  (sample_id * 15487 + proc_count * 3) % 50000000 as sent_bytes,
   (sample_id * 31337 + proc_count) % 50000000 as recv_bytes
 from samples""",
     "sensors": """
@@ -121,8 +123,7 @@ def ingest_counts():
 
 @oracle
 def store_roundtrip():
-    where = f"{COMPLETE} and ts between {RANGE_START} and {RANGE_END}"
-    return statement(f"select {SAMPLE_LIST} from gaps where {where}", ["gaps"])
+    return statement(f"select {SAMPLE_LIST} from gaps where {COMPLETE}", ["gaps"])
 
 
 @oracle
@@ -255,7 +256,7 @@ def _rate(counter: str) -> str:
     return snap(f"case when {elapsed} > 0 then greatest(0.0, {change}::double / {elapsed}) else 0.0 end")
 
 
-RATES = f"{_rate('read_bytes')} as read_bytes_rate, {_rate('recv_bytes')} as recv_bytes_rate"
+RATES = ", ".join(f"{_rate(c)} as {c}_rate" for c in ("read_bytes", "write_bytes", "sent_bytes", "recv_bytes"))
 
 
 @oracle
@@ -272,18 +273,15 @@ def counter_rates_stream():
 
 @oracle
 def fill_defaults():
-    return statement(
-        """select sample_id, host, coalesce(cpu_pct, 0.0) as cpu_pct, mem_pct,
-        coalesce(proc_count, 0) as proc_count, cpu_temp from gaps""",
-        ["gaps"],
-    )
+    filled = ", ".join(f"coalesce({m}, 0) as {m}" for m in [*METRICS, "proc_count"])
+    return statement(f"select sample_id, host, ts, {filled}, cpu_temp from gaps", ["gaps"])
 
 
 @oracle
 def sensor_coalesce():
+    reading = "coalesce(coretemp, k10temp, zenpower, cpu_thermal)"
     return statement(
-        "select sample_id, host, ts, coalesce(coretemp, k10temp, zenpower, cpu_thermal) as cpu_temp from sensors",
-        ["sensors"],
+        f"select sample_id, host, ts, {reading} as cpu_temp, {reading} as cpu_temp_of_map from sensors", ["sensors"]
     )
 
 
@@ -856,8 +854,7 @@ def ttt_label():
 @oracle
 def forecast_linear_fit():
     return statement(
-        f"""select host, {snap('slope')} as slope, {snap('intercept')} as intercept, n from fits
-        where metric = 'cpu_pct'""",
+        f"select host, metric, {snap('slope')} as slope, {snap('intercept')} as intercept, n from fits",
         ["samples"],
         FIT_CTES,
     )
@@ -865,9 +862,7 @@ def forecast_linear_fit():
 
 @oracle
 def forecast_residual_std():
-    return statement(
-        f"select host, {snap('residual_std')} as residual_std from fits where metric = 'cpu_pct'", ["samples"], FIT_CTES
-    )
+    return statement(f"select host, metric, {snap('residual_std')} as residual_std from fits", ["samples"], FIT_CTES)
 
 
 @oracle

@@ -139,8 +139,7 @@ def ingest_counts(spark, folder):
 def store_roundtrip(spark, folder):
     path = scratch_path(spark, "store")
     store.write_samples(views.with_gaps(views.load_samples(spark, folder)), path)
-    rows = scans.scan_samples(store.read_store(spark, path), RANGE_START, RANGE_END)
-    return rows.select("sample_id", *SAMPLE_COLUMNS)
+    return store.read_store(spark, path).select("sample_id", *SAMPLE_COLUMNS)
 
 
 @query
@@ -237,7 +236,7 @@ def stream_ingest(spark, folder):
     return result.select("sample_id", *SAMPLE_COLUMNS)
 
 
-COUNTERS = ["read_bytes", "recv_bytes"]
+COUNTERS = ["read_bytes", "write_bytes", "sent_bytes", "recv_bytes"]
 RATES = [f"{c}_rate" for c in COUNTERS]
 
 
@@ -258,13 +257,21 @@ def counter_rates_stream(spark, folder):
 @query
 def fill_defaults(spark, folder):
     filled = store.fill_defaults(views.with_gaps(views.load_samples(spark, folder)))
-    return filled.select("sample_id", "host", "cpu_pct", "mem_pct", "proc_count", "cpu_temp")
+    return filled.select("sample_id", *SAMPLE_COLUMNS)
 
 
 @query
 def sensor_coalesce(spark, folder):
     rows = views.sensors(views.load_samples(spark, folder))
-    return rows.select("sample_id", "host", "ts", store.sensor_temperature().alias("cpu_temp"))
+    names = ["coretemp", "k10temp", "zenpower", "cpu_thermal"]
+    readings = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
+    return rows.select(
+        "sample_id",
+        "host",
+        "ts",
+        store.sensor_temperature().alias("cpu_temp"),
+        store.sensor_map_temperature(readings).alias("cpu_temp_of_map"),
+    )
 
 
 # ---- time and text ------------------------------------------------------------------------------
@@ -630,16 +637,15 @@ def ttt_label(spark, folder):
 
 @query
 def forecast_linear_fit(spark, folder):
-    rows = labelled_rows(spark, folder).filter("metric = 'cpu_pct'")
-    return forecasting.fit_linear(rows, by=["host"]).select(
-        "host", snap("slope").alias("slope"), snap("intercept").alias("intercept"), "n"
+    return forecasting.fit_linear(labelled_rows(spark, folder)).select(
+        "host", "metric", snap("slope").alias("slope"), snap("intercept").alias("intercept"), "n"
     )
 
 
 @query
 def forecast_residual_std(spark, folder):
-    rows = labelled_rows(spark, folder).filter("metric = 'cpu_pct'")
-    return forecasting.fit_linear(rows, by=["host"]).select("host", snap("residual_std").alias("residual_std"))
+    fits = forecasting.fit_linear(labelled_rows(spark, folder))
+    return fits.select("host", "metric", snap("residual_std").alias("residual_std"))
 
 
 @query

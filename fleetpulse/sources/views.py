@@ -52,6 +52,8 @@ def counters(samples: DataFrame) -> DataFrame:
         "host",
         "ts",
         "(sample_id * 104729) % 50000000 as read_bytes",
+        "(sample_id * 65537 + 17) % 50000000 as write_bytes",
+        "(sample_id * 15487 + proc_count * 3) % 50000000 as sent_bytes",
         "(sample_id * 31337 + proc_count) % 50000000 as recv_bytes",
     )
 

@@ -55,10 +55,10 @@ def test_features(spark, samples, stream, tmp_path):
 
 
 def test_rates(spark, samples, stream, tmp_path):
-    names = ["read_bytes", "recv_bytes"]
+    names = ["read_bytes", "write_bytes", "sent_bytes", "recv_bytes"]
     result = run(spark, counter_rate_stream(counters(stream), names), tmp_path)
     assert result.filter("late").count() == 20
-    columns = ["sample_id", "read_bytes_rate", "recv_bytes_rate"]
+    columns = ["sample_id", *[f"{n}_rate" for n in names]]
     batch = counter_rates(counters(samples), names).select(columns)
     assert sorted(result.filter("not late").select(columns).collect()) == sorted(batch.collect())
 
