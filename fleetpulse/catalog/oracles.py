@@ -875,6 +875,28 @@ def forecast_multi_metric():
     )
 
 
+@oracle
+def forecast_linear_two():
+    """Normal equations of two regressors, solved by Cramer's rule."""
+    sums = {"s11": ("x1", "x1"), "s12": ("x1", "x2"), "s22": ("x2", "x2"), "s1y": ("x1", "y"), "s2y": ("x2", "y")}
+    centred = ", ".join(f"sum(({a} - m{a}) * ({b} - m{b})) as {name}" for name, (a, b) in sums.items())
+    known = "known", "select cpu_pct as x1, mem_pct as x2, ttt_cpu_pct as y from labelled where ttt_cpu_pct is not null"
+    means = "means", "select avg(x1) as mx1, avg(x2) as mx2, avg(y) as my from known"
+    slopes = "slopes", f"""
+      select (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) as b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) as b2,
+        any_mx1 as mx1, any_mx2 as mx2, any_my as my
+      from (select {centred}, any_value(mx1) as any_mx1, any_value(mx2) as any_mx2, any_value(my) as any_my from known, means)"""
+    line = "my + b1 * ({} - mx1) + b2 * ({} - mx2)"
+    spread = "spread", f"select stddev_pop(y - ({line.format('x1', 'x2')})) as sd from known, slopes"
+    guess = "guess", f"select sample_id, {line.format('cpu_pct', 'mem_pct')} as p, sd from labelled, slopes, spread"
+    return statement(
+        f"""select sample_id, {snap('p', 4)} as time_to_threshold_minutes,
+          {snap('greatest(0, p - 1.96 * sd)', 4)} as confidence_lower, {snap('p + 1.96 * sd', 4)} as confidence_upper from guess""",
+        ["samples"],
+        [LABELLED, known, means, slopes, spread, guess],
+    )
+
+
 FORECAST_SNAPPED = ", ".join(
     f"{snap(c)} as {c}" for c in ("time_to_threshold_minutes", "confidence_lower", "confidence_upper")
 )

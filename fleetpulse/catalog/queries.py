@@ -681,6 +681,14 @@ def forecast_gbt_fit(spark, folder):
     return fitted.predict(labelled).select("sample_id", "ttt_cpu_pct", *FORECAST_COLUMNS)
 
 
+@query
+def forecast_linear_two(spark, folder):
+    """Linear regression on two metrics, few enough for a closed form."""
+    labelled = forecasting.time_to_threshold(views.load_samples(spark, folder), {"cpu_pct": 90.0})
+    fitted = forecasting.fit_forecaster(labelled, ["cpu_pct", "mem_pct"], "ttt_cpu_pct", algo="linear")
+    return fitted.predict(labelled).select("sample_id", *[snap(c, 4).alias(c) for c in FORECAST_COLUMNS])
+
+
 @query
 def forecast_linear_features(spark, folder):
     """Linear regression on all metrics at once, by normal equations."""
