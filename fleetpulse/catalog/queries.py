@@ -144,13 +144,13 @@ def store_roundtrip(spark, folder):
 
 @query
 def scan_range(spark, folder):
-    rows = scans.scan_samples(views.load_samples(spark, folder), RANGE_START, RANGE_END, host="h3")
+    rows = scans.scan_samples(views.load_samples(spark, folder, RANGE_START, RANGE_END), RANGE_START, RANGE_END, host="h3")
     return rows.select("sample_id", *SAMPLE_COLUMNS)
 
 
 @query
 def scan_all_hosts(spark, folder):
-    rows = scans.scan_samples(views.load_samples(spark, folder), RANGE_START, RANGE_END, host="")
+    rows = scans.scan_samples(views.load_samples(spark, folder, RANGE_START, RANGE_END), RANGE_START, RANGE_END, host="")
     return rows.select("sample_id", *SAMPLE_COLUMNS)
 
 
@@ -220,7 +220,7 @@ def registry_latest(spark, folder):
 @query
 def export_roundtrip(spark, folder):
     path = scratch_path(spark, "export")
-    rows = scans.scan_samples(views.load_samples(spark, folder), RANGE_START, RANGE_END)
+    rows = scans.scan_samples(views.load_samples(spark, folder, RANGE_START, RANGE_END), RANGE_START, RANGE_END)
     rows = rows.select("sample_id", *SAMPLE_COLUMNS)
     store.export_samples(rows, f"{path}/csv", "csv")
     store.export_samples(rows, f"{path}/json", "json")

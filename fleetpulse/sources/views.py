@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SAMPLES_SQL = """
 select event_id as sample_id,
@@ -34,8 +37,22 @@ def samples_from_events(events: DataFrame) -> DataFrame:
     return events.sparkSession.sql(SAMPLES_SQL, events=events)
 
 
-def load_samples(spark: SparkSession, folder: str) -> DataFrame:
-    return samples_from_events(read_table(spark, folder, "events"))
+def load_samples(
+    spark: SparkSession, folder: str, start_ts: int | None = None, end_ts: int | None = None
+) -> DataFrame:
+    """Samples of the table, or those with `start_ts <= ts <= end_ts`. These bounds are put on the column as it is
+    stored, so that they reach the scan; on a sample's whole seconds they could not."""
+    events = read_table(spark, folder, "events")
+    kind = events.schema["ts"].dataType.simpleString()
+
+    def second(ts: int):
+        return F.expr(f"{kind} '{datetime.fromtimestamp(ts, timezone.utc):%Y-%m-%d %H:%M:%S}'")
+
+    if start_ts is not None:
+        events = events.filter(F.col("ts") >= second(start_ts))
+    if end_ts is not None:
+        events = events.filter(F.col("ts") < second(end_ts + 1))
+    return samples_from_events(events)
 
 
 def surrogate_scores(samples: DataFrame) -> DataFrame:

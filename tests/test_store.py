@@ -1,4 +1,5 @@
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.durations import duration_seconds, epoch_to_local, format_duration, parse_duration, time_range
@@ -20,6 +21,7 @@ from fleetpulse.sources.store import (
     validate_samples,
     write_samples,
 )
+from fleetpulse.sources.views import load_samples
 
 
 def ten(spark, start=1_000_000, step=1):
@@ -143,3 +145,9 @@ def test_forecasts(spark, samples):
     low, high = spark.range(1).select(*interval(F.lit(5.0), F.lit(2.0), 0.9)).first()
     assert (low, high) == pytest.approx((1.71, 8.29))
     assert tuple(spark.range(1).select(*interval(F.lit(-5.0), F.lit(None).cast("double"))).first()) == (-5.0, -5.0)
+
+
+def test_bounds_on_a_table_reach_its_scan(spark, plan_of):
+    ranged = load_samples(spark, SMALL, 1704412800, 1706140799)
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan_of(ranged)
+    assert ranged.count() == load_samples(spark, SMALL).filter("ts between 1704412800 and 1706140799").count()
