@@ -8,7 +8,9 @@ block is in it). Unary weights and two-state transitions are trained by maximum
 gives the most likely sequence of main and other blocks.
 
 Text: character references decoded, white space inside a block turned into one space, trimmed, blocks joined by a
-newline in page order. Scripts, styles, comments and other elements without visible text are no blocks.
+newline in page order. Scripts, styles, comments and other elements without visible text are no blocks. Of those, only
+elements of raw text and comments run to the end of the page if nothing closes them; other unclosed ones and self-closed
+ones are empty. A head has no text of its own: what is not hidden by itself there belongs to the body.
 
 Each page is worked out alone in its task, from the whole html; the model has some hundred weights.
 
@@ -40,9 +42,12 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"button", "option", "optgroup", "select", "textarea", "body", "html", "legend", "summary"}
 SAME = frozenset("li dd dt option tr td th".split())  # a second one ends the first
-HIDDEN = "script|style|template|noscript|svg|iframe|object|head|title|math|canvas|audio|video"
+RAW = "script|style|title|iframe"  # hidden, and nothing in them is a tag
+HIDDEN = "template|noscript|svg|object|canvas|audio|video"
 
-_UNSEEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+_REST = r"""(?=[\s/>])(?:(?:"[^"]*"|'[^']*'|[^'">])*|[^>]*)"""  # of an opening tag, after the name
+_UNSEEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW}){_REST}(?:(?<=/)>|>.*?(?:</\1(?=[\s/>])[^>]*>|\Z))|<[!?][^>]*>", re.S | re.I)
+_HIDING = re.compile(rf"<(/?)({HIDDEN}){_REST}>", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|keep)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -51,9 +56,35 @@ _SPACE = re.compile(r"\s+")
 Block = tuple[str, list[str], bool]  # text, features, marked
 
 
+def visible(page: str) -> str:
+    """The page without its hidden parts, a space for each."""
+    page = _UNSEEN.sub(" ", page)
+    parts: list[tuple[int, int]] = []  # from the first to the last character of a closed element or a lone tag
+    opened: list[tuple[str, int]] = []
+    count = dict.fromkeys(HIDDEN.split("|"), 0)
+    for tag in _HIDING.finditer(page):
+        name, start = tag[2].lower(), tag.start()
+        if tag[1] and count[name]:
+            last = ""
+            while last != name:
+                last, start = opened.pop()
+                count[last] -= 1
+        elif not tag[1] and page[tag.end() - 2] != "/":
+            opened.append((name, start))
+            count[name] += 1
+        while parts and parts[-1][0] >= start:
+            parts.pop()
+        parts.append((start, tag.end()))
+    out, at = [], 0
+    for start, end in parts:
+        out += [page[at:start], " "]
+        at = end
+    return "".join(out) + page[at:]
+
+
 def leaf_blocks(page: str, bare: bool = False) -> list[Block]:
     """The page's leaf blocks in order. `bare` leaves attributes out of the features."""
-    page = _UNSEEN.sub(" ", page)
+    page = visible(page)
     stack: list[tuple[str, list[str], bool]] = []
     out: list[tuple[str, int, list[tuple[str, list[str], bool]]]] = []
     texts: list[str] = []
@@ -100,7 +131,7 @@ def leaf_blocks(page: str, bare: bool = False) -> list[Block]:
                     if stack[i][0] in BLOCKS:
                         break
             end()
-        if name in VOID or tag[3].endswith("/"):
+        if name in VOID or name == "head" or tag[3].endswith("/"):
             continue
         names, kept = [], False
         for attribute in _ATTRIBUTE.finditer(tag[3]) if tag[3] else ():

@@ -107,6 +107,23 @@ def test_html_extraction(spark):
     assert [r.text for r in found if r.page_id in (2, 3)] == ["", ""]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<head><title>t</title><body><article><p>a</p></article>", "a"),
+    ("<head><title>t</title><meta charset=x><p>a</p>", "a"),
+    ("<article><p>a <svg class=i/> b</p><p>c</p></article>", "a b|c"),
+    ("<p>a <svg-icon name=x></svg-icon>b</p><video-js>c</video-js><p>d</p>", "a b|c|d"),
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p>", "a x=1 b"),
+    ("<p>a</p><video src=x><p>b</p><video src=y>no</video><p>c</p>", "a|b|c"),
+    ("<p>a</p><object>no<object>no</object>no</object><p>b</p>", "a|b"),
+    ("<p>a</p><svg><video></svg><p>b</p></video>", "a|b"),
+    ("<p>a</p><script>no</scripty><p>no</p>", "a"),
+    ("<p>a</p><script src=x/></script><p>b</p><SCRIPT>no<p></SCRIPT ><p>c</p><!-- no", "a|b|c"),
+    ("<p>a</p><svg data-x='>'><text>no</text></svg><p>b</p><style>no<p>no", "a|b"),
+])
+def test_only_hidden_parts_are_dropped(page, want):
+    assert "|".join(text for text, _, _ in html_extraction.leaf_blocks(page)) == want
+
+
 def test_viterbi_is_the_best_sequence():
     rng = np.random.default_rng(3)
     weights, moves = {f"f{i}": tuple(rng.normal(size=2)) for i in range(6)}, rng.normal(size=(2, 2))
