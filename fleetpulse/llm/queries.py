@@ -50,12 +50,15 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def list_entries(pages: DataFrame) -> DataFrame:
-    """Dated entries of four lists about the patterns that the pages' own URLs have.
+    """Dated entries of four lists about the patterns that the pages' own URLs have: host with segment, host, and its
+    parents of two labels or more.
 
     For a list, a pattern is added on a day of the first half of 2024 if its number says so, and for half of
     them removed 30 to 179 days later.
     """
-    every = F.array(*url_filters.patterns(F.col("url")))
+    host = url_filters.host_of(F.col("url"))
+    parents = F.filter(url_filters.suffixes(host), lambda p: (p == host) | p.contains("."))
+    every = F.concat(F.array(url_filters.with_segment(F.col("url"))), parents)
     known = pages.select(F.explode(every).alias("pattern")).where("pattern is not null").distinct()
     lists = F.array(*[F.struct(F.lit(n).alias("list"), F.lit(k).alias("kind"), F.lit(m).alias("one_in")) for n, k, m in LISTS])
     named = known.select("pattern", F.explode(lists).alias("x")).select("pattern", "x.*")

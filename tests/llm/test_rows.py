@@ -204,3 +204,20 @@ def test_url_filters(spark):
     found = url_filters.judge(seen, listed).collect()
     assert len(found) == len(cases) and all(r.decision == r.want for r in found)
     assert {r.decision for r in url_filters.judge(seen, listed.limit(0)).collect()} == {"none"}
+
+
+def test_url_filters_cover_subdomains_at_every_depth(spark):
+    day = datetime.date.fromisoformat
+    entries = [
+        ("bad", "block", "shop.example.co.uk", "2024-01-01", "add"), ("good", "allow", "d.shop.example.co.uk", "2024-03-01", "add"),
+        ("bad", "block", "d.shop.example.co.uk/x", "2024-01-01", "add"), ("bad", "block", "intern", "2024-01-01", "add"),
+    ]
+    cases = [
+        ("http://www.shop.example.co.uk/", "2024-02-01", "block", "shop.example.co.uk"), ("http://a.b.c.d.shop.example.co.uk/x", "2024-02-01", "block", "shop.example.co.uk"),
+        ("http://a.b.c.d.shop.example.co.uk/x", "2024-03-01", "allow", "d.shop.example.co.uk"), ("http://d.shop.example.co.uk/x", "2024-03-01", "block", "d.shop.example.co.uk/x"),
+        ("http://a.b.intern/", "2024-02-01", "block", "intern"), ("http://www.example.co.uk/", "2024-02-01", "none", None), ("http://xshop.example.co.uk/", "2024-02-01", "none", None),
+    ]
+    listed = spark.createDataFrame([(a, b, c, day(d), e) for a, b, c, d, e in entries], "list string, kind string, pattern string, listed date, action string")
+    seen = spark.createDataFrame([(i, u, day(d), w, p) for i, (u, d, w, p) in enumerate(cases)], "page_id long, url string, fetched date, want string, expected string")
+    found = url_filters.judge(seen, listed).collect()
+    assert len(found) == len(cases) and all((r.decision, r.pattern) == (r.want, r.expected) for r in found)
