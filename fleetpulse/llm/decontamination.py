@@ -1,4 +1,4 @@
-"""Documents that contain a benchmark item, give or take some words: CGK embedding, bit-sampling LSH, exact check.
+"""Documents that contain a benchmark item, give or take some words: lossless gate, lossless seeds, exact check.
 
 A document is contaminated by an item of n words if n consecutive words of it are within an edit distance (insert,
 delete, replace a word) of floor(n * EDITS) of the item. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased.
@@ -6,13 +6,11 @@ delete, replace a word) of floor(n * EDITS) of the item. Words are `[^\\x20\\x09
 1. Gate, which loses nothing: a window so close to an item keeps at least n - e of its words and n - 1 - 2e of its
    word pairs, so windows with fewer words or pairs that occur in any item cannot match one of that length. The words
    and pairs of the items are a table of bits, and a window's count is a difference of running sums.
-2. CGK (Chakraborty, Goldenberg, Koucky, 2016): REPEATS random walks copy a window's words to a string of 2n places;
-   at each step a bit that depends on step and word says whether the walk moves on. Strings of texts at edit distance
-   k differ in few places.
-3. Bit sampling: each walk's string is read at SAMPLED random places, and equal readings make a window and an item of
-   that length a candidate pair. With a share d of differing places the chance to meet is
-   1 - (1 - (1 - d)^SAMPLED)^REPEATS: 99.8 % at d = 0.3 and 96 % at d = 0.4.
-4. Candidates are checked by their exact edit distance.
+2. Seeds, which lose nothing either: an item is cut into e + 1 seeds of floor(n / (e + 1)) words (and what is left over).
+   e edits spoil at most e of them, so one seed at least stands unchanged in the window, at most e places from its place
+   in the item. A window and an item of that length with such a seed are a candidate pair, at any length and any number
+   of edits.
+3. Candidates are checked by their exact edit distance.
 
 Items are read in blocks of some ITEM_WORDS words by the hash of their ids; each block's tables are broadcast (bounded
 by that number) and each block is one pass over the documents, without any shuffle but that of the findings.
@@ -35,41 +33,27 @@ from fleetpulse.llm.words import mix, windows, word_runs
 from fleetpulse.session import pinned
 
 EDITS = 0.15
-REPEATS = 24
-SAMPLED = 4
 ITEM_WORDS = 500_000
 BITS = 22
 HELD = 16384  # windows of one length that a task looks up at once
 
 
-def cgk_walks(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For texts of n words and each repeat: an odd multiplier per step, whose top bit moves the walk, and the steps read.
+def seed_numbers(texts: np.ndarray, size: int) -> np.ndarray:
+    """The number of the `size` words that begin at each place of each row of `texts`: rows x places."""
+    places = texts.shape[1] - size + 1
+    total = np.zeros((len(texts), places), np.uint64)
+    for k in range(size):
+        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + texts[:, k : k + places])
+    return total
 
-    Walks move every other step on average, so most have ended after 2n steps; only those are read.
-    """
-    rng = np.random.default_rng((20160619, n))
-    salts = rng.integers(0, 1 << 63, (REPEATS, 2 * n), np.uint64) * np.uint64(2) + np.uint64(1)
-    read = np.zeros((REPEATS, 2 * n), bool)
-    for own in read:
-        own[rng.choice(2 * n, min(SAMPLED, 2 * n), replace=False)] = True
-    return salts, read
-
-
-def cgk_readings(texts: np.ndarray, walks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The number that each repeat reads of each row of `texts` (n words each): repeats x rows."""
-    rows, n = texts.shape
-    salts, read = walks
-    ended = np.concatenate((texts, np.zeros((rows, n), np.uint64)), axis=1).ravel()  # a walk stays within 2n places
-    base = np.arange(rows) * 2 * n
-    at = np.zeros((len(salts), rows), np.int64)
-    reading = np.zeros((len(salts), rows), np.uint64)
-    for step in range(read.any(axis=0).nonzero()[0].max() + 1):
-        word = ended[base + np.minimum(at, 2 * n - 1)]
-        own = np.flatnonzero(read[:, step])
-        if len(own):
-            reading[own] = mix(reading[own] * np.uint64(0x9E3779B97F4A7C15) + word[own])
-        at += ((word * salts[:, step, None]) >> np.uint64(63)).astype(np.int64)
-    return reading
+
+def seed_table(table: np.ndarray, edits: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The seeds of items of n words each (rows of `table`): their size, and sorted by number their numbers, rows and places."""
+    size = table.shape[1] // (edits + 1)
+    places = np.arange(edits + 1) * size
+    numbers = seed_numbers(table, size)[:, places].ravel()
+    order = np.argsort(numbers, kind="stable")
+    return size, numbers[order], order // len(places), places[order % len(places)]
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,7 +77,7 @@ def _bit(numbers: np.ndarray) -> np.ndarray:
 
 
 def item_tables(ids: list[int], texts: list[str], edits: float = EDITS) -> dict:
-    """Of one block of items: bits of words and word pairs; by length the ids, words and readings."""
+    """Of one block of items: bits of words and word pairs; by length the ids, words and seeds."""
     some_words, some_pairs = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
     grouped: dict[int, tuple[list[int], list[np.ndarray]]] = {}
     for row, offsets, numbers in word_runs(pa.array(texts, pa.string()), lower=True):
@@ -107,9 +91,8 @@ def item_tables(ids: list[int], texts: list[str], edits: float = EDITS) -> dict:
                 group[1].append(own)
     by_length = {}
     for n, (names, rows) in sorted(grouped.items()):
-        table, walks = np.stack(rows), cgk_walks(n)
-        readings = [(numbers[order], order) for numbers in cgk_readings(table, walks) for order in [np.argsort(numbers, kind="stable")]]
-        by_length[n] = (np.array(names, np.int64), table, walks, readings)
+        table = np.stack(rows)
+        by_length[n] = (np.array(names, np.int64), table, seed_table(table, int(n * edits)))
     return {"edits": edits, "words": some_words, "pairs": some_pairs, "by_length": by_length}
 
 
@@ -139,24 +122,33 @@ def gated(items: dict, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple
 def matched(items: dict, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, item and edit distance of the windows (rows of n words) that match an item."""
     n = texts.shape[1]
-    names, table, walks, readings = items["by_length"][n]
+    names, table, (size, seeds, seeded, seed_at) = items["by_length"][n]
+    edits = int(n * items["edits"])
+    step = max(1, (1 << 17) // n)
     # Windows with equal words are looked up once.
     whole = mix(texts * np.arange(1, 2 * n, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
     _, first, which = np.unique(whole, return_index=True, return_inverse=True)
     found = [np.empty((3, 0), np.int64)]
-    for part in range(0, len(first), 2048):
-        own = texts[first[part : part + 2048]]
-        met = []
-        for (numbers, order), reading in zip(readings, cgk_readings(own, walks)):
-            low, high = np.searchsorted(numbers, reading, "left"), np.searchsorted(numbers, reading, "right")
-            w = np.repeat(np.arange(len(own)), high - low)
-            offset = np.arange(len(w)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-            met.append(w * len(names) + order[np.repeat(low, high - low) + offset])
+    for part in range(0, len(first), step):
+        own = texts[first[part : part + step]]
+        numbers = seed_numbers(own, size)
+        w, at = np.nonzero(np.isin(numbers, seeds))
+        reading = numbers[w, at]
+        low, high = np.searchsorted(seeds, reading, "left"), np.searchsorted(seeds, reading, "right")
+        met = [np.empty(0, np.int64)]
+        # Runs of readings that meet some 2**20 seeds together.
+        ends = np.cumsum(high - low)
+        cuts = np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]) if len(ends) else 0, 1 << 20), "left")
+        for run in np.split(np.arange(len(w)), np.unique(cuts)):
+            many = high[run] - low[run]
+            hit = np.repeat(low[run], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            near = np.abs(np.repeat(at[run], many) - seed_at[hit]) <= edits
+            met.append(np.unique(np.repeat(w[run], many)[near] * len(names) + seeded[hit[near]]))
         pairs = np.unique(np.concatenate(met))
-        for at in range(0, len(pairs), 4096):
-            w, item = pairs[at : at + 4096] // len(names), pairs[at : at + 4096] % len(names)
+        for begin in range(0, len(pairs), 4096):
+            w, item = pairs[begin : begin + 4096] // len(names), pairs[begin : begin + 4096] % len(names)
             far = edit_distances(own[w], table[item])
-            near = far <= int(n * items["edits"])
+            near = far <= edits
             found.append(np.stack((w[near] + part, item[near], far[near])))
     window, item, far = np.concatenate(found, axis=1)
     order = np.argsort(which, kind="stable")

@@ -182,6 +182,28 @@ def test_decontamination(spark):
     assert left == {d for d, _ in docs} - {d for d, _ in found}
 
 
+@pytest.mark.parametrize(("n", "trials"), [(1, 4), (7, 30), (50, 30), (100, 30), (200, 20), (400, 12)])
+def test_every_item_at_the_allowed_edits_is_found(n, trials):
+    rng = random.Random(n)
+    vocabulary = np.random.default_rng(n).integers(0, 1 << 63, 300, np.uint64)
+    edits = int(n * decontamination.EDITS)
+    items = [[rng.randrange(300) for _ in range(n)] for _ in range(5)]
+    table = vocabulary[np.array(items)]
+    seeds = decontamination.seed_table(table, edits)
+    known = {"edits": decontamination.EDITS, "by_length": {n: (np.arange(5), table, seeds)}}
+    texts, expected = [], set()
+    for trial in range(trials):
+        text = list(items[trial % 5])
+        for _ in range(edits):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = rng.choice(([], [rng.randrange(300)], [text[at], rng.randrange(300)]))
+        text = (text + [rng.randrange(300) for _ in range(n)])[:n]
+        texts.append(text)
+        expected |= {(trial, i, d) for i, own in enumerate(items) if (d := distance(text, own)) <= edits}
+    found = decontamination.matched(known, vocabulary[np.array(texts)])
+    assert expected and set(zip(*(x.tolist() for x in found))) == expected
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
