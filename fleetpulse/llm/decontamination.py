@@ -199,6 +199,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that contain an item; rows that share an id go together."""
-    bad = pinned(contaminations(docs, benchmark).select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` without the rows that contain an item, each judged by its own text; rows without an id stay. Items without
+    an id are searched too."""
+    number = F.xxhash64(F.col("text").cast("string"))
+    own = F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), number)
+    items = columns(benchmark, item_id="long", text="string").withColumn("item_id", F.coalesce("item_id", number))
+    bad = pinned(contaminations(docs.select(own.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__bad")).distinct())
+    return docs.withColumn("__own", own).join(bad, F.col("__own") == F.col("__bad"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -63,6 +63,11 @@ def _kept_words(data: np.ndarray) -> list[bytes]:
     return data.tobytes().split()  # bytes.split() cuts at \x20 and \x09-\x0D
 
 
+def _whole(words: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two numbers that tell a sequence of words."""
+    return (windows(words, len(words))[0], windows(mix(words), len(words))[0]) if len(words) else (np.uint64(0), np.uint64(0))
+
+
 def fingerprints(docs: DataFrame, window: int) -> DataFrame:
     """For each document its number of words, two numbers and the SHA-256 of its words, and its anchors."""
 
@@ -72,11 +77,10 @@ def fingerprints(docs: DataFrame, window: int) -> DataFrame:
         for row, offsets, words in word_runs(batch.column("text")):
             for k in range(len(offsets) - 1):
                 own = words[offsets[k] : offsets[k + 1]]
-                whole = windows(own, len(own)) if len(own) else np.zeros(1, np.uint64)
-                other = windows(mix(own), len(own)) if len(own) else np.zeros(1, np.uint64)
+                whole, other = _whole(own)
                 counts.append(len(own))
-                first.append(whole[0])
-                second.append(other[0])
+                first.append(whole)
+                second.append(other)
                 text = b" ".join(_kept_words(data[at[row + k] : at[row + k + 1]]))
                 shas.append(hashlib.sha256(text).hexdigest())
                 anchors.append(np.unique(_anchors(own, window)))
@@ -230,13 +234,13 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         found.prints.select("doc_id", "n_words", "s1", "s2")
         .join(found.leads, ["s1", "s2"])
         .where((F.col("doc_id") > F.col("lead")) & (F.col("n_words") >= window))
-        .select("doc_id", F.lit(True).alias("is_copy"), F.lit(None).cast("array<long>").alias("gone"))
+        .select("doc_id", F.struct("s1", "s2").alias("copy"), F.lit(None).cast("array<long>").alias("gone"))
     )
     # An id may belong to several rows with different words, so both kinds of loss are judged row by row below.
     losses = pinned(
-        copies.unionByName(found.lost.withColumn("is_copy", F.lit(False)).select("doc_id", "is_copy", "gone"))
+        copies.unionByName(found.lost.select("doc_id", F.lit(None).cast("struct<s1:long,s2:long>").alias("copy"), "gone"))
         .groupBy("doc_id")
-        .agg(F.max("is_copy").alias("is_copy"), F.max("gone").alias("gone"))
+        .agg(F.collect_set("copy").alias("copies"), F.max("gone").alias("gone"))
     )
     names = docs.columns
     schema = docs.schema
@@ -248,7 +252,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     touched = F.col("l.doc_id").isNotNull()
     # Only rows with losses go through Python; the rest pass unchanged.
     both = joined.select(
-        *[F.col(f"d.`{n}`") for n in names], F.col("l.is_copy").alias("__copy"), F.col("l.gone").alias("__gone"), touched.alias("__touched")
+        *[F.col(f"d.`{n}`") for n in names], F.col("l.copies").alias("__copies"), F.col("l.gone").alias("__gone"), touched.alias("__touched")
     )
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -256,12 +260,18 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             [batch.column(place), batch.column(len(names) + 1)], names=["text", "gone"]
         )
         texts = batch.column(place).to_pylist()
-        copy = batch.column(len(names)).to_pylist()
+        copies = batch.column(len(names)).to_pylist()
         for k, _, _, stay in _cut(plain, window):
             if stay is not None:
                 texts[k] = b" ".join(stay).decode("utf-8")
+        for row, offsets, words in word_runs(plain.column("text")):
+            for k in range(row, row + len(offsets) - 1):
+                if copies[k]:
+                    s1, s2 = longs(np.array(_whole(words[offsets[k - row] : offsets[k - row + 1]]), np.uint64)).to_pylist()
+                    if {"s1": s1, "s2": s2} in copies[k]:
+                        texts[k] = ""
         out = [batch.column(i) for i in range(len(names))]
-        out[place] = pa.array(["" if c else t for c, t in zip(copy, texts)], batch.column(place).type)
+        out[place] = pa.array(texts, batch.column(place).type)
         yield pa.RecordBatch.from_arrays(out, names=names)
 
     rewritten = arrow_map(both.where("__touched"), work, schema)

@@ -122,14 +122,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return out, bias
 
 
+def _scores(texts: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
+    weight, bias = model
+    raw = np.array([bias + float(weight[_features(t.as_py())].sum()) for t in texts])
+    return 1 / (1 + np.exp(-np.clip(raw, -60, 60)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        weight, bias = sent.value
-        raw = np.array([bias + float(weight[_features(t.as_py())].sum()) for t in batch.column("text")])
-        scores = 1 / (1 + np.exp(-np.clip(raw, -60, 60)))
+        scores = _scores(batch.column("text"), sent.value)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],
             names=["doc_id", "held_out", "score", "predicted"],
@@ -139,14 +143,24 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return arrow_map(rows, work, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from what is not held out and score all documents."""
+def _learned(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """The model of what is not held out."""
     rows = columns(docs, doc_id="long", text="string")
     known = columns(labels, doc_id="long", toxic="int")
-    return score(rows, learn(rows.where(~held_out()), known.where(~held_out())))
+    return learn(rows.where(~held_out()), known.where(~held_out()))
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Learn from what is not held out and score all documents."""
+    return score(docs, _learned(docs, labels))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without the documents that are predicted toxic; rows without an id stay, rows that share one go together."""
-    bad = pinned(judge(docs, labels).where("predicted = 1 and doc_id is not null").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` without the rows that are predicted toxic, each judged by its own text, with or without an id."""
+    sent = docs.sparkSession.sparkContext.broadcast(_learned(docs, labels))
+    place = docs.columns.index("text")
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(_scores(batch.column(place), sent.value) < THRESHOLD))
+
+    return arrow_map(docs, work, docs.schema)

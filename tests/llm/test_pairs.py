@@ -123,6 +123,18 @@ def test_substring_dedup(docs, rows):
     assert sum(len(split(r.text)) for r in kept.collect()) == sum(n - gone for _, n, gone, _ in brute_cut(rows))
 
 
+def test_rows_under_one_id_are_judged_by_their_own_words(spark):
+    copied, unique = " ".join(f"c{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(3, copied), (7, copied), (7, unique), (7, "a short text"), (7, None), (None, copied), (8, copied + " and more")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(substring_dedup.drop_repeats(frame).collect(), key=str)
+    want = [(3, copied), (7, ""), (7, unique), (7, "a short text"), (7, None), (None, copied), (8, "and more")]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+    items = spark.createDataFrame([(None, unique), (1, "a short text")], "item_id long, text string")
+    left = decontamination.drop_contaminated(frame, items).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([r for r in rows if r[1] not in (unique, "a short text")], key=str)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(7, 7)]

@@ -55,6 +55,16 @@ def test_toxicity(spark):
     assert toxicity.judge(frame.limit(0), known).count() == 0
 
 
+def test_drop_toxic_judges_each_row(spark, monkeypatch):
+    weight = np.zeros(1 << toxicity.BITS, np.float32)
+    weight[toxicity._features("grumbo")] = 100
+    monkeypatch.setattr(toxicity, "learn", lambda *_: (weight, -50.0))
+    rows = [(None, "a grumbo here", "x", "s"), (None, "plain", "x", "s"), (7, "a grumbo here", "x", "s"), (7, "plain", "x", "s"), (8, None, "x", "s")]
+    frame = spark.createDataFrame(rows, EMPTY)
+    left = toxicity.drop_toxic(frame, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([r for r in rows if r[1] != "a grumbo here"], key=str)
+
+
 def test_nnpu_keeps_risk_non_negative():
     rng = np.random.default_rng(0)
     p, u = (rng.random((2000, 20)) < 0.5).astype(float), (rng.random((8000, 20)) < 0.5).astype(float)
