@@ -186,6 +186,40 @@ def test_schedule_stays_within_a_block():
         assert [b for _, (_, n, b, _, _, _) in sorted(slots.items()) if n == name] == list(range(count))
 
 
+@pytest.mark.parametrize("sizes", [[10, 57, 300, 1900, 11_000, 61_000, 333_333], [20_000] + [4] * 1500])
+def test_long_schedules_stay_within_a_block_of_the_true_weights(sizes):
+    blocks, weights = {f"s{i:04}": n for i, n in enumerate(sizes)}, {f"s{i:04}": n**0.5 for i, n in enumerate(sizes)}
+    plan = mixing.fair_schedule(blocks, weights)
+    assert sum(step["blocks"] for step in plan) == sum(sizes)
+    coarse = mixing.schedule(blocks, mixing.shares_of(weights))
+    assert mixing.deviation(coarse, blocks, weights) > 1 > mixing.deviation(plan, blocks, weights)
+    # Slot by slot for the first phase, without deviation().
+    steps = [step for step in plan if step["phase"] == 0]
+    every, served = sum(weights.values()), {}
+    for step in steps:
+        for j in range(step["blocks"]):
+            served[j // step["share"] * step["total"] + step["slots"][j % step["share"]]] = step["name"]
+    counts = dict.fromkeys(weights, 0)
+    for slot in range(len(served)):
+        counts[served[slot]] += 1
+        if slot % 97 == 0 or slot < 100:
+            assert all(abs(counts[s] - (slot + 1) * w / every) < 1 for s, w in weights.items())
+
+
+def test_mixing_with_fine_shares(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 8)
+    sizes = {"a": 6000, "b": 900, None: 70, "d": 11}
+    frame = spark.createDataFrame([(i, "t", "l", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], EMPTY)
+    found = mixing.mix_sources(frame, block_rows=2, resolution=10**6).collect()
+    assert sorted(r.position for r in found) == list(range(sum(sizes.values())))
+    assert all(r.release <= r.slot < r.due for r in found)
+    every = sum(n**0.5 for n in sizes.values())
+    for source, n in sizes.items():
+        for r in found:
+            if r.source == source and r.phase == 0:
+                assert max(r.slot * n**0.5 / every - r.block, r.block + 1 - (r.slot + 1) * n**0.5 / every) < 1
+
+
 def test_mixing(spark):
     rows = [(i, "t", "l", s) for i, s in enumerate(["a"] * 200 + ["b"] * 61 + [None] * 30)] + [(None, None, None, "a")] * 2
     frame = spark.createDataFrame(rows, EMPTY).withColumn("block", mixing.F.lit("old"))
