@@ -15,6 +15,46 @@ def _number(text: str, salt: str, least: int, count: int) -> str:
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 
+_CRC32 = """xor(4294967295::bigint, list_reduce(
+      list_concat([4294967295::bigint], list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint)),
+      lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)),
+        lambda v, k: case when v % 2 = 1 then xor(v // 2, 3988292384::bigint) else v // 2 end)))"""
+
+
+def _tree(name: str, levels: int) -> str:
+    """Tables `name`1, .. of a 16-ary hash tree's nodes (g, i, h, n) over `name`0, and `name`0g, .. with the runs of each level."""
+    steps = [
+        f"""{name}{k}g as (select g, i // 16 as p, list(h order by i) as hs, any_value(n) as n from {name}{k} group by g, i // 16),
+        {name}{k + 1} as (select g, p as i, case when n > 1 then sha256(array_to_string(hs, '')) else hs[1] end as h, (n + 15) // 16 as n
+          from {name}{k}g)"""
+        for k in range(levels)
+    ]
+    return ",\n        ".join(steps)
+
+
+def _proof(name: str, levels: int, start: str) -> str:
+    """Tables `name`p0, .. over `start` (g, i, proof, folded and more): proof and folded hash after each level."""
+    steps, last = [], start
+    for k in range(levels):
+        at = f"(i // {16**k} % 16)::int"
+        steps.append(
+            f"""{name}p{k} as (select l.* replace (
+            l.proof || case when t.n > 1 then array_to_string(t.hs[1:{at}], '') || array_to_string(t.hs[{at} + 2:], '') else '' end as proof,
+            case when t.n > 1 then sha256(array_to_string(t.hs[1:{at}], '') || l.folded || array_to_string(t.hs[{at} + 2:], ''))
+              else l.folded end as folded)
+          from {last} l join {name}{k}g t on l.g is not distinct from t.g and l.i // {16 ** (k + 1)} = t.p)"""
+        )
+        last = f"{name}p{k}"
+    return ",\n        ".join(steps)
+
+
+def _fields(text: str) -> str:
+    parts = [f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+_LEVELS = 5  # enough for a million rows in a source and a million sources
+
 ORACLES = {
     "op1_pfair_mixing": """
         with recursive n as (select source, count(*) as n from documents group by source),
@@ -152,4 +192,52 @@ ORACLES = {
               lambda x: x[1]), ' '), '') end) as kept_sha256
         from d left join lost using (r)
     """,
+    "op11_fill_in_middle": """
+        with d as (
+          select doc_id, coalesce(text, '') as t, string_split(coalesce(text, ''), chr(10)) as s,
+            sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents
+        ),
+        n as (select *, case when s[-1] = '' then len(s) - 1 else len(s) end as n from d),
+        u as (
+          select *, list_transform(range(1, n + 1), lambda i: s[i] || case when i < len(s) then chr(10) else '' end) as u,
+            list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::bigint) as r from n
+        ),
+        c as (
+          select *, least(r[1] % (n + 1), r[2] % (n + 1)) as a, greatest(r[1] % (n + 1), r[2] % (n + 1)) as b,
+            case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 100 then 'plain'
+              when r[4] % 100 < 50 then 'spm' else 'psm' end as form from u
+        ),
+        p as (
+          select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:], '') as suf from c
+        )
+        select doc_id, n::bigint as n, form, case when form <> 'plain' then length(pre) end as prefix_chars,
+          case when form <> 'plain' then length(mid) end as middle_chars,
+          sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+            else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256
+        from p
+    """,
+    "op13_merkle_manifest": f"""
+        with d as (
+          select doc_id, source, {_fields('text')} as leaf,
+            case when {_CRC32.format('doc_id::varchar')} % 5 = 0 then {_fields(_LOWER.replace("coalesce({0}, '')", 'text'))} end as tampered
+          from documents
+        ),
+        a0 as materialized (
+          select source as g, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, leaf as h,
+            count(*) over (partition by source) as n, doc_id, coalesce(tampered, leaf) as folded, '' as proof from d
+        ),
+        {_tree('a', _LEVELS)},
+        b0 as materialized (
+          select 0 as g, row_number() over (order by g nulls first) - 1 as i, h, count(*) over () as n, g as source from a{_LEVELS}
+        ),
+        {_tree('b', _LEVELS)},
+        {_proof('a', _LEVELS, 'a0')},
+        up as (
+          select p.doc_id, p.h as leaf, b0.h as subroot, 0 as g, b0.i, p.proof, p.folded
+          from ap{_LEVELS - 1} p join b0 on p.g is not distinct from b0.source
+        ),
+        {_proof('b', _LEVELS, 'up')}
+        select doc_id, leaf, subroot, r.h as root, sha256(proof) as proof_sha256, folded as folded_root, folded = r.h as verified
+        from bp{_LEVELS - 1} cross join b{_LEVELS} r
+    """,
 }

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm import (
     decontamination,
+    fill_in_middle,
     html_extraction,
     jaccard_join,
     language_id,
+    merkle,
     mixing,
     substring_dedup,
     token_counts,
+    token_output,
     topk,
     toxicity,
     url_filters,
 )
+from fleetpulse.session import scratch_path
 
 
 #: Name, kind and share (one pattern in so many) of the lists for the URL filter.
@@ -105,6 +109,26 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.report(substring_dedup.Repeats(table(spark, folder, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Forms and cuts of every document, with digests of its output and of the text restored from it."""
+    made = fill_in_middle.rearrange(table(spark, folder, "documents"))
+    digest = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
+
+
+def op12_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    """Writes the ids of every document to the shared folder and reads the files back."""
+    path = scratch_path(spark, "token-ids")
+    token_output.write(table(spark, folder, "documents"), path, token_output.tokenizer_path())
+    return token_output.read_documents(spark, path)
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = merkle.manifest(table(spark, folder, "documents"))
+    proof = F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256")
+    return rows.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 QUERIES = {
     "op1_pfair_mixing": op1_pfair_mixing,
     "op2_exact_topk": op2_exact_topk,
@@ -116,4 +140,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_output": op12_token_output,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
