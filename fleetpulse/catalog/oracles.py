@@ -1,11 +1,12 @@
 """The catalog's queries as DuckDB SQL, written independently of the Spark plans.
 
-Operators without a statement here (fitted forests, boosted trees) have property tests instead.
+Operators without a statement here (boosted trees, for one) have property tests instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from math import comb, gcd
 
 from fleetpulse.catalog.queries import (
     DURATION_UNITS,
@@ -383,7 +384,11 @@ def feat_burst():
     return statement(_family([c for m in IO_METRICS for c in _burst(m)]), ["samples"])
 
 
-ORDERED = ("ordered", f"select *, row_number() over ({HOST_ORDER}) as rn from samples")
+def _ordered(source: str) -> tuple[str, str]:
+    return ("ordered", f"select *, row_number() over ({HOST_ORDER}) as rn from {source}")
+
+
+ORDERED = _ordered("samples")
 EMA_NAMES = [n for m in METRICS for n in FAMILIES["feat_ema"](m)]
 EMA = (
     "ema",
@@ -411,7 +416,7 @@ FEATURE_CTES = [
         "feats",
         "select n.sample_id, n.host, n.ts, "
         + ", ".join(f"coalesce({'e' if n in EMA_NAMES else 'n'}.{n}, 0.0) as {n}" for n in FEATURES)
-        + " from native n join ema e on e.sample_id = n.sample_id",
+        + " from native n join ema e on e.sample_id = n.sample_id and e.host = n.host",
     ),
 ]
 
@@ -430,6 +435,11 @@ def features_all_hot_hosts():
     return ORACLES["features_all"]
 
 
+@oracle
+def features_stream():
+    return ORACLES["features_all"]
+
+
 LONG = ("long", f"select sample_id, feature, value from (unpivot feats on {', '.join(FEATURES)} into name feature value value)")
 NAMES = "(select unnest([" + ", ".join(f"'{n}'" for n in FEATURES) + "]) as feature, unnest(range(88)) as idx)"
 STATS = (
@@ -486,14 +496,21 @@ def _hash(text: str) -> str:
     return f"cast('0x' || substr(md5({text}), 1, 13) as bigint)"
 
 
-def _drawn(trees: int, size: int) -> str:
-    """The rows with the smallest keys of each tree; a key is a linear map of the row's hash modulo 2**52."""
-    factor = f"(2 * ({_hash(f"'{SEED}|factor|' || tree_id")} % 1024) + 1)"
-    key = f"(({_hash(f"'{SEED}|' || sample_id")} * {factor} + {_hash(f"'{SEED}|shift|' || tree_id")}) % (1::bigint << 52))"
-    return f"""select * from (
-      select cast(tree_id as int) as tree_id,
-        cast(row_number() over (partition by tree_id order by {key}, sample_id) as int) as rank, sample_id
-      from samples, range({trees}) t(tree_id)) where rank <= {size}"""
+def _drawn(trees: int, size: int, source: str = "samples") -> str:
+    """A row is looked at by a binomial number of trees, on a circle from a drawn start by a drawn step; the smallest keys are drawn."""
+    steps = [b for b in range(1, trees + 1) if gcd(b, trees) == 1]
+    ways = [float(comb(trees, i)) for i in range(trees)]
+    share = f"least(1e0, {4 * size}::double / (select count(*) from {source}))"
+    draws = f"""(select list_transform(range(0, {trees}), lambda k: list_sum(list_transform(range(0, k + 1),
+        lambda i: list_extract({ways}::double[], i + 1) * pow(p, i) * pow(1 - p, {trees} - i))) * (1::bigint << 52)) from (select {share} as p))"""
+    hashed = lambda what: _hash(f"'{SEED}|{what}|' || sample_id")
+    return f"""select tree_id, rank, sample_id from (
+      select *, cast(row_number() over (partition by tree_id order by {_hash(f"'{SEED}|key|' || tree_id || '|' || sample_id")}, sample_id) as int) as rank
+      from (
+        select sample_id, cast((begin_ + turn * step) % {trees} as int) as tree_id from (
+          select sample_id, {hashed('start')} % {trees} as begin_, list_extract({steps}, {hashed('step')} % {len(steps)} + 1) as step,
+            unnest(range(0, len(list_filter({draws}, lambda d: floor(d) <= {_hash(f"'{SEED}|' || sample_id")})))) as turn
+          from {source}))) where rank <= {size}"""
 
 
 @oracle
@@ -510,10 +527,10 @@ def _share(what: str) -> str:
     return f"({_hash(f"'{SEED}|{what}|' || tree_id || '|' || node_id")} / (1::bigint << 52))"
 
 
-def _grown(trees: int, size: int, height: int) -> list[tuple[str, str]]:
-    """CTEs that grow trees over METRICS level by level: `nodes` has one row per node, lists count from 1."""
-    ends = lambda end, over="": "[" + ", ".join(f"{end}(point[{i + 1}]){over}" for i in range(len(METRICS))) + "]"
-    varying = "[" + ", ".join(f"case when low[{i + 1}] < high[{i + 1}] then {i + 1} end" for i in range(len(METRICS))) + "]"
+def _grown(trees: int, size: int, height: int, points: str, width: int, source: str = "samples") -> list[tuple[str, str]]:
+    """CTEs that grow trees over `points` (sample_id, point) level by level: `nodes` has one row per node, lists count from 1."""
+    ends = lambda end, over="": "[" + ", ".join(f"{end}(point[{i + 1}]){over}" for i in range(width)) + "]"
+    varying = "[" + ", ".join(f"case when low[{i + 1}] < high[{i + 1}] then {i + 1} end" for i in range(width)) + "]"
     split = f"""
       select *, case when cut >= high[axis] then low[axis] else cut end as threshold from (
         select *, low[axis] + {_share('cut')} * (high[axis] - low[axis]) as cut from (
@@ -525,9 +542,9 @@ def _grown(trees: int, size: int, height: int) -> list[tuple[str, str]]:
     once = f"""(select tree_id, node_id, min(depth) as depth, count(*) as size, {ends('min')} as low, {ends('max')} as high
       from grown group by tree_id, node_id)"""
     return [
-        ("drawn", _drawn(trees, size)),
+        ("drawn", _drawn(trees, size, source)),
         ("grown", f"""
-          select tree_id, 0 as node_id, 0 as depth, [{', '.join(METRICS)}] as point from drawn join samples using (sample_id)
+          select tree_id, 0 as node_id, 0 as depth, point from drawn join ({points}) using (sample_id)
           union all
           select tree_id, 2 * node_id + case when point[axis] <= threshold then 1 else 2 end, depth + 1, point
           from ({split % placed}) where axis is not null"""),
@@ -535,35 +552,94 @@ def _grown(trees: int, size: int, height: int) -> list[tuple[str, str]]:
     ]
 
 
+INNER = "case when axis is not null then cast({} as int) end as {}"
+NODES = f"""select tree_id, node_id, {INNER.format('axis - 1', 'feature')}, {snap('threshold', 2)} as threshold,
+  {INNER.format('2 * node_id + 1', '"left"')}, {INNER.format('2 * node_id + 2', '"right"')}, cast(size as int) as size, depth from nodes"""
+METRIC_POINTS = f"select sample_id, [{', '.join(METRICS)}] as point from samples"
+WHOLE = "[" + ", ".join(f"floor({n} * 1e{digits_of(n)} + 0.4999)" for n in FEATURES) + "]"
+
+
 @oracle
 def forest_fit_metrics():
-    inner = "case when axis is not null then cast({} as int) end as {}"
-    return statement(
-        f"""select tree_id, node_id, {inner.format('axis - 1', 'feature')}, {snap('threshold', 2)} as threshold,
-          {inner.format('2 * node_id + 1', '"left"')}, {inner.format('2 * node_id + 2', '"right"')},
-          cast(size as int) as size, depth from nodes""",
-        ["samples"],
-        _grown(8, 32, 5),
-        recursive=True,
+    return statement(NODES, ["samples"], _grown(8, 32, 5, METRIC_POINTS, len(METRICS)), recursive=True)
+
+
+@oracle
+def forest_fit():
+    points = ("points", f"select sample_id, {WHOLE} as point from feats")
+    return _on_features(NODES, [points, *_grown(100, 256, 8, "select * from points", len(FEATURES))])
+
+
+USUAL = "case when {0} <= 1 then 0e0 when {0} = 2 then 1e0 else 2 * (ln({0} - 1) + 0.5772156649015329e0) - 2 * ({0} - 1.0e0) / {0} end"
+PATH = f"cast(floor((depth + {USUAL.format('size')}) * 4294967296e0 + 0.4999) as bigint)"  # whole multiples of 2**-32
+
+
+def _trained(sql: str, parts: dict[str, str], extra: Sequence[tuple[str, str]] = ()) -> str:
+    """A model of all rows (first 80 % to learn, the rest to calibrate) and `scores` (side, sample_id, score) of further
+    `parts`: name of the side and which rows, whose windows start anew. `cut` has the threshold."""
+    sided = [
+        f"""select * replace (host || case when place <= floor(n * {1 - VAL_SPLIT}) then '|train' else '|validation' end as host)
+        from (select *, row_number() over (order by ts, sample_id) as place, count(*) over () as n from samples)""",
+        *[f"select * replace (host || '|{side}' as host), 0 as place, 0 as n from samples where {which}" for side, which in parts.items()],
+    ]
+    ctes = [
+        ("sided", " union all ".join(sided)),
+        _ordered("sided"),
+        *FEATURE_CTES[1:],
+        ("points", f"select sample_id, string_split(host, '|')[2] as side, {WHOLE} as point from feats"),
+        ("learned", "select sample_id from points where side = 'train'"),
+        *_grown(100, 256, 8, "select sample_id, point from points where side = 'train'", len(FEATURES), "learned"),
+        ("tests", "select sample_id, side, point from points where side <> 'train'"),
+        ("coords", f"select sample_id, side, unnest(range(1, {len(FEATURES) + 1})) as axis, unnest(point) as value from tests"),
+        ("walk", """
+          select sample_id, side, cast(tree_id as int) as tree_id, 0 as node_id from tests, range(100) t(tree_id)
+          union all
+          select w.sample_id, w.side, w.tree_id, 2 * w.node_id + case when c.value <= n.threshold then 1 else 2 end
+          from walk w join nodes n on w.tree_id = n.tree_id and w.node_id = n.node_id
+            join coords c on c.sample_id = w.sample_id and c.side = w.side and c.axis = n.axis"""),
+        ("scores", f"""
+          select side, sample_id, -pow(2, -(sum({PATH}) / 4294967296e0) / 100 / ({USUAL.format('any_value(biggest)')})) as score
+          from walk join (select *, max(size) over () as biggest from nodes) using (tree_id, node_id)
+          where axis is null group by side, sample_id"""),
+        ("cut", f"select quantile_cont(score, {TARGET_FPR}) as threshold from scores where side = 'validation'"),
+        *extra,
+    ]
+    return statement(sql, ["samples"], ctes, recursive=True)
+
+
+@oracle
+def train_summary():
+    sides = "(select count(*) from points where side = '{}')"
+    return _trained(
+        f"""select {sides.format('train')} as train_samples, {sides.format('validation')} as val_samples,
+          {snap('threshold')} as threshold, cast({len(FEATURES)} as int) as features from cut""",
+        {},
+    )
+
+
+@oracle
+def forest_score():
+    return _trained(
+        f"select sample_id, s.host, s.ts, {snap('score')} as score from scores join samples s using (sample_id) where side = 'all'",
+        {"all": "true"},
     )
 
 
 @oracle
 def forest_score_metrics():
-    usual = "case when {0} <= 1 then 0e0 when {0} = 2 then 1e0 else 2 * (ln({0} - 1) + 0.5772156649015329e0) - 2 * ({0} - 1.0e0) / {0} end"
     walk = f"""
       select sample_id, [{', '.join(METRICS)}] as point, cast(tree_id as int) as tree_id, 0 as node_id
       from samples, range(8) t(tree_id)
       union all
       select sample_id, point, tree_id, 2 * node_id + case when point[axis] <= threshold then 1 else 2 end
       from walk join nodes using (tree_id, node_id) where axis is not null"""
-    score = f"-pow(2, -sum(depth + {usual.format('size')}) / 8 / ({usual.format('any_value(biggest)')}))"
+    score = f"-pow(2, -(sum({PATH}) / 4294967296e0) / 8 / ({USUAL.format('any_value(biggest)')}))"
     return statement(
         f"""select sample_id, {snap(score, 9)} as score
         from walk join (select *, max(size) over () as biggest from nodes) using (tree_id, node_id)
         where axis is null group by sample_id""",
         ["samples"],
-        [*_grown(8, 32, 5), ("walk", walk)],
+        [*_grown(8, 32, 5, METRIC_POINTS, len(METRICS)), ("walk", walk)],
         recursive=True,
     )
 
@@ -602,6 +678,17 @@ def calibrate_threshold():
     )
 
 
+@oracle
+def calibrate_by_host():
+    return statement(
+        f"""select host, {snap('any_value(threshold)')} as threshold, count(*) as rows, count(*) filter (score < threshold) as below
+        from rows_ join (select host, quantile_cont(score, {TARGET_FPR}) as threshold from rows_ group by host) using (host)
+        group by host""",
+        ["samples"],
+        [("rows_", "select host, -cpu_pct / 100.0e0 as score from samples")],
+    )
+
+
 @oracle
 def threshold_predict():
     return statement(f"select sample_id, score < {SCORE_THRESHOLD} as is_anomaly from scored", ["scored"])
@@ -630,6 +717,24 @@ def detect_summary():
     )
 
 
+@oracle
+def detect_batch():
+    return _trained(
+        f"""select sample_id, host, ts, {snap('score')} as score, {TAGS} as metric_tags, {EXPLANATION} as explanation
+        from scores join samples using (sample_id) where side = 'range' and score < (select threshold from cut)""",
+        {"range": f"ts between {RANGE_START} and {RANGE_END}"},
+    )
+
+
+@oracle
+def detect_streaming():
+    return _trained(
+        f"""select sample_id, s.host, s.ts, {snap('score')} as score, score < (select threshold from cut) as is_anomaly, false as late
+        from scores join samples s using (sample_id) where side = 'all'""",
+        {"all": "true"},
+    )
+
+
 @oracle
 def model_roundtrip():
     """Every sample of the range is scored by both models, and alike."""

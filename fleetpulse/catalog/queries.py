@@ -18,8 +18,9 @@ from fleetpulse.session import scratch_path
 from fleetpulse.sources import samples as scans
 from fleetpulse.sources import store, views
 from fleetpulse.streaming.alerts import alert_stream, deliver
-from fleetpulse.streaming.detection import detect_stream
+from fleetpulse.streaming.detection import detect_stream, feature_stream
 from fleetpulse.streaming.ingest import ingest_stream
+from fleetpulse.streaming.ordered import heartbeat, with_heartbeats
 from fleetpulse.streaming.rates import counter_rate_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +53,7 @@ def query(function: Query) -> Query:
     return function
 
 
-def digits_of(name: str) -> int:
-    """Decimals worth comparing: bytes per second are large, everything else is a percentage or ratio."""
-    return 2 if "_bps" in name and not name.endswith("_burst") else 6
+digits_of = forest.quantum_digits  # decimals worth comparing
 
 
 def snap(value: Column | str, digits: int = 6) -> Column:
@@ -118,6 +117,23 @@ def finished(spark: SparkSession, start: Callable[[str, str], object], label: st
 
 
 AVAILABLE_NOW = {"availableNow": True}
+# Files of the unordered stream, and by how many seconds its rows may be out of order: the whole month.
+STREAM_FILES, STREAM_DELAY = 128, 31 * 86400
+
+
+def in_time_order(spark: SparkSession, folder: str, build: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """The result of a stream over samples that come in no order: the events lie in many files, dealt by hash, and a quarter
+    of the files is read at a time. A heartbeat ends the stream."""
+    path = scratch_path(spark, label)
+    events = views.read_table(spark, folder, "events")
+    events.repartition(STREAM_FILES, F.xxhash64("event_id")).write.parquet(f"{path}/events")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", STREAM_FILES // 4).parquet(f"{path}/events")
+    stream = build(with_heartbeats(views.samples_from_events(source), f"{path}/beats"))
+    deliver(stream, f"{path}/table", f"{path}/checkpoint", AVAILABLE_NOW).awaitTermination()
+    last = views.load_samples(spark, folder).agg(F.max("ts")).first()[0]
+    heartbeat(spark, f"{path}/beats", (last or 0) + STREAM_DELAY + 1)
+    deliver(stream, f"{path}/table", f"{path}/checkpoint", AVAILABLE_NOW).awaitTermination()
+    return spark.read.parquet(f"{path}/table").drop("batch")
 
 
 # ---- scans, writes, retention -------------------------------------------------------------------
@@ -248,9 +264,7 @@ def counter_rates(spark, folder):
 
 @query
 def counter_rates_stream(spark, folder):
-    rows = views.counters(views.samples_from_events(event_stream(spark, folder)))
-    stream = counter_rate_stream(rows, COUNTERS)
-    result = finished(spark, lambda path, ck: deliver(stream, path, ck, AVAILABLE_NOW), "rates")
+    result = in_time_order(spark, folder, lambda rows: counter_rate_stream(views.counters(rows), COUNTERS, STREAM_DELAY), "rates")
     return result.select("sample_id", "host", "ts", *[snap(c).alias(c) for c in RATES], "late")
 
 
@@ -406,7 +420,8 @@ def forest_sample_dealt(spark, folder):
 
 @query
 def forest_fit(spark, folder):
-    return forest.fit_forest(features.feature_table(views.load_samples(spark, folder)), FEATURES, seed=SEED)
+    table = features.feature_table(views.load_samples(spark, folder), keep=["sample_id"])
+    return forest.fit_forest(table, FEATURES, seed=SEED, whole=True).withColumn("threshold", snap("threshold", 2))
 
 
 def metric_forest(spark: SparkSession, folder: str) -> DataFrame:
@@ -435,7 +450,7 @@ def trained(spark: SparkSession, folder: str) -> tuple[DataFrame, detection.Anom
 
 @query
 def train_summary(spark, folder):
-    return trained(spark, folder)[2]
+    return trained(spark, folder)[2].withColumn("threshold", snap("threshold"))
 
 
 @query
@@ -471,11 +486,17 @@ def model_roundtrip(spark, folder):
 @query
 def detect_streaming(spark, folder):
     _, model, _ = trained(spark, folder)
-    stream = detect_stream(views.samples_from_events(event_stream(spark, folder)), model)
-    result = finished(spark, lambda path, ck: deliver(stream, path, ck, AVAILABLE_NOW), "detect")
+    result = in_time_order(spark, folder, lambda rows: detect_stream(rows, model, STREAM_DELAY), "detect")
     return result.select("sample_id", "host", "ts", snap("score").alias("score"), "is_anomaly", "late")
 
 
+@query
+def features_stream(spark, folder):
+    """The features of all rows, from a stream in no order."""
+    result = in_time_order(spark, folder, lambda rows: feature_stream(rows, delay=STREAM_DELAY), "features")
+    return result.select("sample_id", "host", "ts", *snapped(FEATURES))
+
+
 # Two small trees over cpu_pct (feature 0) and mem_pct (feature 1), grown from 256 rows.
 FIXED_FOREST = [
     (0, 0, 0, 90.0, 1, 2, 256, 0),
@@ -511,6 +532,15 @@ def calibrate_threshold(spark, folder):
     return flagged.select(snap(F.lit(threshold)).alias("threshold"), "rows", "below")
 
 
+@query
+def calibrate_by_host(spark, folder):
+    """Each host's own threshold, and how many of its rows it flags."""
+    rows = views.load_samples(spark, folder).withColumn("score", -F.col("cpu_pct") / 100.0)
+    flagged = forest.below_thresholds(rows, forest.calibrate_thresholds(rows, TARGET_FPR))
+    told = flagged.groupBy("host").agg(F.max("threshold").alias("threshold"), F.count("*").alias("rows"), F.count_if("is_anomaly").alias("below"))
+    return told.withColumn("threshold", snap("threshold"))
+
+
 @query
 def threshold_predict(spark, folder):
     scores = scored_samples(spark, folder)
@@ -745,11 +775,12 @@ def alerts_long_cooldown(spark, folder):
 
 @query
 def alerts_stream(spark, folder):
-    rows = views.samples_from_events(event_stream(spark, folder))
-    rows = rows.withColumn("score", F.expr("-floor(cpu_pct) / 100.0D"))
-    rows = rows.withColumn("is_anomaly", F.col("score") < FLAG_THRESHOLD)
-    stream = alert_stream(rows, all_rules(), LONG_COOLDOWN)
-    return finished(spark, lambda path, ck: deliver(stream, path, ck, AVAILABLE_NOW), "alerts").drop("batch")
+    def build(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("score", F.expr("-floor(cpu_pct) / 100.0D"))
+        rows = rows.withColumn("is_anomaly", F.col("score") < FLAG_THRESHOLD)
+        return alert_stream(rows, all_rules(), LONG_COOLDOWN, STREAM_DELAY)
+
+    return in_time_order(spark, folder, build, "alerts")
 
 
 # ---- dashboard tables ---------------------------------------------------------------------------

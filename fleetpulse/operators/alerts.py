@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -61,8 +63,12 @@ def default_rules(with_anomalies: bool = True) -> list[Rule]:
     return [*rules, anomaly_rule()] if with_anomalies else rules
 
 
-def raise_alerts(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row per sample and rule that fires: `sample_id, host, ts, rule_order, rule, severity, message`."""
+def raise_alerts(rows: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
+    """One row per sample and rule that fires: `sample_id, host, ts, <keep>, rule_order, rule, severity, message`.
+
+    On a stream `keep` names the column of the watermark, which has to see rows without alerts, too: the test for alerts
+    mentions it, so that Spark does not drop those rows before.
+    """
     fired = F.array(
         *[
             F.struct(
@@ -74,8 +80,9 @@ def raise_alerts(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             for order, rule in enumerate(rules)
         ]
     )
-    hits = F.filter(fired, lambda alert: alert["message"].isNotNull())
-    return rows.select("sample_id", "host", "ts", F.inline(hits))
+    told = [F.col(c).isNotNull() for c in keep]
+    hits = F.filter(fired, lambda alert: reduce(and_, told, alert["message"].isNotNull()))
+    return rows.select("sample_id", "host", "ts", *keep, F.inline(hits))
 
 
 def _follow(seconds: np.ndarray, start: int, cooldown: int) -> Iterator[int]:

@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +20,9 @@ from fleetpulse.operators.forest import (
     contamination_offset,
     forest_sample,
     grow_trees,
+    whole_points,
 )
-from fleetpulse.operators.scaling import point_moments, scaled_columns, scaler_rows, scaler_table
+from fleetpulse.operators.scaling import point_moments, scaler_rows, scaler_table
 from fleetpulse.plans.ranks import precedes_rank
 from fleetpulse.session import pinned
 from fleetpulse.schema import FOREST_SCHEMA, SCALER_SCHEMA
@@ -66,43 +66,51 @@ def chronological_split(samples: DataFrame, val_split: float = 0.2) -> tuple[Dat
 
 
 def score_features(features: DataFrame, model: AnomalyModel) -> DataFrame:
-    """Add `score` to a feature table; works on static and streaming tables."""
+    """Add `score` to a feature table; works on static and streaming tables. A feature that the table lacks is 0."""
     scorer = model.scorer(features.sparkSession)
-    return features.withColumn("score", scorer.score(list(scaled_columns(features.columns, model.scaler).values())))
+    known = whole_points([s.feature for s in model.scaler if s.feature in features.columns])
+    at = dict(zip([s.feature for s in model.scaler if s.feature in features.columns], known))
+    return features.withColumn("score", scorer.score([at.get(s.feature, F.lit(0.0)) for s in model.scaler]))
 
 
-def fit_model(
-    train: DataFrame,
-    settings: FeatureSettings = FeatureSettings(),
-    n_trees: int = 100,
-    max_samples: int = 256,
-    contamination: float | None = 0.05,
-    seed: int = 42,
+def _fitted(
+    features: DataFrame, settings: FeatureSettings, n_trees: int, max_samples: int, seed: int, rows: DataFrame
 ) -> AnomalyModel:
-    """Fit scaler and forest on samples. `contamination=None` skips scoring the training rows.
+    """Scaler and forest of a feature table, whose rows are those of `rows`.
 
     One pass over the features yields both their moments and the points the trees are grown from
     (`n_trees * max_samples` at most, so the pinned row has a size set by the parameters).
     """
     names = settings.feature_names()
-    features = feature_table(train, settings, keep=["sample_id"])
     trees = (
-        forest_sample(train, n_trees, max_samples, seed)
+        forest_sample(rows.select("sample_id"), n_trees, max_samples, seed)
         .groupBy("sample_id")
         .agg(F.collect_list("tree_id").alias("trees"))
     )
-    points = features.select("sample_id", F.array(*names).alias("point"))
-    drawn = F.when(F.col("trees").isNotNull(), F.struct("sample_id", "trees", "point"))
+    points = features.select("sample_id", F.array(*names).alias("point"), F.array(*whole_points(names)).alias("whole"))
+    drawn = F.when(F.col("trees").isNotNull(), F.struct("sample_id", "trees", "whole"))
     summary = pinned(
         points.join(F.broadcast(trees), "sample_id", "left").agg(
             point_moments().alias("moments"), F.collect_list(drawn).alias("points")
         )
     )
     stats = scaler_rows(scaler_table(summary, names))
-    mean, scale = (np.array([s[k] for s in stats]) for k in ("mean", "scale"))
-    drawn = summary.select(F.inline("points")).select("sample_id", "point", F.explode("trees").alias("tree_id"))
-    nodes = grow_trees(drawn, max_samples, seed, prepare=lambda points: (points - mean) / scale).collect()
-    model = AnomalyModel(stats, nodes, max(n["size"] for n in nodes), settings)
+    drawn = summary.select(F.inline("points")).select("sample_id", F.col("whole").alias("point"), F.explode("trees").alias("tree_id"))
+    nodes = grow_trees(drawn, max_samples, seed).collect()
+    return AnomalyModel(stats, nodes, max(n["size"] for n in nodes), settings)
+
+
+def fit_model(
+    train: DataFrame,
+    settings: FeatureSettings = FeatureSettings(),
+    n_trees: int = 100,
+    max_samples: int = 256,
+    contamination: float | None = 0.05,
+    seed: int = 42,
+) -> AnomalyModel:
+    """Fit scaler and forest on samples. `contamination=None` skips scoring the training rows."""
+    features = feature_table(train, settings, keep=["sample_id"])
+    model = _fitted(features, settings, n_trees, max_samples, seed, train)
     if contamination is None:
         return model
     scores = pinned(score_features(features, model).select("score"))
@@ -120,19 +128,23 @@ def train(
 ) -> tuple[AnomalyModel, DataFrame]:
     """Fit on the earlier part of a time range, calibrate on the later part.
 
-    Returns the model and a one-row summary `train_samples, val_samples, threshold, features`.
+    The range's few columns are stored once, and all passes read that. Returns the model and a one-row summary
+    `train_samples, val_samples, threshold, features`.
     """
-    rows = scan_samples(samples, start_ts, end_ts, host)
-    train_rows, val_rows = chronological_split(rows, val_split)
-    n_train, n_val = train_rows.count(), val_rows.count()
-    if n_train + n_val == 0:
+    settings = fit_options.get("settings", FeatureSettings())
+    narrow = list(dict.fromkeys(["sample_id", "host", "ts", *settings.metrics]))
+    rows = pinned(scan_samples(samples, start_ts, end_ts, host).select(*narrow))
+    n = rows.count()
+    if n == 0:
         raise ValueError("No training data available")
-    model = fit_model(train_rows, **fit_options)
-    val_features = feature_table(val_rows, model.settings)
+    n_train = int(n * (1 - val_split))
+    is_train = precedes_rank(rows, "ts", "sample_id", n_train)
+    model = fit_model(rows.filter(is_train), **fit_options)
+    val_features = feature_table(rows.filter(~is_train), model.settings, keep=["sample_id"])
     scores = pinned(score_features(val_features, model).select("score"))
     model = replace(model, threshold=calibrate_threshold(scores, target_fpr))
     summary = samples.sparkSession.createDataFrame(
-        [(n_train, n_val, model.threshold, len(model.scaler))],
+        [(n_train, n - n_train, model.threshold, len(model.scaler))],
         "train_samples long, val_samples long, threshold double, features int",
     )
     return model, summary

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -15,10 +17,13 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.hashing import HASH_RANGE, hash_number, hash_value
-from fleetpulse.plans.ranks import exact_percentile
+from fleetpulse.plans.joins import salted_join
+from fleetpulse.plans.ranks import exact_percentile, percentiles
 from fleetpulse.schema import FOREST_SCHEMA
+from fleetpulse.session import pinned
 
 EULER_GAMMA = 0.5772156649015329
+PATH_UNIT = 2.0**-32  # path lengths are whole multiples of it, so that their sum does not depend on its order
 NODE_COLUMNS = ["tree_id", "node_id", "feature", "threshold", "left", "right", "size", "depth"]
 
 
@@ -31,34 +36,53 @@ def average_path(size: int | float) -> float:
     return 2.0 * (math.log(size - 1.0) + EULER_GAMMA) - 2.0 * (size - 1.0) / size
 
 
+def _draws(n_trees: int, share: float) -> list[int]:
+    """Hash values at which a row is drawn by one tree more: the inverse of the binomial law of `n_trees` and `share`."""
+    total, out = 0.0, []
+    for k in range(n_trees):
+        total += math.comb(n_trees, k) * share**k * (1.0 - share) ** (n_trees - k)
+        out.append(min(HASH_RANGE, math.floor(total * HASH_RANGE)))
+    return out
+
+
 def forest_sample(rows: DataFrame, n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> DataFrame:
     """Which rows each tree is grown from: `tree_id, rank, sample_id`, without replacement per tree.
 
-    Each row is hashed once. A tree's keys are a linear map of the hashes, modulo their range, and it takes the rows
-    with its smallest keys (all rows, if there are fewer); the law is the same for every number of rows. Only keys
-    below a cutoff leave a row, some four times as many as wanted, and only these are ranked.
+    A tree takes the rows with its smallest keys (all rows, if there are fewer). Rows are thinned first: a tree looks at a row
+    with a chance that leaves it about four times as many as it wants. How many trees look at a row is binomial, and one
+    hash gives that number; most rows of a large table get 0 and are done. Two more hashes tell which trees (equal steps
+    around the circle of trees, from a drawn start and by a drawn step), and one more for each of them is its key.
     """
     total = rows.count()
-    trees = range(n_trees)
-    # Factors below 2**11 keep the product of a 52-bit hash in a long; odd ones map no two hashes to one key.
-    factors = F.array(*[F.lit(2 * (hash_value(seed, "factor", t) % 1024) + 1).cast("bigint") for t in trees])
-    shifts = F.array(*[F.lit(hash_value(seed, "shift", t)).cast("bigint") for t in trees])
-
-    def keyed(h: Column, t: Column) -> Column:
-        return F.struct(t.alias("tree_id"), F.pmod(h * F.get(factors, t) + F.get(shifts, t), F.lit(HASH_RANGE)).alias("key"))
-
-    # The hash is an element of the array, not a free name in the function, so that it is computed once per row.
-    keys = F.transform(F.array_repeat(hash_number(seed, F.col("sample_id")), n_trees), keyed)
-    cutoff = 4 * max_samples * HASH_RANGE // max(1, total)
+    # Steps that have no divisor in common with the number of trees reach different trees.
+    steps = [b for b in range(1, n_trees + 1) if math.gcd(b, n_trees) == 1]
+    own = F.col("sample_id")
+    wanted = 4 * max_samples
     while True:
-        below = F.filter(keys, lambda k: k["key"] < F.lit(min(cutoff, HASH_RANGE)))  # noqa: B023
-        near = rows.select("sample_id", F.inline(below))
+        share = min(1.0, wanted / max(1, total))
+        draws = _draws(n_trees, share)
+        # The hash is an element of an array, not a column, so that the comparisons do not work it out again and again.
+        reached = [d for d in draws if d < HASH_RANGE] or [0] * n_trees
+        number = lambda h: reduce(add, [(h >= F.lit(d)).cast("int") for d in reached])  # noqa: E731, B023
+        looked = (
+            rows.select("sample_id")
+            .where(hash_number(seed, own) >= F.lit(draws[0]))
+            .select(
+                "sample_id",
+                F.explode(F.sequence(F.lit(0), F.get(F.transform(F.array(hash_number(seed, own)), number), 0) - 1)).alias("turn"),
+            )
+        )
+        start, step = hash_number(seed, "start", own) % n_trees, hash_number(seed, "step", own) % len(steps)
+        tree = (start + F.col("turn") * F.get(F.array(*map(F.lit, steps)), step.cast("int"))) % n_trees
+        near = pinned(looked.select("sample_id", tree.cast("int").alias("tree_id")))
+        if share >= 1.0:
+            break
         full = F.count_if(F.col("count") >= max_samples)
-        if cutoff >= HASH_RANGE or near.groupBy("tree_id").count().agg(full).first()[0] == n_trees:
+        if near.groupBy("tree_id").count().agg(full).first()[0] == n_trees:
             break
-        cutoff *= 2
+        wanted *= 4  # a chance of less than e**-200
     order = Window.partitionBy("tree_id").orderBy("key", "sample_id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_samples)
+    ranked = near.withColumn("key", hash_number(seed, "key", F.col("tree_id"), own)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_samples)
     return ranked.select("tree_id", "rank", "sample_id")
 
 
@@ -90,12 +114,7 @@ def _grow(points: np.ndarray, tree_id: int, seed: int, height: int) -> pd.DataFr
     return frame.astype({c: "Int32" for c in ("feature", "left", "right")})
 
 
-def grow_trees(
-    drawn: DataFrame,
-    max_samples: int = 256,
-    seed: int = 42,
-    prepare: Callable[[np.ndarray], np.ndarray] | None = None,
-) -> DataFrame:
+def grow_trees(drawn: DataFrame, max_samples: int = 256, seed: int = 42) -> DataFrame:
     """Node table of trees grown in parallel from `tree_id, sample_id, point`, one group per tree.
 
     A group has at most `max_samples` rows. They are sorted by `sample_id` first, so that partitioning
@@ -105,24 +124,40 @@ def grow_trees(
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         points = np.stack(group.sort_values("sample_id")["point"])
-        return _grow(prepare(points) if prepare else points, int(group["tree_id"].iloc[0]), seed, height)
+        return _grow(points, int(group["tree_id"].iloc[0]), seed, height)
 
     return drawn.groupBy("tree_id").applyInPandas(grow, FOREST_SCHEMA)
 
 
+def quantum_digits(name: str) -> int:
+    """Decimals of a feature that the forest looks at: bytes per second are large, all else is a percentage or a ratio."""
+    return 2 if "_bps" in name and not name.endswith("_burst") else 6
+
+
+def whole_points(names: Sequence[str]) -> list[Column]:
+    """Features as whole numbers of their smallest steps, for growing and scoring alike.
+
+    Two engines differ in the last bits of a feature, and a cut between two such values would part what another engine keeps
+    together. Whole numbers are equal on every engine (the break point is just off the half, where ties are common), and
+    isolation does not care for the unit, nor for mean and scale of a feature.
+    """
+    return [F.expr(f"cast(floor(`{n}` * {float(10 ** quantum_digits(n))!r}D + 0.4999D) as double)").alias(n) for n in names]
+
+
 def fit_forest(
     features: DataFrame,
     names: Sequence[str],
     n_trees: int = 100,
     max_samples: int = 256,
     seed: int = 42,
+    whole: bool = False,
 ) -> DataFrame:
-    """Fit on a table with `sample_id` and the columns `names`.
+    """Fit on a table with `sample_id` and the columns `names`, as they are or (`whole`) as whole numbers of their smallest steps.
 
     The drawn sample (two integers per row, `n_trees * max_samples` rows) is broadcast.
     """
-    sample = forest_sample(features, n_trees, max_samples, seed)
-    points = features.select("sample_id", F.array(*names).alias("point"))
+    sample = forest_sample(features.select("sample_id"), n_trees, max_samples, seed)
+    points = features.select("sample_id", F.array(*(whole_points(names) if whole else names)).alias("point"))
     return grow_trees(points.join(F.broadcast(sample), "sample_id"), max_samples, seed)
 
 
@@ -155,7 +190,7 @@ class ForestScorer:
             "cut": table["threshold"].astype(float).where(~leaf, np.inf).to_numpy(),
             "left": child("left"),
             "right": child("right"),
-            "path": table["depth"].to_numpy() + table["size"].map(average_path).to_numpy(),
+            "path": np.floor((table["depth"].to_numpy() + table["size"].map(average_path).to_numpy()) / PATH_UNIT + 0.4999).astype(np.int64),
             "roots": [(int(position[tree, 0]), int(depth)) for tree, depth in trees.items()],
             "usual": average_path(drawn) or 1.0,
         }
@@ -168,14 +203,14 @@ class ForestScorer:
         def scores(points: np.ndarray) -> np.ndarray:
             forest = shared.value
             flat, start = points.ravel(), np.arange(len(points)) * points.shape[1]
-            total = np.zeros(len(points))
+            total = np.zeros(len(points), np.int64)
             for root, depth in forest["roots"]:
                 at = np.full(len(points), root)
                 for _ in range(depth):
                     stays_left = flat[start + forest["feature"][at]] <= forest["cut"][at]
                     at = np.where(stays_left, forest["left"][at], forest["right"][at])
                 total += forest["path"][at]
-            return -np.exp2(-total / len(forest["roots"]) / forest["usual"])
+            return -np.exp2(-(total * PATH_UNIT) / len(forest["roots"]) / forest["usual"])
 
         return scores
 
@@ -200,11 +235,26 @@ def contamination_label(score: Column, offset: float) -> Column:
     return F.when(score < F.lit(offset), -1).otherwise(1)
 
 
-def calibrate_threshold(scores: DataFrame, target_fpr: float = 0.05) -> float | None:
-    """Threshold that flags the share `target_fpr` of rows assumed to be normal."""
+def calibrate_threshold(scores: DataFrame, target_fpr: float = 0.05, approximate: bool = False) -> float | None:
+    """Threshold that flags the share `target_fpr` of rows assumed to be normal.
+
+    `approximate`: one pass with a sketch, whose rank is off by a ten-thousandth of the rows at most, instead of a few passes.
+    """
+    if approximate:
+        return scores.agg(F.percentile_approx("score", float(target_fpr), 10_000)).first()[0]
     return exact_percentile(scores, "score", target_fpr)
 
 
+def calibrate_thresholds(scores: DataFrame, target_fpr: float = 0.05, by: Sequence[str] = ("host",)) -> DataFrame:
+    """A threshold for each group, all found in the same passes; a group of any size is counted before the shuffle."""
+    return percentiles(scores, "score", target_fpr, by).withColumnRenamed("value", "threshold")
+
+
+def below_thresholds(scores: DataFrame, thresholds: DataFrame, by: Sequence[str] = ("host",)) -> DataFrame:
+    """`scores` with `threshold` and `is_anomaly` by the threshold of their group; both are NULL for a group without one."""
+    return salted_join(scores, thresholds, list(by)).withColumn("is_anomaly", F.col("score") < F.col("threshold"))
+
+
 def below_threshold(score: Column, threshold: float | None) -> Column:
     """True for an anomaly; strict, so a score equal to the threshold is normal."""
     if threshold is None:

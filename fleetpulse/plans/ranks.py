@@ -1,93 +1,124 @@
-"""Exact order statistics without sorting or collecting the data.
+"""Exact order statistics by histograms, without sorting or collecting the data, for any number of ranks and groups at once.
 
-Every step is one aggregation pass: a mergeable quantile sketch brackets the wanted rank, exact counts
-say how many rows lie below the bracket, and the search goes on inside it. A bracket keeps a few
-ten-thousandths of the rows, so a trillion rows need about three steps. Only when few rows are left
-are they ordered directly.
+One pass counts each group's values and finds the smallest and the largest. Each further pass deals the values that may still be meant
+over BUCKETS equal parts of their range and takes count, minimum and maximum of each part, combined before the shuffle;
+running counts over the parts tell which of them holds the rank. As a part brings its own ends along, the next range is as narrow as
+the data allow, and a part of one value, or of two rows, is an answer. A range shrinks by the factor BUCKETS or more with each pass:
+evenly spread values take two passes after the first for up to BUCKETS**2 rows in a group, whatever the number of rows.
+While the ends differ by more than a factor of four or in sign, parts are equal in the logarithm, so that values of all
+magnitudes take one pass more.
+
+Dealing is monotone in the value, also where floats round, so results are exact. Values have to be finite; NULLs are left out.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 200_000
-SKETCH_ACCURACY = 10_000
+from fleetpulse.session import pinned
 
+BUCKETS = 1 << 14
 
-def value_at_rank(df: DataFrame, column: str, rank: int, direct_rows: int = DIRECT_ROWS, rows: int | None = None):
-    """The value at 0-based `rank` in ascending order; NULLs are left out, None if out of range.
 
-    `rows`: how many values there are, if that is known.
-    """
-    left = df.select(column).filter(F.col(column).isNotNull())
-    rows = left.count() if rows is None else rows
-    if not 0 <= rank < rows:
-        return None
-    value = F.col(column)
-    while rows > direct_rows:
-        slack = 2.0 / SKETCH_ACCURACY
-        low, high = left.agg(
-            F.percentile_approx(
-                column,
-                [max(0.0, rank / rows - slack), min(1.0, rank / rows + slack)],
-                SKETCH_ACCURACY,
-            )
-        ).first()[0]
-        below, at_low, inside, at_high = left.agg(
-            F.count_if(value < low),
-            F.count_if(value == low),
-            F.count_if((value > low) & (value < high)),
-            F.count_if((value == high) & F.lit(high != low)),
-        ).first()
-        edges = [below, below + at_low, below + at_low + inside, below + at_low + inside + at_high]
-        if edges[0] <= rank < edges[1]:
-            return low
-        if edges[2] <= rank < edges[3]:
-            return high
-        if rank < edges[0]:
-            left, rows = left.filter(value < low), below
-        elif rank < edges[2]:
-            left, rows, rank = left.filter((value > low) & (value < high)), inside, rank - edges[1]
-        else:
-            left, rows, rank = left.filter(value > high), rows - edges[3], rank - edges[3]
-    return left.orderBy(column).offset(rank).limit(1).first()[0]
-
-
-def exact_percentile(df: DataFrame, column: str, fraction: float, direct_rows: int = DIRECT_ROWS) -> float | None:
-    """Percentile with linear interpolation between the two neighbouring values.
-
-    The lower one is searched for; the upper one is the same value again or the next larger one, which one pass tells.
+def values_at_ranks(
+    df: DataFrame, column: str, ranks: Sequence[Column], by: Sequence[str] = (), buckets: int = BUCKETS
+) -> DataFrame:
+    """One row per group and rank: the group, `n` (its number of values), `turn` (which of `ranks`), `rank`, `value`, and
+    `below` (how many values are smaller). `ranks` are 0-based and may be worked out from `n`; a NULL or one out of range gives no row.
+
+    Without groups the few ranks looked for are literals, whose range is pushed to the scan. Those of groups are a stored table.
     """
-    rows = df.filter(F.col(column).isNotNull()).count()
-    if rows == 0:
-        return None
-    position = fraction * (rows - 1)
-    rank = math.floor(position)
-    low = value_at_rank(df, column, rank, direct_rows, rows)
-    if position == rank:
-        return float(low)
-    value = F.col(column)
-    up_to_low, above = df.agg(F.count_if(value <= F.lit(low)), F.min(F.when(value > F.lit(low), value))).first()
-    high = low if up_to_low > rank + 1 else above
-    return float(low + (high - low) * (position - rank))
-
-
-def precedes_rank(
-    df: DataFrame, column: str, tie_breaker: str, rank: int, direct_rows: int = DIRECT_ROWS
-) -> Column:
+    rows = df.select(*by, F.col(column).alias("value")).where(F.col("value").isNotNull())
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    wanted = F.posexplode(F.array(*[r.cast("long") for r in ranks])).alias("turn", "rank")
+    targets = ends.select(*by, "n", "lo", "hi", wanted, F.lit(0).cast("long").alias("below")).where("rank >= 0 AND rank < n")
+    if by:
+        targets = pinned(targets)
+        while not (still := targets.where("lo < hi")).isEmpty():
+            same = [rows[c].eqNullSafe(F.col(f"t.{c}")) for c in by]
+            met = rows.join(still.alias("t"), same).select("t.*", rows["value"])
+            targets = pinned(targets.where("lo = hi").unionByName(_narrowed(met, list(by), buckets)))
+    else:
+        kind, found = targets.schema, targets.collect()
+        while still := [t for t in found if t["lo"] < t["hi"]]:
+            literals = [F.struct(*[F.lit(t[f.name]).cast(f.dataType).alias(f.name) for f in kind]) for t in still]
+            reach = rows.where(F.col("value").between(min(t["lo"] for t in still), max(t["hi"] for t in still)))
+            narrowed = _narrowed(reach.select("value", F.inline(F.array(*literals))), [], buckets)
+            found = [t for t in found if t["lo"] == t["hi"]] + narrowed.select(*kind.names).collect()
+        targets = df.sparkSession.createDataFrame(found, kind)
+    return targets.select(*by, "n", "turn", "rank", F.col("lo").alias("value"), "below")
+
+
+def _narrowed(met: DataFrame, by: list[str], buckets: int) -> DataFrame:
+    """The targets with the ends of the part that holds their rank. A group of any size is counted before the shuffle."""
+    value, low, high = F.col("value"), F.col("lo"), F.col("hi")
+    wide = (low <= 0) & (high >= 0) | (F.greatest(F.abs(low), F.abs(high)) / 4.0 > F.least(F.abs(low), F.abs(high)))
+
+    def size(x: Column) -> Column:
+        return F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.log2(F.abs(x)) + 1100.0))  # the smallest float is 2**-1074
+
+    even = F.when(wide, (size(value) - size(low)) / (size(high) - size(low))).otherwise((value - low) / (high - low))
+    part = F.least(F.lit(buckets - 1), F.floor(even * buckets)).alias("part")
+    counts = (
+        met.where(value.between(low, high))
+        .groupBy(*by, "turn", "n", "rank", "below", part)
+        .agg(F.count("*").alias("rows"), F.min("value").alias("least"), F.max("value").alias("most"))
+    )
+    order = Window.partitionBy(*by, "turn").orderBy("part")
+    before = F.col("below") + F.sum("rows").over(order) - F.col("rows")
+    place = F.col("rank") - F.col("before")
+    two = (F.col("rows") == 2) & (F.col("least") < F.col("most"))  # the one or the other
+    second = two & (place == 1)
+    return (
+        counts.withColumn("before", before)
+        .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("rows")))
+        .select(
+            *by,
+            "n",
+            F.when(second, F.col("most")).otherwise(F.col("least")).alias("lo"),
+            F.when(two & ~second, F.col("least")).otherwise(F.col("most")).alias("hi"),
+            "turn",
+            "rank",
+            (F.col("before") + F.when(second, 1).otherwise(0)).cast("long").alias("below"),
+        )
+    )
+
+
+def value_at_rank(df: DataFrame, column: str, rank: int, buckets: int = BUCKETS):
+    """The value at 0-based `rank` in ascending order; NULLs are left out, None if out of range."""
+    found = values_at_ranks(df, column, [F.lit(rank)], buckets=buckets).first()
+    return None if found is None else found["value"]
+
+
+def percentiles(df: DataFrame, column: str, fraction: float, by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+    """Per group the percentile with linear interpolation between the two neighbouring values, as `value`."""
+    position = F.lit(float(fraction)) * (F.col("n") - 1)
+    ranks = [F.floor(position), F.least(F.floor(position) + 1, F.col("n") - 1)]
+    found = values_at_ranks(df, column, ranks, by, buckets)
+    low, high = (F.max(F.when(F.col("turn") == k, F.col("value").cast("double"))) for k in (0, 1))
+    share = F.max(position - F.floor(position))
+    return found.groupBy(*by).agg((low + (high - low) * share).alias("value"))
+
+
+def exact_percentile(df: DataFrame, column: str, fraction: float, buckets: int = BUCKETS) -> float | None:
+    """Percentile of all values, None if there are none."""
+    return percentiles(df, column, fraction, buckets=buckets).first()["value"]
+
+
+def precedes_rank(df: DataFrame, column: str, tie_breaker: str, rank: int, buckets: int = BUCKETS) -> Column:
     """Predicate that holds for exactly the first `rank` rows by `(column, tie_breaker)`.
 
     The tie breaker must be unique among rows that share a value of `column`.
     """
-    cut = value_at_rank(df, column, rank, direct_rows)
-    if cut is None:
+    found = values_at_ranks(df, column, [F.lit(rank)], buckets=buckets).first()
+    if found is None:
         return F.lit(rank > 0)
-    below = df.filter(F.col(column) < F.lit(cut)).count()
-    ties = df.filter(F.col(column) == F.lit(cut))
-    cut_id = value_at_rank(ties, tie_breaker, rank - below, direct_rows)
-    return (F.col(column) < F.lit(cut)) | (
-        (F.col(column) == F.lit(cut)) & (F.col(tie_breaker) < F.lit(cut_id))
-    )
+    cut = F.lit(found["value"])
+    if found["below"] == rank:
+        return F.col(column) < cut
+    ties = df.filter(F.col(column) == cut)
+    cut_id = value_at_rank(ties, tie_breaker, rank - found["below"], buckets)
+    return (F.col(column) < cut) | ((F.col(column) == cut) & (F.col(tie_breaker) < F.lit(cut_id)))

@@ -2,52 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetpulse.operators.alerts import COOLDOWN_SECONDS, Rule, raise_alerts
+from fleetpulse.streaming.ordered import CLOCK, DELAY_SECONDS, KEEP_SECONDS, Rows, in_order, on_clock
 
-ALERT_SCHEMA = (
-    "sample_id long, host string, ts long, rule_order int, rule string, severity string, message string, late boolean"
-)
+TEXTS = {"rule_order": "int", "severity": "string", "message": "string"}
 
 
-def alert_stream(rows: DataFrame, rules: Sequence[Rule], cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
-    """Alerts of a stream after the cooldown, plus late alerts marked as such.
+def alert_stream(
+    rows: DataFrame,
+    rules: Sequence[Rule],
+    cooldown: int = COOLDOWN_SECONDS,
+    delay: int = DELAY_SECONDS,
+    keep: int = KEEP_SECONDS,
+) -> DataFrame:
+    """Alerts of a stream after the cooldown, equal to `apply_cooldown` on the same rows, plus late alerts marked as such.
 
-    Only alerts reach the state operator, which keeps two numbers per host and rule: when it last fired
-    and the last second seen. One alert per second is enough, since a second one can never fire.
+    All rows move the watermark, but only alerts reach the state, in which a host and rule remembers when it last fired.
     """
-    columns = [field.split()[0] for field in ALERT_SCHEMA.split(", ")]
 
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fired_at, seen = state.get if state.exists else (0, None)
-        alerts = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "sample_id", "rule_order"])
-        late = alerts["ts"] < seen if seen is not None else pd.Series(False, index=alerts.index)
-        in_time = alerts[~late].drop_duplicates("ts")
-        kept = []
-        for position, second in enumerate(in_time["ts"]):
+    def step(chunk: Rows, before: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        fired_at, kept = before[0] if before else 0, []
+        for place, second in enumerate(chunk["ts"].tolist()):
             if second - fired_at >= cooldown:
-                kept.append(position)
-                fired_at = int(second)
-        if len(in_time):
-            state.update((fired_at, int(in_time["ts"].iloc[-1])))
-        result = pd.concat([in_time.iloc[kept].assign(late=False), alerts[late].assign(late=True)])
-        if len(result):
-            yield result[columns]
-
-    return (
-        raise_alerts(rows, rules)
-        .groupBy("host", "rule")
-        .applyInPandasWithState(
-            advance, ALERT_SCHEMA, "fired_at long, seen long", "append", GroupStateTimeout.NoTimeout
-        )
-    )
+                kept.append(place)
+                fired_at = second
+        found = {c: chunk[c][kept] for c in TEXTS}
+        return pd.DataFrame({"at": kept, **found}), (fired_at,)
+
+    alerts = raise_alerts(on_clock(rows, delay, keep), rules, keep=[CLOCK])
+    result = in_order(alerts, ["host", "rule"], TEXTS, step, TEXTS, "fired_at long", tie=["rule_order"])
+    return result.select("sample_id", "host", "ts", "rule_order", "rule", "severity", "message", "late")
 
 
 def deliver(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

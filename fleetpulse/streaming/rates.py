@@ -2,53 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fleetpulse.streaming.state import split_late
+from fleetpulse.streaming.ordered import DELAY_SECONDS, KEEP_SECONDS, Rows, in_order, on_clock
 
 
-def counter_rate_stream(rows: DataFrame, counters: Sequence[str]) -> DataFrame:
-    """`sample_id, host, ts, <counter>_rate.., late`; the state per host is its last row's counters."""
+def counter_rate_stream(
+    rows: DataFrame, counters: Sequence[str], delay: int = DELAY_SECONDS, keep: int = KEEP_SECONDS
+) -> DataFrame:
+    """`sample_id, ts, host, <counter>_rate.., late`, equal to `counter_rates` on the same rows, in whatever order they come.
+
+    A host remembers time and counters of its last row.
+    """
     counters = list(counters)
-    fields = ", ".join(f"{c} double" for c in counters)
-    rates = ", ".join(f"{c}_rate double" for c in counters)
-    output = ["sample_id", "host", "ts", *[f"{c}_rate" for c in counters], "late"]
-
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        fresh, late = split_late(batches, last[:2] if last else None)
-        if len(late):
-            yield late.assign(late=True).reindex(columns=output)
-        if not len(fresh):
-            return
-        seconds = fresh["ts"].diff().to_numpy(dtype=float)
-        if last:
-            seconds[0] = fresh["ts"].iloc[0] - last[0]
-        result = fresh[["sample_id", "host", "ts"]].assign(late=False)
-        for i, counter in enumerate(counters):
-            change = fresh[counter].diff().to_numpy(dtype=float)
-            if last:
-                change[0] = fresh[counter].iloc[0] - last[2 + i]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                rate = np.where(seconds > 0, np.maximum(0.0, change / seconds), 0.0)
-            result[f"{counter}_rate"] = rate
-        end = fresh.iloc[-1]
-        state.update((int(end["ts"]), int(end["sample_id"]), *[float(end[c]) for c in counters]))
-        yield result[output]
-
-    return (
-        rows.select("sample_id", "host", "ts", *counters)
-        .groupBy("host")
-        .applyInPandasWithState(
-            advance,
-            f"sample_id long, host string, ts long, {rates}, late boolean",
-            f"ts long, sample_id long, {fields}",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
+
+    def step(chunk: Rows, before: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        first = before or tuple(chunk[c][0] for c in ("ts", *counters))
+        seconds = np.diff(chunk["ts"], prepend=first[0])
+        found = {"at": np.arange(len(seconds))}
+        for counter, value in zip(counters, first[1:]):
+            change = np.diff(chunk[counter], prepend=value)
+            rate = np.divide(change, seconds, out=np.zeros(len(seconds)), where=seconds > 0)
+            found[f"{counter}_rate"] = np.maximum(0.0, rate)
+        end = (int(chunk["ts"][-1]), *(float(chunk[c][-1]) for c in counters))
+        return pd.DataFrame(found), end
+
+    return in_order(
+        on_clock(rows, delay, keep),
+        ["host"],
+        dict.fromkeys(counters, "double"),
+        step,
+        {f"{c}_rate": "double" for c in counters},
+        ", ".join(["last_ts long", *[f"last_{c} double" for c in counters]]),
     )
