@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.tables import arrow_map, columns, list_array, longs
-from fleetpulse.llm.words import mix, text_buffers, windows, word_runs
+from fleetpulse.llm.words import joined_words, mix, sequence_number, text_buffers, windows, word_runs
 from fleetpulse.session import pinned
 
 WINDOW = 50
@@ -59,13 +59,17 @@ def _anchors(words: np.ndarray, window: int) -> np.ndarray:
     return _least(windows(words, half), window - half + 1) if len(words) >= window else np.empty(0, np.uint64)
 
 
-def _kept_words(data: np.ndarray) -> list[bytes]:
-    return data.tobytes().split()  # bytes.split() cuts at \x20 and \x09-\x0D
+def _sha(data: np.ndarray, stay: np.ndarray | None = None) -> str:
+    """SHA-256 of the words (those that stay) joined by a space."""
+    digest = hashlib.sha256()
+    for part in joined_words(data, stay):
+        digest.update(part)
+    return digest.hexdigest()
 
 
 def _whole(words: np.ndarray) -> tuple[np.uint64, np.uint64]:
     """Two numbers that tell a sequence of words."""
-    return (windows(words, len(words))[0], windows(mix(words), len(words))[0]) if len(words) else (np.uint64(0), np.uint64(0))
+    return sequence_number(words), sequence_number(mix(words))
 
 
 def fingerprints(docs: DataFrame, window: int) -> DataFrame:
@@ -73,28 +77,26 @@ def fingerprints(docs: DataFrame, window: int) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, at = text_buffers(batch.column("text"))
-        counts, first, second, shas, anchors = [], [], [], [], []
         for row, offsets, words in word_runs(batch.column("text")):
+            counts, wholes, shas, anchors = [], [], [], []
             for k in range(len(offsets) - 1):
                 own = words[offsets[k] : offsets[k + 1]]
-                whole, other = _whole(own)
                 counts.append(len(own))
-                first.append(whole)
-                second.append(other)
-                text = b" ".join(_kept_words(data[at[row + k] : at[row + k + 1]]))
-                shas.append(hashlib.sha256(text).hexdigest())
+                wholes.append(_whole(own))
+                shas.append(_sha(data[at[row + k] : at[row + k + 1]]))
                 anchors.append(np.unique(_anchors(own, window)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array(counts, pa.int64()),
-                longs(np.array(first, np.uint64)),
-                longs(np.array(second, np.uint64)),
-                pa.array(shas, pa.string()),
-                list_array(anchors, pa.int64()),
-            ],
-            names=["doc_id", "n_words", "s1", "s2", "sha", "anchors"],
-        )
+            first, second = np.array(wholes, np.uint64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").slice(row, len(counts)),
+                    pa.array(counts, pa.int64()),
+                    longs(np.ascontiguousarray(first)),
+                    longs(np.ascontiguousarray(second)),
+                    pa.array(shas, pa.string()),
+                    list_array(anchors, pa.int64()),
+                ],
+                names=["doc_id", "n_words", "s1", "s2", "sha", "anchors"],
+            )
 
     return arrow_map(docs, work, _PRINTS)
 
@@ -168,21 +170,17 @@ def _kept(words: np.ndarray, gone: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) == 0
 
 
-def _cut(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, bytes, int, list[bytes] | None]]:
-    """Row, its words joined, how many go, and the words that stay (None: all)."""
+def _cut(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row, bytes and a mark for each word that stays, for the rows that lose words."""
     data, at = text_buffers(batch.column("text"))
     gone = batch.column("gone")
     for row, offsets, words in word_runs(batch.column("text")):
         for k in range(row, row + len(offsets) - 1):
-            own = words[offsets[k - row] : offsets[k - row + 1]]
-            mask = None
             if gone[k].is_valid:
+                own = words[offsets[k - row] : offsets[k - row + 1]]
                 mask = _kept(own, gone[k].values.to_numpy(zero_copy_only=False).view(np.uint64), window)
-            if mask is None or mask.all():
-                yield k, b"", 0, None
-            else:
-                pieces = _kept_words(data[at[k] : at[k + 1]])
-                yield k, b" ".join(pieces), int((~mask).sum()), [w for w, stay in zip(pieces, mask) if stay]
+                if not mask.all():
+                    yield k, data[at[k] : at[k + 1]], mask
 
 
 def report(found: Repeats) -> DataFrame:
@@ -191,9 +189,7 @@ def report(found: Repeats) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = [
-            (batch.column("doc_id")[k].as_py(), hashlib.sha256(whole).hexdigest(), n, hashlib.sha256(b" ".join(stay)).hexdigest())
-            for k, whole, n, stay in _cut(batch, window)
-            if stay is not None
+            (batch.column("doc_id")[k].as_py(), _sha(data), int((~stay).sum()), _sha(data, stay)) for k, data, stay in _cut(batch, window)
         ]
         ids, shas, counts, kept = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
@@ -261,9 +257,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         )
         texts = batch.column(place).to_pylist()
         copies = batch.column(len(names)).to_pylist()
-        for k, _, _, stay in _cut(plain, window):
-            if stay is not None:
-                texts[k] = b" ".join(stay).decode("utf-8")
+        for k, data, stay in _cut(plain, window):
+            texts[k] = b"".join(joined_words(data, stay)).decode("utf-8")
         for row, offsets, words in word_runs(plain.column("text")):
             for k in range(row, row + len(offsets) - 1):
                 if copies[k]:

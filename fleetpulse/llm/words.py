@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20  # text worked on at once: temporary arrays take about 30 bytes for each byte of it
+PIECE_BYTES = 1 << 18  # text worked on at once: temporary arrays take about 100 bytes for each byte of it
+PIECE_WORDS = 1 << 17  # and words of which windows are numbered at once
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
 
@@ -27,20 +28,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_TABLES: dict[object, object] = {}  # filled in each Python worker
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # filled in each Python worker: one pair of tables per base
 
 
 def _table(base: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least the first `count` powers of an odd base and of its inverse, modulo 2**64."""
-    key = (base, max(12, int(count).bit_length()))
-    if key not in _TABLES:
-        out = []
+    """At least the first `count` powers of an odd base and of its inverse, modulo 2**64. A longer table takes the place of a shorter one."""
+    if base not in _TABLES or len(_TABLES[base][0]) < count:
+        size, out = 1 << max(12, int(count).bit_length()), []
         for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(1 << key[1], b, np.uint64)
+            p = np.full(size, b, np.uint64)
             p[:1] = 1
             out.append(np.cumprod(p, dtype=np.uint64))
-        _TABLES[key] = tuple(out)
-    return _TABLES[key]
+        _TABLES[base] = tuple(out)
+    return _TABLES[base]
 
 
 def _bytes_table(lower: bool) -> np.ndarray:
@@ -99,23 +99,46 @@ def word_runs(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.n
             row_starts = offsets[row : last + 1] - begin + np.arange(last - row + 1)
             yield row, np.searchsorted(starts, row_starts), words
         else:
-            parts = list(_long_row(data[begin:end], lower))
-            words = np.concatenate(parts)
+            words = np.concatenate([_piece_words(part, lower)[0] for part in parts_of(data[begin:end])])
             yield row, np.array([0, len(words)]), words
         row = last
 
 
-def _long_row(data: np.ndarray, lower: bool) -> Iterator[np.ndarray]:
+def parts_of(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A text in parts of about PIECE_BYTES that end before white space."""
     begin = 0
     while begin < len(data):
         end, step = min(begin + PIECE_BYTES, len(data)), PIECE_BYTES
         while end < len(data) and not _space_table()[data[end]]:  # cut at the next space only
             ahead = np.flatnonzero(_space_table()[data[end : end + step]])
             end = end + int(ahead[0]) if len(ahead) else min(end + step, len(data))
-        yield _piece_words(data[begin:end], lower)[0]
+        yield data[begin:end]
         begin = end
 
 
+def joined_words(data: np.ndarray, stay: np.ndarray | None = None) -> Iterator[bytes]:
+    """The words of a text joined by one space, part by part; with `stay` only those words that it marks."""
+    at, between = 0, b""
+    for part in parts_of(data):
+        words = part.tobytes().split()  # bytes.split() cuts at \x20 and \x09-\x0D
+        if stay is not None:
+            at, words = at + len(words), [w for w, keep in zip(words, stay[at : at + len(words)]) if keep]
+        if words:
+            yield between + b" ".join(words)
+            between = b" "
+
+
+def sequence_number(words: np.ndarray) -> np.uint64:
+    """A number of the whole sequence of words."""
+    total, factor = len(words), 1
+    forward, _ = _table(_WORD_BASE, min(len(words), PIECE_WORDS) + 1)
+    for begin in range(0, len(words), PIECE_WORDS):
+        own = words[begin : begin + PIECE_WORDS]
+        total += int(np.sum(own * forward[: len(own)], dtype=np.uint64)) * factor
+        factor = factor * pow(_WORD_BASE, PIECE_WORDS, 1 << 64) % (1 << 64)
+    return mix(np.array([total % (1 << 64)], np.uint64))[0]
+
+
 def windows(words: np.ndarray, size: int) -> np.ndarray:
     """The number of the `size` words that begin at each word; empty if there are fewer."""
     if len(words) < size:
@@ -125,6 +148,11 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
         for k in range(size):
             total = total * np.uint64(_WORD_BASE) + words[k : len(words) - size + 1 + k]
         return mix(total)
-    forward, back = _table(_WORD_BASE, len(words) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * forward[: len(words)], dtype=np.uint64)))
-    return mix((sums[size:] - sums[:-size]) * back[: len(words) - size + 1])
+    out = np.empty(len(words) - size + 1, np.uint64)
+    step = max(PIECE_WORDS, size)
+    forward, back = _table(_WORD_BASE, min(len(words), step + size) + 1)
+    for begin in range(0, len(out), step):
+        own = words[begin : begin + step + size - 1]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * forward[: len(own)], dtype=np.uint64)))
+        out[begin : begin + step] = mix((sums[size:] - sums[:-size]) * back[: len(own) - size + 1])
+    return out
