@@ -132,7 +132,7 @@ class _Mixer:
         self.next[self.at] = np.minimum(self.sure, 2) * self.right + ((place << 2) + 1)
         past = self.past[:, : len(place)]
         past[1] = past[0] * 181 + place * 67 & (1 << _SLOTS) - 1
-        past[0] = place
+        past[0] = place & (1 << _SLOTS) - 1
 
 
 def _not_above(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
