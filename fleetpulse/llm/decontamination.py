@@ -1,4 +1,4 @@
-"""Documents that contain a benchmark item, give or take some words: lossless gate, lossless seeds, exact check.
+"""Documents that contain a benchmark item, give or take some words: CGK embedding, bit-sampling LSH, exact check.
 
 A document is contaminated by an item of n words if n consecutive words of it are within an edit distance (insert,
 delete, replace a word) of floor(n * EDITS) of the item. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased.
@@ -6,11 +6,14 @@ delete, replace a word) of floor(n * EDITS) of the item. Words are `[^\\x20\\x09
 1. Gate, which loses nothing: a window so close to an item keeps at least n - e of its words and n - 1 - 2e of its
    word pairs, so windows with fewer words or pairs that occur in any item cannot match one of that length. The words
    and pairs of the items are a table of bits, and a window's count is a difference of running sums.
-2. Seeds, which lose nothing either: an item is cut into e + 1 seeds of floor(n / (e + 1)) words (and what is left over).
-   e edits spoil at most e of them, so one seed at least stands unchanged in the window, at most e places from its place
-   in the item. A window and an item of that length with such a seed are a candidate pair, at any length and any number
-   of edits.
-3. Candidates are checked by their exact edit distance.
+2. CGK (Chakraborty, Goldenberg, Koucky, 2016): random walks copy the words of a window, as long as the item, to a string of
+   2n places; at each step a bit that depends on step and word says whether the walk moves on. Strings of texts at a small
+   edit distance agree in many places.
+3. Bit sampling: each walk's string is read at some random places, and equal readings make a window and an item of that
+   length a candidate pair. How many walks are taken, and how many places are read, follows from the length: `sampling`
+   measures on random texts with the allowed number of edits in how many places two strings agree, and takes as many walks as
+   bring the chance to meet to RECALL. Long items, whose strings agree less, are read at fewer places by more walks.
+4. Candidates are checked by their exact edit distance, so only candidates can be missed, never wrong ones reported.
 
 Items are read in blocks of some ITEM_WORDS words by the hash of their ids; each block's tables are broadcast (bounded
 by that number) and each block is one pass over the documents, without any shuffle but that of the findings.
@@ -22,6 +25,8 @@ name; equal rows give one finding; empty tables give an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +38,91 @@ from fleetpulse.llm.words import mix, windows, word_runs
 from fleetpulse.session import pinned
 
 EDITS = 0.15
+RECALL = 0.995  # chance to find a text at the allowed number of edits
+WALKS = 96  # more than so many walks are taken only where reading a single place needs them
+TRIALS, TRIED = 64, 16  # texts and walks by which agreement is measured
 ITEM_WORDS = 500_000
 BITS = 22
 HELD = 16384  # windows of one length that a task looks up at once
 
 
-def seed_numbers(texts: np.ndarray, size: int) -> np.ndarray:
-    """The number of the `size` words that begin at each place of each row of `texts`: rows x places."""
-    places = texts.shape[1] - size + 1
-    total = np.zeros((len(texts), places), np.uint64)
-    for k in range(size):
-        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + texts[:, k : k + places])
-    return total
+@dataclass(frozen=True)
+class Sampling:
+    """Of texts of n words: for each walk an odd multiplier per step, whose top bit moves the walk on, and the steps that are read."""
 
+    salts: np.ndarray
+    read: np.ndarray
 
-def seed_table(table: np.ndarray, edits: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """The seeds of items of n words each (rows of `table`): their size, and sorted by number their numbers, rows and places."""
-    size = table.shape[1] // (edits + 1)
-    places = np.arange(edits + 1) * size
-    numbers = seed_numbers(table, size)[:, places].ravel()
-    order = np.argsort(numbers, kind="stable")
-    return size, numbers[order], order // len(places), places[order % len(places)]
+
+def _salts(n: int, walks: int) -> np.ndarray:
+    """Multipliers of the first walks; more walks only add to them."""
+    rng = [np.random.default_rng((20160619, n, walk)) for walk in range(walks)]
+    return np.stack([r.integers(0, 1 << 63, 2 * n, np.uint64) for r in rng]) * np.uint64(2) + np.uint64(1)
+
+
+def cgk_strings(texts: np.ndarray, salts: np.ndarray) -> Iterator[np.ndarray]:
+    """Step by step the words that the walks stand on: walks x rows of `texts`. A walk that has left its text stands on 0."""
+    rows, n = texts.shape
+    ended = np.concatenate((texts, np.zeros((rows, n), np.uint64)), axis=1).ravel()  # a walk stays within 2n places
+    base, at = np.arange(rows) * 2 * n, np.zeros((len(salts), rows), np.int64)
+    for step in range(2 * n):
+        word = ended[base + at]
+        yield word
+        at += ((word * salts[:, step, None]) >> np.uint64(63)).astype(np.int64)
+
+
+def _edited(text: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """The text after so many edits, as long as before."""
+    words, fresh = text.tolist(), rng.integers(1, 1 << 62, 2 * len(text) + edits + 1).tolist()
+    for _ in range(edits):
+        at = int(rng.integers(len(words))) if words else 0
+        words[at : at + 1] = [[], [fresh.pop()], [*words[at : at + 1], fresh.pop()]][int(rng.integers(3))]
+    return np.array((words + fresh)[: len(text)], np.uint64)
+
+
+@cache
+def agreement(n: int, edits: int) -> np.ndarray:
+    """The share of places in which the strings of a random text and of its edited form agree: trials x walks."""
+    rng = np.random.default_rng((n, edits))
+    texts = rng.integers(1, 1 << 62, (TRIALS, n)).astype(np.uint64)
+    others = np.stack([_edited(t, edits, rng) for t in texts])
+    salts = _salts(n, TRIED)
+    same = sum((x == y).astype(np.int32) for x, y in zip(cgk_strings(texts, salts), cgk_strings(others, salts)))
+    return same.T / (2 * n)
+
+
+def sampling(n: int, edits: int, items: int) -> Sampling:
+    """How to read texts of n words so that, of those at the allowed number of edits, the share RECALL meets its item.
+
+    Reading more places parts unrelated texts better, which matters where many `items` have that length, and takes more walks.
+    """
+    agree = agreement(n, edits)
+    places, walks = len(str(max(1, items))) + 1, 1
+    while places:
+        met = np.maximum((agree**places).mean(axis=1), 1e-6)  # the chance of each trial to meet in a walk
+        walks = 1
+        while (1 - (1 - met) ** walks).mean() < RECALL and walks < 4096:
+            walks += 1 + walks // 16
+        if walks <= WALKS or places == 1:
+            break
+        places -= 1
+    read = np.zeros((walks, 2 * n), bool)
+    for walk, own in enumerate(read):
+        own[np.random.default_rng((17, n, walk)).choice(2 * n, min(places, 2 * n), replace=False)] = True
+    return Sampling(_salts(n, walks), read)
+
+
+def cgk_readings(texts: np.ndarray, how: Sampling) -> np.ndarray:
+    """The number that each walk reads of each row of `texts`: walks x rows."""
+    reading = np.zeros((len(how.salts), len(texts)), np.uint64)
+    last = int(how.read.any(axis=0).nonzero()[0].max())
+    for step, word in enumerate(cgk_strings(texts, how.salts)):
+        own = np.flatnonzero(how.read[:, step])
+        if len(own):
+            reading[own] = mix(reading[own] * np.uint64(0x9E3779B97F4A7C15) + word[own])
+        if step == last:
+            break
+    return reading
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,8 +145,14 @@ def _bit(numbers: np.ndarray) -> np.ndarray:
     return (numbers >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _sorted(readings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Readings of the items by one walk, in order, and whose they are."""
+    order = np.argsort(readings, kind="stable")
+    return readings[order], order
+
+
 def item_tables(ids: list[int], texts: list[str], edits: float = EDITS) -> dict:
-    """Of one block of items: bits of words and word pairs; by length the ids, words and seeds."""
+    """Of one block of items: bits of words and word pairs; by length the ids, words, sampling and sorted readings."""
     some_words, some_pairs = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
     grouped: dict[int, tuple[list[int], list[np.ndarray]]] = {}
     for row, offsets, numbers in word_runs(pa.array(texts, pa.string()), lower=True):
@@ -91,8 +166,8 @@ def item_tables(ids: list[int], texts: list[str], edits: float = EDITS) -> dict:
                 group[1].append(own)
     by_length = {}
     for n, (names, rows) in sorted(grouped.items()):
-        table = np.stack(rows)
-        by_length[n] = (np.array(names, np.int64), table, seed_table(table, int(n * edits)))
+        table, how = np.stack(rows), sampling(n, int(n * edits), len(rows))
+        by_length[n] = (np.array(names, np.int64), table, how, [_sorted(r) for r in cgk_readings(table, how)])
     return {"edits": edits, "words": some_words, "pairs": some_pairs, "by_length": by_length}
 
 
@@ -122,28 +197,25 @@ def gated(items: dict, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple
 def matched(items: dict, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, item and edit distance of the windows (rows of n words) that match an item."""
     n = texts.shape[1]
-    names, table, (size, seeds, seeded, seed_at) = items["by_length"][n]
+    names, table, how, readings = items["by_length"][n]
     edits = int(n * items["edits"])
-    step = max(1, (1 << 17) // n)
+    step = max(1, (1 << 19) // (n * max(1, len(readings) // 8)))
     # Windows with equal words are looked up once.
     whole = mix(texts * np.arange(1, 2 * n, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
     _, first, which = np.unique(whole, return_index=True, return_inverse=True)
     found = [np.empty((3, 0), np.int64)]
     for part in range(0, len(first), step):
         own = texts[first[part : part + step]]
-        numbers = seed_numbers(own, size)
-        w, at = np.nonzero(np.isin(numbers, seeds))
-        reading = numbers[w, at]
-        low, high = np.searchsorted(seeds, reading, "left"), np.searchsorted(seeds, reading, "right")
         met = [np.empty(0, np.int64)]
-        # Runs of readings that meet some 2**20 seeds together.
-        ends = np.cumsum(high - low)
-        cuts = np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]) if len(ends) else 0, 1 << 20), "left")
-        for run in np.split(np.arange(len(w)), np.unique(cuts)):
-            many = high[run] - low[run]
-            hit = np.repeat(low[run], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            near = np.abs(np.repeat(at[run], many) - seed_at[hit]) <= edits
-            met.append(np.unique(np.repeat(w[run], many)[near] * len(names) + seeded[hit[near]]))
+        for (numbers, order), reading in zip(readings, cgk_readings(own, how)):
+            low, high = np.searchsorted(numbers, reading, "left"), np.searchsorted(numbers, reading, "right")
+            # Runs of windows that meet some 2**20 items together.
+            ends = np.cumsum(high - low)
+            cuts = np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]) if len(ends) else 0, 1 << 20), "left")
+            for run in np.split(np.arange(len(own)), np.unique(cuts)):
+                many = high[run] - low[run]
+                hit = np.repeat(low[run], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                met.append(np.unique(np.repeat(run, many) * len(names) + order[hit]))
         pairs = np.unique(np.concatenate(met))
         for begin in range(0, len(pairs), 4096):
             w, item = pairs[begin : begin + 4096] // len(names), pairs[begin : begin + 4096] % len(names)
