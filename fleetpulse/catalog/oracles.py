@@ -182,6 +182,13 @@ def detections_write():
     return statement(f"select {columns}, {NOW}::bigint as written_at from event_log", ["flagged"], [EVENT_LOG])
 
 
+@oracle
+def detections_rewrite():
+    columns = f"id, ts, type, {snap('score')} as score, metric_tags, explanation"
+    written = f"case when ts <= {RANGE_END} then {NOW}::bigint else {NOW + 60}::bigint end as written_at"
+    return statement(f"select {columns}, {written} from event_log", ["flagged"], [EVENT_LOG])
+
+
 @oracle
 def detections_scan():
     return statement(
@@ -195,6 +202,16 @@ def detections_scan():
 CUTOFF = f"({NOW} - {RETENTION_DAYS} * 86400)"
 
 
+@oracle
+def retention_store():
+    cutoff = f"{CUTOFF} + 43200"
+    return statement(
+        f"""select {SAMPLE_LIST}, store, (select count(*) from gaps where {COMPLETE} and ts < {cutoff}) as removed
+        from gaps, (values ('batch'), ('stream')) s(store) where {COMPLETE} and ts >= {cutoff}""",
+        ["gaps"],
+    )
+
+
 @oracle
 def retention_keep():
     return statement(f"select sample_id, host, ts from samples where ts >= {CUTOFF}", ["samples"])
@@ -523,7 +540,7 @@ def forest_sample_dealt():
     return statement(_drawn(8, 32), ["samples"])
 
 
-def _share(what: str) -> str:
+def _hash_share(what: str) -> str:
     return f"({_hash(f"'{SEED}|{what}|' || tree_id || '|' || node_id")} / (1::bigint << 52))"
 
 
@@ -533,9 +550,9 @@ def _grown(trees: int, size: int, height: int, points: str, width: int, source:
     varying = "[" + ", ".join(f"case when low[{i + 1}] < high[{i + 1}] then {i + 1} end" for i in range(width)) + "]"
     split = f"""
       select *, case when cut >= high[axis] then low[axis] else cut end as threshold from (
-        select *, low[axis] + {_share('cut')} * (high[axis] - low[axis]) as cut from (
+        select *, low[axis] + {_hash_share('cut')} * (high[axis] - low[axis]) as cut from (
           select *, case when size > 1 and depth < {height} then
-            axes[cast(floor({_share('feature')} * len(axes)) as int) + 1] end as axis from (
+            axes[cast(floor({_hash_share('feature')} * len(axes)) as int) + 1] end as axis from (
               select *, list_filter({varying}, lambda i: i is not null) as axes from %s)))"""
     own = " over (partition by tree_id, node_id)"
     placed = f"(select *, count(*){own} as size, {ends('min', own)} as low, {ends('max', own)} as high from grown)"
@@ -574,16 +591,12 @@ USUAL = "case when {0} <= 1 then 0e0 when {0} = 2 then 1e0 else 2 * (ln({0} - 1)
 PATH = f"cast(floor((depth + {USUAL.format('size')}) * 4294967296e0 + 0.4999) as bigint)"  # whole multiples of 2**-32
 
 
-def _trained(sql: str, parts: dict[str, str], extra: Sequence[tuple[str, str]] = ()) -> str:
-    """A model of all rows (first 80 % to learn, the rest to calibrate) and `scores` (side, sample_id, score) of further
-    `parts`: name of the side and which rows, whose windows start anew. `cut` has the threshold."""
-    sided = [
-        f"""select * replace (host || case when place <= floor(n * {1 - VAL_SPLIT}) then '|train' else '|validation' end as host)
-        from (select *, row_number() over (order by ts, sample_id) as place, count(*) over () as n from samples)""",
-        *[f"select * replace (host || '|{side}' as host), 0 as place, 0 as n from samples where {which}" for side, which in parts.items()],
-    ]
+def _model(sql: str, sided: str, before: Sequence[tuple[str, str]] = (), extra: Sequence[tuple[str, str]] = ()) -> str:
+    """A model learnt from the rows of `sided` whose host ends in |train and calibrated on those in |validation; the windows of
+    each side start anew. `scores` (side, sample_id, score) has all other sides, and `cut` the threshold."""
     ctes = [
-        ("sided", " union all ".join(sided)),
+        *before,
+        ("sided", sided),
         _ordered("sided"),
         *FEATURE_CTES[1:],
         ("points", f"select sample_id, string_split(host, '|')[2] as side, {WHOLE} as point from feats"),
@@ -607,6 +620,19 @@ def _trained(sql: str, parts: dict[str, str], extra: Sequence[tuple[str, str]] =
     return statement(sql, ["samples"], ctes, recursive=True)
 
 
+PLACED = ("placed", "select *, row_number() over (order by ts, sample_id) as place, count(*) over () as n from samples")
+
+
+def _trained(sql: str, parts: dict[str, str]) -> str:
+    """A model of all rows (first 80 % to learn, the rest to calibrate); `parts`: name of a further side and which rows it has."""
+    learned = f"case when place <= floor(n * {1 - VAL_SPLIT}) then '|train' else '|validation' end"
+    sided = [
+        f"select * exclude (place, n) replace (host || {learned} as host) from placed",
+        *[f"select * replace (host || '|{side}' as host) from samples where {which}" for side, which in parts.items()],
+    ]
+    return _model(sql, " union all ".join(sided), [PLACED])
+
+
 @oracle
 def train_summary():
     sides = "(select count(*) from points where side = '{}')"
@@ -879,8 +905,8 @@ def score_histogram():
     )
 
 
-@oracle
-def inject_anomalies():
+def _injected(source: str, types: int) -> str:
+    """`source` with the metrics of one row in twenty overwritten, by one of the first `types` kinds, and `chosen` for those rows."""
     kinds = {
         "cpu_pct": (0, 90, 10),
         "mem_pct": (1, 85, 15),
@@ -895,16 +921,60 @@ def inject_anomalies():
         kind, low, span = kinds[m]
         bits = _hash(f"'{SEED}|{m}|' || sample_id")
         drawn = f"{low}.0e0 + {span}.0e0 * ({bits} / 4503599627370496.0e0)"
-        value = f"case when chosen and kind = {kind} then {drawn} else {m} end"
-        columns.append(f"{snap(value, digits_of(m))} as {m}")
+        columns.append(f"case when chosen and kind = {kind} then {drawn} else {m} end as {m}")
     pick = _hash(f"'{SEED}|pick|' || sample_id")
     kind = _hash(f"'{SEED}|kind|' || sample_id")
+    return f"""select * replace ({', '.join(columns)}) from (
+      select *, {kind} % {types} as kind,
+        row_number() over (order by {pick}, sample_id) <= floor((select count(*) from {source}) * 0.05e0) as chosen
+      from {source})"""
+
+
+@oracle
+def inject_anomalies():
     return statement(
-        f"""select sample_id, cast(chosen as int) as y_true, {', '.join(columns)} from (
-          select *, {kind} % 5 as kind,
-            row_number() over (order by {pick}, sample_id) <= floor((select count(*) from samples) * 0.05e0) as chosen
-          from samples)""",
-        ["samples"],
+        f"select sample_id, cast(chosen as int) as y_true, {snapped(METRICS)} from ({_injected('samples', 5)})", ["samples"]
+    )
+
+
+def _evaluated(sql: str, extra: Sequence[tuple[str, str]]) -> str:
+    """The back-test: `flagged` has the scored rows of the last fifth, injected anomalies being the ones to find."""
+    past = f"floor(n * {1 - VAL_SPLIT})"
+    learned = f"case when place <= floor({past} * {1 - VAL_SPLIT}) then '|train' else '|validation' end"
+    sided = f"""select * exclude (place, n) replace (host || {learned} as host) from placed where place <= {past}
+      union all select * exclude (kind, chosen) replace (host || '|test' as host) from test"""
+    before = [
+        PLACED,
+        ("recent", f"select * exclude (place, n) from placed where place > {past}"),
+        ("test", _injected("recent", 4)),
+    ]
+    flagged = """select t.sample_id, t.host, t.ts, cast(t.chosen as int) as y_true, s.score, s.score < (select threshold from cut) as is_anomaly
+      from test t join scores s on s.sample_id = t.sample_id and s.side = 'test'"""
+    return _model(sql, sided, before, [("flagged", flagged), ("scored", "select * from flagged"), *extra])
+
+
+@oracle
+def evaluation_report():
+    return _evaluated(
+        f"""select (select count(*) from flagged) as test_samples, {snap('(select threshold from cut)')} as threshold,
+          {_share('tp + tn', 'tp + fp + tn + fn')} as accuracy, {_share('tp', 'tp + fp')} as precision, {_share('tp', 'tp + fn')} as recall,
+          {_share('fp', 'fp + tn')} as fpr, {snap('auc')} as auc,
+          {snap('(select coalesce(avg(lead_time), 0.0) from runs)')} as mean_lead_time,
+          {snap('(select coalesce(median(lead_time), 0.0) from runs)')} as median_lead_time
+        from confusion, area""",
+        [CONFUSION, AUC, RUNS],
+    )
+
+
+@oracle
+def evaluation_tables():
+    keep = "where place = 1 or place = places or next_pos <> pos or next_neg <> neg"
+    return _evaluated(
+        f"""select 'roc' as curve, {snap('fp / n')} as x, {snap('tp / p')} as y, {snap('-score')} as threshold from cumulative {keep}
+        union all select 'roc', 0.0::double, 0.0::double, null::double
+        union all select 'pr', {snap('tp / p')}, {snap('tp / (tp + fp)')}, {snap('-score')} from cumulative
+        union all select 'pr', 0.0::double, 1.0::double, null::double""",
+        [_cumulative("scored")],
     )
 
 

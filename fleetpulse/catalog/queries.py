@@ -179,7 +179,17 @@ def scan_last(spark, folder):
 def detections_write(spark, folder):
     path = scratch_path(spark, "detections")
     store.write_detections(event_log(spark, folder), path, written_at=NOW)
-    return spark.read.parquet(path).withColumn("score", snap("score"))
+    return store.read_detections(spark, path).withColumn("score", snap("score"))
+
+
+@query
+def detections_rewrite(spark, folder):
+    """A first run writes the events up to a moment, a later one all events, and it is repeated: each event is there once."""
+    path, events = scratch_path(spark, "detections"), event_log(spark, folder)
+    store.write_detections(events.filter(F.col("ts") <= RANGE_END), path, written_at=NOW)
+    store.write_detections(events.unionByName(events), path, written_at=NOW + 60)
+    store.write_detections(events, path, written_at=NOW + 120)
+    return store.read_detections(spark, path).withColumn("score", snap("score"))
 
 
 @query
@@ -198,6 +208,21 @@ def retention_removed(spark, folder):
     return store.removed_count(views.load_samples(spark, folder), NOW, RETENTION_DAYS)
 
 
+@query
+def retention_store(spark, folder):
+    """A store written in batch and one written by a stream, both pruned at noon of a day and read back."""
+    root = scratch_path(spark, "retention")
+    store.write_samples(views.with_gaps(views.load_samples(spark, folder)), f"{root}/batch")
+    rows = views.with_gaps(views.samples_from_events(event_stream(spark, folder)))
+    ingest_stream(rows, f"{root}/stream", f"{root}/checkpoint", AVAILABLE_NOW).awaitTermination()
+    kept = []
+    for name in ("batch", "stream"):
+        removed = store.prune_store(spark, f"{root}/{name}", NOW + 43200, RETENTION_DAYS)
+        left = store.read_store(spark, f"{root}/{name}").select("sample_id", *SAMPLE_COLUMNS)
+        kept.append(left.withColumn("store", F.lit(name)).withColumn("removed", F.lit(removed).cast("long")))
+    return kept[0].unionByName(kept[1])
+
+
 @query
 def store_stats(spark, folder):
     return store.store_stats(
@@ -638,7 +663,21 @@ def inject_anomalies(spark, folder):
 @query
 def evaluation_report(spark, folder):
     _, _, report = evaluation.run_evaluation(views.load_samples(spark, folder), contamination=0.05, seed=SEED)
-    return report
+    return report.select("test_samples", *[snap(c).alias(c) for c in report.columns if c != "test_samples"])
+
+
+@query
+def evaluation_tables(spark, folder):
+    """Both curves of a back-test, as they were written to its folder."""
+    path = scratch_path(spark, "evaluation")
+    model, scored, _ = evaluation.run_evaluation(views.load_samples(spark, folder), contamination=0.05, seed=SEED)
+    evaluation.write_evaluation(scored, model.threshold, path)
+    parts = {"roc": ("fpr", "tpr"), "pr": ("recall", "precision")}
+    roc, pr = (
+        spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("curve"), snap(x).alias("x"), snap(y).alias("y"), snap("threshold").alias("threshold"))
+        for name, (x, y) in parts.items()
+    )
+    return roc.unionByName(pr)
 
 
 # ---- forecasts ----------------------------------------------------------------------------------

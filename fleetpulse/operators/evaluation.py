@@ -272,9 +272,21 @@ def evaluation_report(scored: DataFrame, threshold: float) -> DataFrame:
     """Classification metrics and detection delay of scored rows, in one row."""
     delay = lead_time(lead_time_runs(scored)).first()
     return classification_report(scored).select(
-        F.lit(scored.count()).alias("test_samples"),
+        F.lit(scored.count()).cast("long").alias("test_samples"),
         F.lit(float(threshold)).alias("threshold"),
         "*",
         F.lit(delay["mean_lead_time"]).alias("mean_lead_time"),
         F.lit(delay["median_lead_time"]).alias("median_lead_time"),
     )
+
+
+def write_evaluation(scored: DataFrame, threshold: float, path: str, bins: int = 50) -> None:
+    """Write a back-test's results to the folder `path`, each as a Parquet table: `report` (one row), `roc`, `pr` and `histogram`."""
+    tables = {
+        "report": evaluation_report(scored, threshold),
+        "roc": roc_curve(scored),
+        "pr": pr_curve(scored),
+        "histogram": score_histogram(scored, bins),
+    }
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,12 +66,10 @@ def write_samples(rows: DataFrame, path: str) -> int:
 
 def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The Parquet table at `path`, or None if nothing is stored there."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(path)
+    there = root.getFileSystem(context._jsc.hadoopConfiguration()).exists(root)
+    return spark.read.parquet(path) if there else None
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -92,9 +89,30 @@ def detection_rows(anomalies: DataFrame, event_type: str = "anomaly") -> DataFra
     )
 
 
-def write_detections(events: DataFrame, path: str, written_at: int) -> None:
-    """Append events with the time of writing; `ts` stays the time of the sample."""
-    events.withColumn("written_at", F.lit(written_at).cast("bigint")).write.mode("append").parquet(path)
+def write_detections(events: DataFrame, path: str, written_at: int) -> int:
+    """Append events with the time of writing to the log, partitioned by the day of `ts`; returns how many were new.
+
+    An event that the log has already is not written again, so a repeated or overlapping run leaves one copy of each, the
+    first. An id always has the same `ts`, so only the log's ids of the days from the first to the last event are read, and both
+    sides meet by id in a join that adaptive execution splits or broadcasts by the sizes it measures.
+    """
+    spark = events.sparkSession
+    fresh = pinned(events.dropDuplicates(["id"]).withColumn("date", utc_day(F.col("ts"))))
+    known = stored_table(spark, path)
+    if known is not None:
+        first, last = fresh.agg(F.min("date"), F.max("date")).first()
+        there = known.filter(F.col("date").between(F.lit(first), F.lit(last))).select("id")
+        fresh = fresh.join(there, "id", "left_anti")
+    written = Observation("events")
+    rows = fresh.withColumn("written_at", F.lit(written_at).cast("bigint")).select(*events.columns, "written_at", "date")
+    spread = rows.hint("rebalance", "date").observe(written, F.count("*").alias("rows"))
+    spread.write.mode("append").partitionBy("date").parquet(path)
+    return written.get["rows"]
+
+
+def read_detections(spark: SparkSession, path: str) -> DataFrame:
+    """The event log, without the column that it is partitioned by."""
+    return spark.read.parquet(path).drop("date")
 
 
 def scan_detections(
@@ -169,12 +187,11 @@ def host_stats(samples: DataFrame) -> DataFrame:
     )
 
 
-def stored_megabytes(df: DataFrame) -> float:
-    """Size of the files a table is read from, in MB of 1024 * 1024 bytes."""
-    context = df.sparkSession.sparkContext
-    configuration, hadoop = context._jsc.hadoopConfiguration(), context._jvm.org.apache.hadoop.fs
-    paths = [hadoop.Path(f) for f in df.inputFiles()]
-    return sum(p.getFileSystem(configuration).getFileStatus(p).getLen() for p in paths) / (1024 * 1024)
+def stored_megabytes(spark: SparkSession, path: str) -> float:
+    """Size of all files under a table's folder, in MB of 1024 * 1024 bytes: one summary asked of the file system, not one call per file."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(root).getLength() / (1024 * 1024)
 
 
 MODEL_SCHEMA = "model_id string, name string, algo string, version string, trained_at long, meta_json string"
