@@ -18,6 +18,7 @@ from fleetpulse.functions.text import fixed_point
 DEFAULT_THRESHOLDS = {"cpu_high": ("cpu_pct", 90.0), "mem_high": ("mem_pct", 90.0), "swap_high": ("swap_pct", 80.0)}
 COOLDOWN_SECONDS = 60
 CHUNK_SECONDS = 86400
+CHUNKS_PER_BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -109,19 +110,45 @@ def _exit_waits(seconds: np.ndarray, end: int, cooldown: int, heads: int) -> lis
     return [left[head] for head in range(heads)]
 
 
+def _passes(ready: Column, part: Column) -> Column:
+    """The moment from which an alert may fire after a part of the time, if before it that moment is `ready`."""
+    blocked = F.size(F.filter(part["heads"], lambda second: second < ready))
+    return F.coalesce(F.get(part["outs"], blocked), ready)
+
+
+def _then(first: Column, second: Column, cooldown: int) -> Column:
+    """Two neighbouring parts as one. An alert that all of the first part's heads miss meets the second part's first head."""
+    outs = F.transform(first["outs"], lambda ready: _passes(ready, second))
+    enough = F.element_at(first["heads"], -1) > first["begin"] + cooldown
+    more = [F.when(enough, first["heads"]).otherwise(F.array_append(first["heads"], F.get(second["heads"], 0)))]
+    more += [F.when(enough, outs).otherwise(F.array_append(outs, F.get(second["outs"], 0)))]
+    return F.struct(first["place"].alias("place"), first["begin"].alias("begin"), more[0].alias("heads"), more[1].alias("outs"))
+
+
+def _entered(parts: Column, ready: Column) -> Column:
+    """For each part, in order, its place and the moment from which an alert may fire when it begins."""
+    nothing = F.array().cast("array<struct<place:bigint,ready:bigint>>")
+
+    def step(state: Column, part: Column) -> Column:
+        entry = F.struct(part["place"].alias("place"), state["ready"].alias("ready"))
+        return F.struct(_passes(state["ready"], part).alias("ready"), F.array_append(state["entered"], entry).alias("entered"))
+
+    return F.aggregate(parts, F.struct(ready.alias("ready"), nothing.alias("entered")), step)["entered"]
+
+
 def apply_cooldown(
-    alerts: DataFrame, cooldown: int = COOLDOWN_SECONDS, chunk_seconds: int = CHUNK_SECONDS
+    alerts: DataFrame, cooldown: int = COOLDOWN_SECONDS, chunk_seconds: int = CHUNK_SECONDS, fan: int = CHUNKS_PER_BLOCK
 ) -> DataFrame:
     """Keep an alert, then drop those of the same host and rule until `cooldown` seconds have passed.
 
     Dropped alerts do not prolong the wait. The clock starts at 0, so nothing fires before `cooldown`.
 
     The choice is sequential, yet no task sees a whole (host, rule): alerts are reduced to one per
-    second, then cut into days, each at most 86,400 entries. What a day does to the ones after it is
-    fully described by the wait it leaves for each alert that may be its first to fire; only alerts
-    within `cooldown` of its start and the one after them qualify. Those short lists are chained per
-    (host, rule), one entry per day, and every day is then worked out on its own from the wait it
-    really starts with.
+    second, then cut into days, each at most 86,400 entries. What a day does to the ones after it is a step function: from the
+    moment at which an alert may fire when the day begins to that moment when it has ended. Only alerts within `cooldown` of
+    its start and the one after them are steps, so it is a short list, and two neighbouring functions are one of the same kind and size.
+    `fan` days are put together to a block, blocks are followed from the first to the last of a (host, rule), then each
+    block's days from the moment it begins with, and every day is worked out on its own. No row holds more than `fan` such lists.
     """
     length = max(chunk_seconds, cooldown)
     payload = [c for c in alerts.columns if c not in ("host", "rule", "ts")]
@@ -150,33 +177,30 @@ def apply_cooldown(
     begin = F.col("chunk") * length
     early = F.size(F.filter("seconds", lambda second: second <= begin + cooldown))
     heads = F.least(early + 1, F.size("seconds"))
-    links = chunks.select(
+    ended = F.transform(exit_waits("seconds", "chunk", heads), lambda wait: wait + begin + length)
+    days = chunks.select(
         "host",
         "rule",
-        "chunk",
-        F.slice("seconds", F.lit(1), heads).alias("heads"),
-        exit_waits("seconds", "chunk", heads).alias("exits"),
+        F.floor(F.col("chunk") / fan).alias("block"),
+        F.struct(
+            F.col("chunk").alias("place"), begin.alias("begin"), F.slice("seconds", F.lit(1), heads).alias("heads"), ended.alias("outs")
+        ).alias("part"),
     )
-    nothing = F.array().cast("array<struct<chunk:bigint,wait:bigint>>")
-    start = F.struct(
-        F.lit(-1).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("left"), nothing.alias("waits")
+    blocks = days.groupBy("host", "rule", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    rest = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))
+    whole = F.aggregate(rest, F.get("parts", 0), lambda one, other: _then(one, other, cooldown))
+    followed = (
+        blocks.select("host", "rule", whole.withField("place", F.col("block")).alias("part"))
+        .groupBy("host", "rule")
+        .agg(F.array_sort(F.collect_list("part")).alias("parts"))
+        .select("host", "rule", F.inline(_entered(F.col("parts"), F.lit(cooldown).cast("bigint"))))
+        .select(F.col("host").alias("b_host"), F.col("rule").alias("b_rule"), F.col("place").alias("b_block"), "ready")
     )
-
-    def step(state: Column, link: Column) -> Column:
-        first = F.when(link["chunk"] == 0, F.lit(cooldown)).otherwise(F.lit(0)).cast("bigint")
-        carried = F.when(link["chunk"] == state["chunk"] + 1, state["left"]).otherwise(F.lit(0).cast("bigint"))
-        wait = F.greatest(first, carried)
-        blocked = F.size(F.filter(link["heads"], lambda second: second < link["chunk"] * length + wait))
-        left = F.coalesce(F.get(link["exits"], blocked), F.greatest(wait - length, F.lit(0)))
-        entry = F.struct(link["chunk"].alias("chunk"), wait.alias("wait"))
-        return F.struct(
-            link["chunk"].alias("chunk"), left.alias("left"), F.array_append(state["waits"], entry).alias("waits")
-        )
-
+    own = F.col("host").eqNullSafe(F.col("b_host")) & F.col("rule").eqNullSafe(F.col("b_rule")) & (F.col("block") == F.col("b_block"))
     waits = (
-        links.groupBy("host", "rule")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", "heads", "exits"))).alias("links"))
-        .select("host", "rule", F.inline(F.aggregate("links", start, step)["waits"]))
+        blocks.join(followed, own, "left")
+        .select("host", "rule", F.inline(_entered(F.col("parts"), F.col("ready"))))
+        .select("host", "rule", F.col("place").alias("chunk"), F.greatest(F.col("ready") - F.col("place") * length, F.lit(0)).alias("wait"))
     )
     # A NULL host or rule is a key of its own. A left join, so that both uses of `chunks` stay the same plan and
     # share its shuffle.

@@ -32,17 +32,27 @@ def test_edge_series(spark):
     assert kept.columns == [f.split()[0] for f in SCHEMA.split(", ")]
 
 
-@pytest.mark.parametrize("cooldown,chunk,span", [(60, 100, 3000), (60, 60, 2000), (7, 20, 400), (500, 86400, 300000)])
-def test_waits_reach_into_later_chunks(spark, cooldown, chunk, span):
+@pytest.mark.parametrize(
+    "cooldown,chunk,span,fan", [(60, 100, 3000, 512), (60, 60, 2000, 2), (60, 60, 2000, 3), (7, 20, 400, 4), (500, 86400, 300000, 2)]
+)
+def test_waits_reach_into_later_chunks(spark, cooldown, chunk, span, fan):
     draw = random.Random(cooldown + chunk)
     dense = [s for s in range(0, span, max(1, span // 600)) if draw.random() < 0.7]
     sparse = [draw.randrange(span) for _ in range(25)]
     both = alerts(spark, dense).unionByName(alerts(spark, sparse + sparse[:5], "b", "mem_high"))
-    kept = apply_cooldown(both, cooldown, chunk).cache()
+    kept = apply_cooldown(both, cooldown, chunk, fan).cache()
     assert fired(kept.filter("host = 'a'")) == greedy(dense, cooldown)
     assert fired(kept.filter("host = 'b'")) == greedy(sparse, cooldown)
 
 
+def test_ten_years_of_one_key(spark):
+    """Eight blocks of days, waits that span days, and a gap of a year."""
+    draw = random.Random(10)
+    seconds = sorted({draw.randrange(10 * 365 * 86400) for _ in range(20_000)})
+    seconds = [s for s in seconds if not 3 * 365 <= s // 86400 < 4 * 365]
+    assert fired(apply_cooldown(alerts(spark, seconds), 30_000)) == greedy(seconds, 30_000)
+
+
 def test_first_of_a_second_fires(spark):
     kept = apply_cooldown(alerts(spark, [500, 500, 500]))
     assert [(r.sample_id, r.message) for r in kept.collect()] == [(0, "m0")]
