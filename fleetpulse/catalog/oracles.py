@@ -1072,6 +1072,54 @@ def forecast_linear_two():
     )
 
 
+def _eliminated(metric: str) -> list[tuple[str, str]]:
+    """Normal equations of all metrics for one label, by elimination in order; a metric that those before it explain is left out."""
+    k, label = len(METRICS), f"ttt_{metric}"
+    every = ", ".join(f"{m} as v{i + 1}" for i, m in enumerate(METRICS))
+    centre = ", ".join(f"avg(v{i + 1}) as m{i + 1}" for i in range(k))
+    product = lambda i, j: f"avg((v{i} - m{i}) * (v{j} - m{j}))"
+    rows = ", ".join(
+        "[" + ", ".join([*[product(i, j) for j in range(1, k + 1)], f"avg((v{i} - m{i}) * (y - my))"]) + "]" for i in range(1, k + 1)
+    )
+    means = ", ".join(f"any_value(m{i + 1})" for i in range(k))
+    unit = f"list_transform(a, lambda r, i: list_transform(r, lambda v, j: v / (s[i] * case when j <= {k} then s[j] else 1 end)))"
+    # One step of elimination: all other rows lose their share of the pivot's row, unless the pivot is left out.
+    step = """case when u[p][p] <= 1e-9 then u else list_transform(u, lambda r, i:
+        case when i = p then r else list_transform(r, lambda v, j: v - r[p] / u[p][p] * u[p][j]) end) end"""
+    kept = "case when u[i][i] > 1e-9 and list_contains(used, i) then u[i][KK] / u[i][i] / s[i] else 0 end".replace("KK", str(k + 1))
+    guess = " + ".join(f"b[{i + 1}] * ({m} - mv[{i + 1}])" for i, m in enumerate(METRICS))
+    tag = metric
+    return [
+        (f"known_{tag}", f"select {every}, {label} as y from labelled_all where {label} is not null"),
+        (f"means_{tag}", f"select {centre}, avg(y) as my from known_{tag}"),
+        (f"gram_{tag}", f"select [{rows}] as a, [{means}] as mv, any_value(my) as my from known_{tag}, means_{tag}"),
+        (f"scaled_{tag}", f"""select {unit} as u, s, mv, my from (
+          select *, list_transform(range(1, {k + 1}), lambda i: sqrt(a[i][i])) as s from gram_{tag})"""),
+        (f"steps_{tag}", f"""select 1 as p, u, []::int[] as used from scaled_{tag}
+          union all select p + 1, {step}, case when u[p][p] > 1e-9 then list_append(used, p) else used end from steps_{tag} where p <= {k}"""),
+        (f"solved_{tag}", f"""select list_transform(range(1, {k + 1}), lambda i: {kept}) as b, mv, my
+          from (select * from steps_{tag} where p = {k + 1}), scaled_{tag} t(u0, s, mv, my)"""),
+        (f"guess_{tag}", f"select sample_id, {label} as y, my + {guess} as p from labelled_all, solved_{tag}"),
+        (f"told_{tag}", f"""select sample_id, '{metric}' as metric, p, (select stddev_pop(y - p) from guess_{tag} where y is not null) as sd
+          from guess_{tag}"""),
+    ]
+
+
+@oracle
+def forecast_linear_features():
+    every = ("labelled_all", f"select l.sample_id, {', '.join('s.' + m for m in METRICS)}, {', '.join('ttt_' + m for m in FORECAST_METRICS)}"
+             " from labelled l join samples s using (sample_id)")
+    ctes = [LABELLED, every, *[c for m in FORECAST_METRICS for c in _eliminated(m)]]
+    told = " union all ".join(f"select * from told_{m}" for m in FORECAST_METRICS)
+    return statement(
+        f"""select sample_id, metric, {snap('p', 4)} as time_to_threshold_minutes,
+          {snap('greatest(0, p - 1.96 * sd)', 4)} as confidence_lower, {snap('p + 1.96 * sd', 4)} as confidence_upper from ({told})""",
+        ["samples"],
+        ctes,
+        recursive=True,
+    )
+
+
 FORECAST_SNAPPED = ", ".join(
     f"{snap(c)} as {c}" for c in ("time_to_threshold_minutes", "confidence_lower", "confidence_upper")
 )

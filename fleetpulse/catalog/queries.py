@@ -760,10 +760,14 @@ def forecast_linear_two(spark, folder):
 
 @query
 def forecast_linear_features(spark, folder):
-    """Linear regression on all metrics at once, by normal equations."""
-    labelled = forecasting.time_to_threshold(views.load_samples(spark, folder), {"cpu_pct": 90.0})
-    fitted = forecasting.fit_forecaster(labelled, METRICS, "ttt_cpu_pct", algo="linear")
-    return fitted.predict(labelled).select("sample_id", "ttt_cpu_pct", *FORECAST_COLUMNS)
+    """Linear regression on all metrics at once, for each of three thresholds; some metrics depend linearly on others."""
+    labelled = forecasting.time_to_threshold(views.load_samples(spark, folder), FORECAST_METRICS)
+    fitted = forecasting.fit_forecasters(labelled, FORECAST_METRICS, METRICS)
+    parts = [
+        fit.predict(labelled).select("sample_id", F.lit(metric).alias("metric"), *[snap(c, 4).alias(c) for c in FORECAST_COLUMNS])
+        for metric, fit in fitted.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # ---- alerts -------------------------------------------------------------------------------------

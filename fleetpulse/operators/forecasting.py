@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel, Pipeline
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,9 @@ THRESHOLDS = {"cpu_pct": 90.0, "mem_pct": 90.0, "swap_pct": 80.0}
 Z_95, Z_90 = 1.96, 1.645
 URGENT_MINUTES, SOON_MINUTES = 60, 1440
 
+# Share of a feature's variance below which it counts as explained by the features before it.
+TOLERANCE = 1e-9
+
 
 def time_to_threshold(
     samples: DataFrame,
@@ -145,6 +149,71 @@ class Forecaster:
         return predicted.select(*rows.columns, *columns)
 
 
+@dataclass(frozen=True)
+class LinearForecaster:
+    """A linear regression: the prediction is a plain column expression. A feature without a coefficient is not looked at."""
+
+    coefficients: Mapping[str, float]
+    intercept: float
+    residual_std: float | None
+    confidence: float = 0.95
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        prediction = F.lit(self.intercept)
+        for feature, coefficient in self.coefficients.items():
+            prediction = prediction + F.lit(coefficient) * F.col(feature)
+        return rows.select(*rows.columns, *_forecast_columns(prediction, F.lit(self.residual_std), self.confidence))
+
+
+def solve_normal_equations(products: np.ndarray, targets: np.ndarray, ridge: float = 0.0) -> np.ndarray:
+    """Coefficients b with products @ b = targets, by elimination in the order of the features on the scale of correlations.
+
+    A feature that the ones before it explain up to TOLERANCE of its variance, or that does not vary, gets 0; so exact linear
+    dependencies need no `ridge` (which is added to every variance, as a share of it).
+    """
+    scale = np.sqrt(np.diag(products))
+    safe = np.where(scale > 0, scale, 1.0)
+    left = products / safe / safe[:, None] + ridge * np.eye(len(products))
+    right, used = targets / safe, []
+    for k in range(len(left)):
+        pivot = left[k, k]
+        if scale[k] == 0 or pivot <= TOLERANCE:
+            continue
+        used.append(k)
+        factor = left[:, k] / pivot
+        factor[k] = 0.0
+        left, right = left - np.outer(factor, left[k]), right - factor * right[k]
+    out = np.zeros(len(left))
+    for k in used:
+        out[k] = right[k] / left[k, k] / safe[k]
+    return out
+
+
+def _fit_linear_features(
+    rows: DataFrame, features: Sequence[str], label: str, ridge: float, confidence: float
+) -> LinearForecaster:
+    """One pass gathers means and covariances of all pairs, combined before its only shuffle; the rest is a system of as many equations
+    as there are features, whatever the number of rows."""
+    names = [*features, label]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    known = rows.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    moments = known.agg(
+        F.count("*").alias("n"),
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
+        *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs],
+    ).first()
+    if not moments["n"]:
+        raise ValueError(f"No rows with {label} and all features")
+    covariances = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        covariances[i, j] = covariances[j, i] = moments[f"c{i}_{j}"]
+    products, targets = covariances[:-1, :-1], covariances[:-1, -1]
+    found = solve_normal_equations(products, targets, ridge)
+    intercept = moments[f"m{len(features)}"] - sum(b * moments[f"m{i}"] for i, b in enumerate(found))
+    spread = covariances[-1, -1] - 2 * found @ targets + found @ products @ found
+    return LinearForecaster(dict(zip(features, map(float, found))), float(intercept), float(max(0.0, spread)) ** 0.5, confidence)
+
+
 def fit_forecaster(
     rows: DataFrame,
     features: Sequence[str],
@@ -154,21 +223,15 @@ def fit_forecaster(
     seed: int = 42,
     max_iter: int = 100,
     ridge: float = 0.0,
-) -> Forecaster:
-    """Fit `label` on `features` with MLlib: `linear` (normal equations) or `gbr` (boosted trees).
-
-    Feature sets with exact linear dependencies need a small `ridge` for the normal equations.
-    """
+) -> Forecaster | LinearForecaster:
+    """Fit `label` on `features`: `linear` (normal equations from one pass) or `gbr` (MLlib's boosted trees). Rows with a null take no part."""
     if algo == "linear":
-        regression = LinearRegression(
-            featuresCol="inputs", labelCol=label, solver="normal", regParam=ridge, elasticNetParam=0.0
-        )
-    elif algo == "gbr":
-        regression = GBTRegressor(
-            featuresCol="inputs", labelCol=label, maxIter=max_iter, maxDepth=3, stepSize=0.1, seed=seed
-        )
-    else:
+        return _fit_linear_features(rows, features, label, ridge, confidence)
+    if algo != "gbr":
         raise ValueError(f"Unknown algo: {algo}")
+    regression = GBTRegressor(
+        featuresCol="inputs", labelCol=label, maxIter=max_iter, maxDepth=3, stepSize=0.1, seed=seed
+    )
     assembler = VectorAssembler(inputCols=list(features), outputCol="inputs")
     known = rows.filter(F.col(label).isNotNull())
     model = Pipeline(stages=[assembler, regression]).fit(known)
@@ -179,7 +242,7 @@ def fit_forecaster(
 
 def fit_forecasters(
     labelled: DataFrame, thresholds: Mapping[str, float], features: Sequence[str], algo: str = "linear", **options
-) -> dict[str, Forecaster]:
+) -> dict[str, Forecaster | LinearForecaster]:
     """One forecaster per metric, each on its own label. A metric without threshold column is an error."""
     unknown = [m for m in thresholds if f"ttt_{m}" not in labelled.columns]
     if unknown:
