@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -158,11 +158,14 @@ class LinearForecaster:
     residual_std: float | None
     confidence: float = 0.95
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        prediction = F.lit(self.intercept)
+    def prediction(self) -> Column:
+        total = F.lit(self.intercept)
         for feature, coefficient in self.coefficients.items():
-            prediction = prediction + F.lit(coefficient) * F.col(feature)
-        return rows.select(*rows.columns, *_forecast_columns(prediction, F.lit(self.residual_std), self.confidence))
+            total = total + F.lit(coefficient) * F.col(feature)
+        return total
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*rows.columns, *_forecast_columns(self.prediction(), F.lit(self.residual_std), self.confidence))
 
 
 def solve_normal_equations(products: np.ndarray, targets: np.ndarray, ridge: float = 0.0) -> np.ndarray:
@@ -192,8 +195,8 @@ def solve_normal_equations(products: np.ndarray, targets: np.ndarray, ridge: flo
 def _fit_linear_features(
     rows: DataFrame, features: Sequence[str], label: str, ridge: float, confidence: float
 ) -> LinearForecaster:
-    """One pass gathers means and covariances of all pairs, combined before its only shuffle; the rest is a system of as many equations
-    as there are features, whatever the number of rows."""
+    """One pass gathers means and covariances of all pairs, combined before its only shuffle; then a system of as many equations as
+    there are features is solved, whatever the number of rows. A second pass takes the spread of the residuals."""
     names = [*features, label]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     known = rows.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
@@ -210,8 +213,10 @@ def _fit_linear_features(
     products, targets = covariances[:-1, :-1], covariances[:-1, -1]
     found = solve_normal_equations(products, targets, ridge)
     intercept = moments[f"m{len(features)}"] - sum(b * moments[f"m{i}"] for i, b in enumerate(found))
-    spread = covariances[-1, -1] - 2 * found @ targets + found @ products @ found
-    return LinearForecaster(dict(zip(features, map(float, found))), float(intercept), float(max(0.0, spread)) ** 0.5, confidence)
+    fit = LinearForecaster(dict(zip(features, map(float, found))), float(intercept), None, confidence)
+    # From the residuals themselves: as a difference of variances a good fit's spread would drown in rounding.
+    spread = known.agg(F.stddev_pop(F.col(label) - fit.prediction())).first()[0]
+    return replace(fit, residual_std=spread)
 
 
 def fit_forecaster(
