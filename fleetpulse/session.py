@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,46 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []  # of each open `short_lived`, the folders of the tables stored in it
+
+
+@contextmanager
+def short_lived(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove the tables that `pinned` stores inside, when the block ends, but for those given to the function it yields.
+
+    Only for steps whose results no longer read the tables that go: results kept must themselves be stored.
+    """
+    own: list[str] = []
+    _SCOPES.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.remove(df.stored_at)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(df.stored_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(own)
+        for path in own:
+            _remove(spark, path)
+
+
+def unpinned(df: DataFrame) -> None:
+    """Remove a table that `pinned` has stored and nothing reads any more."""
+    for scope in _SCOPES:
+        if df.stored_at in scope:
+            scope.remove(df.stored_at)
+    _remove(df.sparkSession, df.stored_at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Compute `df` once, write it to the shared folder and read it back in every later use.
 
@@ -70,4 +112,8 @@ def pinned(df: DataFrame) -> DataFrame:
             spark.conf.unset(REMOVE_SHUFFLES)
         else:
             spark.conf.set(REMOVE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return stored
