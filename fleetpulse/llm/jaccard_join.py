@@ -33,7 +33,7 @@ is its smallest non-null one; equal rows are copies; an empty table gives an emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from fleetpulse.llm.components import components
 from fleetpulse.llm.tables import arrow_map, columns, longs
 from fleetpulse.llm.words import mix, windows, word_runs
-from fleetpulse.session import pinned
+from fleetpulse.session import pinned, short_lived, unpinned
 
 WORDS = 5
 PERCENT = 75
@@ -288,7 +288,12 @@ class LinkedSets:
     def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT):
         self.percent, self.words = percent, words
         self.docs = columns(docs, doc_id="long", text="string")
-        stored = pinned(document_sets(self.docs, words))
+        with short_lived(docs.sparkSession) as keep:
+            self._build(keep)
+
+    def _build(self, keep: Callable[[DataFrame], DataFrame]) -> None:
+        percent, words = self.percent, self.words
+        stored = keep(pinned(document_sets(self.docs, words)))
         self.sets = stored.select("doc_id", "n", "cls")
         full = stored.where("n > 0")
         self.nodes = pinned(
@@ -315,6 +320,8 @@ class LinkedSets:
         placed = pinned(
             entries.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         )
+        unpinned(hubs)
+        unpinned(entries)
         shares = placed.groupBy("key", "root").count()
         mixed = pinned(
             shares.groupBy("key").agg(
@@ -323,19 +330,21 @@ class LinkedSets:
             .where("roots > 1").select("key", "entries", F.col("m.root").alias("main"))
         )
         members = pinned(placed.join(mixed, "key"))
+        unpinned(placed)
         short = members.where(F.col("entries") <= SHORT)
         others = short.where("root <> main").alias("a").join(short.alias("b"), "key")
         once = (F.col("b.root") == F.col("b.main")) | (F.col("a.cls") < F.col("b.cls"))
         second = _pairs(others.where((F.col("a.root") != F.col("b.root")) & once & _may_link(percent)))
         second = second.unionByName(self._across(members.where(F.col("entries") > SHORT))).distinct()
         second = pinned(self._plausible(pinned(second.join(first, ["a", "b"], "left_anti"))))
-        self.links = pinned(links.unionByName(self._verified(second)))
+        unpinned(members)
+        self.links = keep(pinned(links.unionByName(self._verified(second))))
         roots = pinned(components(self.links))
 
         led = pinned(self.nodes.select("cls", "n", "lead").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
                      .withColumn("root", F.coalesce("root", "cls")))
         least = pinned(led.groupBy("root").agg(F.min("lead").alias("component_id")))
-        self.groups = pinned(led.join(least, "root").select("cls", "n", "component_id"))
+        self.groups = keep(pinned(led.join(least, "root").select("cls", "n", "component_id")))
 
     def _across(self, members: DataFrame) -> DataFrame:
         """Pairs of members of one list in different components that pass all tests but the exact one.
@@ -421,7 +430,9 @@ class LinkedSets:
                 keep[row] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-        return pinned(arrow_map(pairs.join(side("b"), "b").join(side("a"), "a"), work, "a long, b long"))
+        linked = pinned(arrow_map(pairs.join(side("b"), "b").join(side("a"), "a"), work, "a long, b long"))
+        unpinned(texts)
+        return linked
 
 
 def membership(found: LinkedSets) -> DataFrame:
@@ -435,6 +446,7 @@ def membership(found: LinkedSets) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """`docs` without the documents of a group that are not its smallest id. Rows that share an id stay or go
     together; rows without an id stay."""
-    told = pinned(membership(LinkedSets(docs, words, percent)))
+    with short_lived(docs.sparkSession) as keep:
+        told = keep(pinned(membership(LinkedSets(docs, words, percent))))
     stays = told.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
     return docs.join(stays.where("NOT stays").select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

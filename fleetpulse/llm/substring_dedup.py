@@ -27,7 +27,7 @@ one another, and rows that are equal give equal results. An empty table gives an
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.tables import arrow_map, columns, list_array, longs
 from fleetpulse.llm.words import joined_words, mix, sequence_number, text_buffers, windows, word_runs
-from fleetpulse.session import pinned
+from fleetpulse.session import pinned, short_lived
 
 WINDOW = 50
 
@@ -130,10 +130,14 @@ class Repeats:
 
     def __init__(self, docs: DataFrame, window: int = WINDOW):
         self.window = window
-        texts = columns(docs, doc_id="long", text="string")
-        self.prints = pinned(fingerprints(texts, window))
+        with short_lived(docs.sparkSession) as keep:
+            self._search(columns(docs, doc_id="long", text="string"), keep)
+
+    def _search(self, texts: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> None:
+        window = self.window
+        self.prints = keep(pinned(fingerprints(texts, window)))
         named = self.prints.where(F.col("doc_id").isNotNull())
-        self.leads = pinned(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("lead")))
+        self.leads = keep(pinned(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("lead"))))
 
         anchors = named.select("doc_id", "s1", F.explode("anchors").alias("h"))
         shared = pinned(
@@ -147,18 +151,14 @@ class Repeats:
             .groupBy("doc_id")
             .agg(F.collect_set("h").alias("anchors"))
         )
-        self.texts = pinned(texts.join(pinned(live), "doc_id"))
+        self.texts = keep(pinned(texts.join(pinned(live), "doc_id")))
 
         found = pinned(_candidates(self.texts, window))
         owners = pinned(
             found.groupBy("h").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last")).where("own < last")
         )
-        self.lost = pinned(
-            found.join(owners.select("h", "own"), "h")
-            .where(F.col("doc_id") > F.col("own"))
-            .groupBy("doc_id")
-            .agg(F.collect_set("h").alias("gone"))
-        )
+        lost = found.join(owners.select("h", "own"), "h").where(F.col("doc_id") > F.col("own"))
+        self.lost = keep(pinned(lost.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))))
 
 
 def _kept(words: np.ndarray, gone: np.ndarray, window: int) -> np.ndarray:
@@ -219,25 +219,30 @@ def report(found: Repeats) -> DataFrame:
     )
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` with repeated passages cut out of `text`; its other columns and all its rows stay.
-
-    A text that loses words becomes the words that stay, joined by a space (possibly none); other texts stay as
-    they are. `n_chars`, if there is such a column, follows the text.
-    """
-    found = Repeats(docs, window)
+def _losses(found: Repeats) -> DataFrame:
+    """For each id the numbers of its texts that are copies of a smaller id's, and of its windows that a smaller id owns."""
     copies = (
         found.prints.select("doc_id", "n_words", "s1", "s2")
         .join(found.leads, ["s1", "s2"])
-        .where((F.col("doc_id") > F.col("lead")) & (F.col("n_words") >= window))
+        .where((F.col("doc_id") > F.col("lead")) & (F.col("n_words") >= found.window))
         .select("doc_id", F.struct("s1", "s2").alias("copy"), F.lit(None).cast("array<long>").alias("gone"))
     )
-    # An id may belong to several rows with different words, so both kinds of loss are judged row by row below.
-    losses = pinned(
+    # An id may belong to several rows with different words, so both kinds of loss are judged row by row later.
+    return (
         copies.unionByName(found.lost.select("doc_id", F.lit(None).cast("struct<s1:long,s2:long>").alias("copy"), "gone"))
         .groupBy("doc_id")
         .agg(F.collect_set("copy").alias("copies"), F.max("gone").alias("gone"))
     )
+
+
+def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`docs` with repeated passages cut out of `text`; its other columns and all its rows stay.
+
+    A text that loses words becomes the words that stay, joined by a space (possibly none); other texts stay as
+    they are. `n_chars`, if there is such a column, follows the text.
+    """
+    with short_lived(docs.sparkSession) as keep:
+        losses = keep(pinned(_losses(Repeats(docs, window))))
     names = docs.columns
     schema = docs.schema
     place = names.index("text")
