@@ -1,6 +1,6 @@
 """The catalog's queries as DuckDB SQL, written independently of the Spark plans.
 
-Operators without a statement here (boosted trees, for one) have property tests instead.
+Every query of the catalog has a statement here.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 from math import comb, gcd
 
 from fleetpulse.catalog.queries import (
+    BOOSTED_TREES,
     DURATION_UNITS,
     FAMILIES,
     FEATURES,
@@ -1105,6 +1106,58 @@ def _eliminated(metric: str) -> list[tuple[str, str]]:
     ]
 
 
+@oracle
+def forecast_gbt_fit():
+    """Boosting on histograms, tree by tree and level by level; cells with equal parts of all metrics go together."""
+    k, bins, unit = len(METRICS), 32, 1.0 / 1024
+    ends = ", ".join(f"min({m}) as lo{i}, max({m}) as hi{i}" for i, m in enumerate(METRICS))
+    parts = ", ".join(
+        f"case when hi{i} > lo{i} then greatest(0, least({bins - 1}, floor(({m} - lo{i}) / (hi{i} - lo{i}) * {bins}.0e0)))::int else 0 end"
+        for i, m in enumerate(METRICS)
+    )
+    ctes = [
+        LABELLED,
+        ("rows_", f"select l.sample_id, {', '.join('s.' + m for m in METRICS)}, l.ttt_cpu_pct as y from labelled l join samples s using (sample_id)"),
+        ("ends", f"select {ends} from rows_ where y is not null"),
+        ("dealt", f"select sample_id, y, [{parts}] as p from rows_, ends"),
+        ("plain", f"select p, count(y) as n, coalesce(sum(floor(y / {unit!r}e0 + 0.5)::bigint), 0)::bigint as s from dealt group by p"),
+        ("base", "select floor(sum(s)::double / sum(n) + 0.5)::bigint as start from plain"),
+        ("cells0", "select p, n, s - n * start as s, 0::bigint as v, 1 as node from plain, base"),
+    ]
+    last = "cells0"
+    for tree in range(BOOSTED_TREES):
+        for level in range(3):
+            at = f"{tree}_{level}"
+            ctes += [
+                (f"h{at}", f"""select node, f, p[f + 1] as b, sum(n) as n, sum(s) as s
+                  from (select node, p, n, s, unnest(range(0, {k})) as f from {last} where n > 0 and node >= {2**level}) group by all"""),
+                (f"g{at}", f"""select *, sum(n) over (partition by node, f) as nt, sum(s) over (partition by node, f) as st,
+                  sum(n) over w as nl, sum(s) over w as sl from h{at} window w as (partition by node, f order by b)"""),
+                (f"b{at}", f"""select node, f, b from (
+                  select *, sl::double * sl::double / nl + (st - sl)::double * (st - sl)::double / (nt - nl) as gain,
+                    st::double * st::double / nt as no_cut from g{at} where nl < nt)
+                  where gain > no_cut qualify row_number() over (partition by node order by gain desc, f, b) = 1"""),
+                (f"cells{at}", f"""select c.* replace (case when b.node is null then c.node when c.p[b.f + 1] <= b.b then 2 * c.node
+                  else 2 * c.node + 1 end as node) from {last} c left join b{at} b on b.node = c.node and c.node >= {2**level}"""),
+            ]
+            last = f"cells{at}"
+        ctes += [
+            (f"v{tree}", f"select node, floor(0.1e0 * sum(s)::double / sum(n) + 0.5)::bigint as own from {last} where n > 0 group by node"),
+            (f"cells{tree + 1}", f"""select p, n, s - n * own as s, v + own as v, 1 as node from {last} join v{tree} using (node)"""),
+        ]
+        last = f"cells{tree + 1}"
+    ctes += [
+        ("guess", f"select sample_id, y, (start + v) * {unit!r}e0 as p from dealt join {last} using (p), base"),
+        ("spread", "select stddev_pop(y - p) as sd from guess"),
+    ]
+    return statement(
+        f"""select sample_id, {snap('p', 4)} as time_to_threshold_minutes, {snap('greatest(0, p - 1.96 * sd)', 4)} as confidence_lower,
+          {snap('p + 1.96 * sd', 4)} as confidence_upper from guess, spread""",
+        ["samples"],
+        [(f"{name} as materialized" if name.startswith("cells") else name, body) for name, body in ctes],
+    ).replace("as materialized as (", "as materialized (")
+
+
 @oracle
 def forecast_linear_features():
     every = ("labelled_all", f"select l.sample_id, {', '.join('s.' + m for m in METRICS)}, {', '.join('ttt_' + m for m in FORECAST_METRICS)}"

@@ -34,6 +34,7 @@ TARGET_FPR = 0.05
 VAL_SPLIT = 0.2
 SEED = 42
 LONG_COOLDOWN = 21600
+BOOSTED_TREES = 10
 LOCAL_ZONE = "America/New_York"
 FORECAST_METRICS = {"cpu_pct": 90.0, "mem_pct": 90.0, "swap_pct": 80.0}
 DURATION_UNITS = ["s", "m", "h", "d", "w", "", " H", "x", ".5h"]
@@ -746,8 +747,8 @@ def forecast_table(spark, folder):
 @query
 def forecast_gbt_fit(spark, folder):
     labelled = forecasting.time_to_threshold(views.load_samples(spark, folder), {"cpu_pct": 90.0})
-    fitted = forecasting.fit_forecaster(labelled, METRICS, "ttt_cpu_pct", algo="gbr", seed=SEED)
-    return fitted.predict(labelled).select("sample_id", "ttt_cpu_pct", *FORECAST_COLUMNS)
+    fitted = forecasting.fit_forecaster(labelled, METRICS, "ttt_cpu_pct", algo="gbr", max_iter=BOOSTED_TREES)
+    return fitted.predict(labelled).select("sample_id", *[snap(c, 4).alias(c) for c in FORECAST_COLUMNS])
 
 
 @query

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.durations import format_duration
+from fleetpulse.operators.boosting import BoostedTrees, fit_boosted_trees
 from fleetpulse.plans.joins import salted_join
 from fleetpulse.plans.segments import SegmentPlan, plan_segments, segmented
 
@@ -168,6 +169,18 @@ class LinearForecaster:
         return rows.select(*rows.columns, *_forecast_columns(self.prediction(), F.lit(self.residual_std), self.confidence))
 
 
+@dataclass(frozen=True)
+class BoostedForecaster:
+    """Boosted trees on histograms; the prediction is a plain column expression."""
+
+    trees: BoostedTrees
+    residual_std: float | None
+    confidence: float = 0.95
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*rows.columns, *_forecast_columns(self.trees.prediction(), F.lit(self.residual_std), self.confidence))
+
+
 def solve_normal_equations(products: np.ndarray, targets: np.ndarray, ridge: float = 0.0) -> np.ndarray:
     """Coefficients b with products @ b = targets, by elimination in the order of the features on the scale of correlations.
 
@@ -228,11 +241,18 @@ def fit_forecaster(
     seed: int = 42,
     max_iter: int = 100,
     ridge: float = 0.0,
-) -> Forecaster | LinearForecaster:
-    """Fit `label` on `features`: `linear` (normal equations from one pass) or `gbr` (MLlib's boosted trees). Rows with a null take no part."""
+) -> Forecaster | LinearForecaster | BoostedForecaster:
+    """Fit `label` on `features`. Rows with a null take no part.
+
+    `linear`: normal equations from one pass; `gbr`: `max_iter` boosted trees of depth 3 on histograms; `gbr_mllib`: MLlib's boosted trees.
+    """
     if algo == "linear":
         return _fit_linear_features(rows, features, label, ridge, confidence)
-    if algo != "gbr":
+    if algo == "gbr":
+        trees = fit_boosted_trees(rows, features, label, max_iter)
+        spread = rows.agg(F.stddev_pop(F.col(label) - trees.prediction())).first()[0]
+        return BoostedForecaster(trees, spread, confidence)
+    if algo != "gbr_mllib":
         raise ValueError(f"Unknown algo: {algo}")
     regression = GBTRegressor(
         featuresCol="inputs", labelCol=label, maxIter=max_iter, maxDepth=3, stepSize=0.1, seed=seed
@@ -247,7 +267,7 @@ def fit_forecaster(
 
 def fit_forecasters(
     labelled: DataFrame, thresholds: Mapping[str, float], features: Sequence[str], algo: str = "linear", **options
-) -> dict[str, Forecaster | LinearForecaster]:
+) -> dict[str, Forecaster | LinearForecaster | BoostedForecaster]:
     """One forecaster per metric, each on its own label. A metric without threshold column is an error."""
     unknown = [m for m in thresholds if f"ttt_{m}" not in labelled.columns]
     if unknown:
