@@ -106,7 +106,7 @@ def pinned(df: DataFrame) -> DataFrame:
     before = spark.conf.get(REMOVE_SHUFFLES, None)
     spark.conf.set(REMOVE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(REMOVE_SHUFFLES)
