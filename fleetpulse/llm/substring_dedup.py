@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.tables import arrow_map, columns, list_array, longs
 from fleetpulse.llm.words import joined_words, mix, sequence_number, text_buffers, windows, word_runs
-from fleetpulse.session import pinned, short_lived
+from fleetpulse.session import pinned, short_lived, unpinned
 
 WINDOW = 50
 
@@ -151,7 +151,10 @@ class Repeats:
             .groupBy("doc_id")
             .agg(F.collect_set("h").alias("anchors"))
         )
-        self.texts = keep(pinned(texts.join(pinned(live), "doc_id")))
+        live = pinned(live)
+        unpinned(shared)
+        self.texts = keep(pinned(texts.join(live, "doc_id")))
+        unpinned(live)
 
         found = pinned(_candidates(self.texts, window))
         owners = pinned(
