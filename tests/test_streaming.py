@@ -133,3 +133,78 @@ def test_ingest(spark, samples, stream, tmp_path):
     counted = [p["observedMetrics"]["ingest"] for p in query.recentProgress if p["observedMetrics"]]
     assert sum(c["accepted"] for c in counted) == stored.count()
     assert stored.filter("sample_id % 10 = 0").count() == 0 and set(METRICS) <= set(stored.columns)
+
+
+class Store:
+    """The state of one key, with counts of what is moved."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.put, self.got = None, {}, set(), 0, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def updateValue(self, key, value):
+        self.map[key], self.put = value, self.put + 1
+
+    def getValue(self, key):
+        self.got += 1
+        return self.map[key]
+
+    def removeKey(self, key):
+        del self.map[key]
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_waiting_rows_are_not_moved_with_each_batch(monkeypatch):
+    """A micro-batch writes its own rows and reads those that are released; what waits stays where it is, in pieces."""
+    monkeypatch.setattr(ordered, "HELD_ROWS", 700)
+    seen = []
+
+    def step(chunk, before):
+        seen.extend(zip(chunk["ts"].tolist(), chunk["sample_id"].tolist()))
+        assert len(chunk["ts"]) <= 64
+        return pd.DataFrame({"at": np.arange(len(chunk["ts"])), "x": chunk["c"]}), ((before or (0,))[0] + len(chunk["ts"]),)
+
+    kinds = {"ts": "long", "sample_id": "long", "c": "double", "name": "string"}
+    output = ["sample_id", "ts", "host", "x", "late"]
+    store = Store()
+    flow = ordered._InOrder(["host"], kinds, ["ts", "sample_id"], output, ["x"], step, "n long", 64)
+    flow.init(store)
+
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"ts": rng.integers(0, 50 * ordered.SLOT_SECONDS, 5000), "sample_id": np.arange(5000), "c": rng.uniform(size=5000)})
+    rows["name"] = [None if i % 7 == 0 else f"é{i}" for i in range(5000)]
+    given, horizon = [], -1
+    for at in range(0, 5000, 1000):
+        given += list(flow._advance(("a",), iter([rows[at : at + 500], rows[at + 500 : at + 1000]]), horizon))
+    assert not given and store.got == 0 and store.put <= 50 * 10 and len(store.value[0]) == 50
+    assert store.timers == {int(rows["ts"].min()) * 1000 + 1}
+
+    horizon = 20 * ordered.SLOT_SECONDS + 100
+    before = len(store.map)
+    given += list(flow._advance(("a",), iter([rows[:10]]), horizon))  # ten rows again, one of them or more released
+    waits = rows[rows["ts"] > horizon]
+    assert store.got <= before * 21 / 50 + 21 and {s for s, _ in store.map} == set((waits["ts"] // ordered.SLOT_SECONDS).tolist())
+    given += list(flow._advance(("a",), iter([rows[:1].assign(ts=5)]), horizon))  # behind the released ones
+    given += list(flow._advance(("a",), iter(()), 51 * ordered.SLOT_SECONDS))
+    assert not store.map and not store.timers and store.value[-1] == 5000
+    assert seen == sorted(zip(rows["ts"].tolist(), rows["sample_id"].tolist()))
+    given = pd.concat(given)
+    assert given["late"].sum() == 11 and given.loc[given["late"], "x"].isna().all()
+    ours = given[~given["late"]].sort_values("sample_id")
+    assert ours["x"].tolist() == rows["c"].tolist()
