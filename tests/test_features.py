@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fleetpulse.operators.features import FeatureSettings, add_ema, add_lags, add_slope, feature_table
+from fleetpulse.operators.features import FeatureSettings, add_burstiness, add_ema, add_lags, add_rolling_stats, add_slope, feature_table
 from fleetpulse.operators.scaling import apply_scaler, fit_scaler
 from fleetpulse.plans.segments import plan_segments
 from fleetpulse.schema import METRICS
@@ -138,3 +138,26 @@ def test_range_reaches_the_scan(spark, samples, tmp_path, capsys):
     plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(ts,1704412800)" in plan and "EqualTo(host,h3)" in plan
     assert "mem_pct" not in plan
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_table_equals_windows(spark, plan_of, batch):
+    """The table goes through ordered rows instead of windows; NULLs, hosts without a name, short hosts and edges of batches do not matter."""
+    metrics = [
+        f"if(hash(sample_id, {i}) % 9 = 0 or host = 'h1' and ts < 250, null, cast(pmod(hash(sample_id, '{m}'), 1000) as double) / 7) as {m}"
+        for i, m in enumerate(METRICS)
+    ]
+    rows = spark.range(4000).selectExpr("id", "case when id % 3 = 0 then 'h1' when id % 3 = 1 then 'long' when id % 50 = 2 then null else concat('s', id % 199) end as host")
+    rows = rows.selectExpr("id as sample_id", "host", "pmod(hash(id), 500) as ts").selectExpr("*", *metrics).cache()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        table = feature_table(rows, keep=["sample_id"])
+        assert "Window" not in plan_of(table)
+        ours = by_id(table)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    windows = by_id(add_burstiness(add_ema(add_slope(add_rolling_stats(add_lags(rows))))).select("sample_id", *NAMES).na.fill(0.0))
+    np.testing.assert_allclose(ours[NAMES], windows[NAMES], rtol=1e-9, atol=1e-9)
+    empty = feature_table(rows.limit(0), keep=["sample_id"])
+    assert empty.columns == ["sample_id", *NAMES] and empty.count() == 0
