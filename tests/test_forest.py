@@ -110,3 +110,25 @@ def test_average_path():
 def test_empty_model(spark):
     with pytest.raises(RuntimeError):
         ForestScorer(spark, [], 256)
+
+
+def test_walk_equals_a_walk_by_hand(spark):
+    """Children anywhere in the table, a value at the cut, NaN to the right; more rows than walk together."""
+    rows = [
+        (0, 0, 0, 1.0, 7, 3, 9, 0), (0, 7, None, None, None, None, 5, 1), (0, 3, 1, 2.0, 8, 4, 4, 1),
+        (0, 4, None, None, None, None, 1, 2), (0, 8, None, None, None, None, 3, 2), (1, 0, None, None, None, None, 9, 0),
+    ]
+    rng = np.random.default_rng(4)
+    points = rng.choice([0.0, 1.0, 2.0, 3.0, np.nan], (10_001, 2))
+
+    def path(x):
+        if x[0] <= 1.0:
+            return 1 + average_path(5)
+        return 2 + (average_path(3) if x[1] <= 2.0 else average_path(1))
+
+    scorer = ForestScorer(spark, rows, 9)
+    assert "children" in scorer._forest.value  # one lookup leads to either side
+    ours = scorer.walk()(points)
+    expected = [-(2.0 ** (-(path(x) + average_path(9)) / 2 / average_path(9))) for x in points]
+    np.testing.assert_allclose(ours, expected, rtol=1e-8)
+    assert len(scorer.walk()(points[:0])) == 0
