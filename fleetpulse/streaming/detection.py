@@ -135,7 +135,7 @@ def detect_stream(
         raise RuntimeError("Threshold not calibrated")
     settings = model.settings
     names, metrics = settings.feature_names(), list(settings.metrics)
-    walk = model.scorer(rows.sparkSession).walk()
+    walk = model.scorer(rows.sparkSession).walk(packed=True)
     # A feature that the model knows and these settings do not give is 0.
     places = [names.index(s.feature) if s.feature in names else -1 for s in model.scaler]
     shown = [names.index(m) for m in metrics]
