@@ -1,14 +1,14 @@
 """Blocks of token ids, compressed by a range coder that mixes predictions of order 0 to 2.
 
-A block of at most 1,024 ids lists its distinct ids, its alphabet, and then codes each id's place in it. The chance of an id is
-a mixture of
+A block of at most 1,024 ids lists its distinct ids, its alphabet, and how often each comes, and then codes the ids in turn. In the
+sorted block an id takes as many slots as it comes times, and is known by the first of them. The chance of an id is a mixture of
 
-* order 0: how often it has come in this block,
+* order 0: its part of the slots,
 * order 1: the id that came last after the previous id,
 * order 2: the id that came last after the previous two ids.
 
-The weights of orders 1 and 2 belong to how often their predictions were right lately; they move towards each order's share
-in the chance that the true id had (one step of expectation maximisation). Floats hold nothing but whole numbers below
+The weights of orders 1 and 2 belong to how often their predictions were right lately; the encoder fits them to the block, which
+holds them: the part of the cases in which order 2 was right and, of the others, that in which order 1 was. Floats hold nothing but whole numbers below
 2**53 and quotients of which only the whole part is taken, so every machine decodes what any machine encoded.
 
 Every block starts from nothing and carries two checksums, so blocks are coded, read and verified independently. That makes
@@ -16,7 +16,8 @@ them lanes: numpy works on one id of many blocks at a time, and no Python loop r
 
 Layout of a block, little endian: magic `FPTB`, version, three zero bytes, number of ids, size of the alphabet, number of code
 words, CRC-32 of the ids as unsigned 32-bit numbers, CRC-32 of all before it and of all after it; then the alphabet as steps between
-rising ids (one byte below 255, else a byte of 255 and four bytes), and code words of 16 bits.
+rising ids (a byte each, at most 255; then two bytes, at most 65,535, for those of 255 or more; then four for those of 65,535 or more), a bit for
+each slot that is 1 where another id begins, four weights of order 2 and four of order 1 in a byte each, and code words of 16 bits.
 """
 
 from __future__ import annotations
@@ -32,18 +33,14 @@ LANES = 8192
 
 _HEAD, _CHECK = "<4sB3xIIII", "<I"
 _HEAD_SIZE, _BEGIN = struct.calcsize(_HEAD), struct.calcsize(_HEAD) + struct.calcsize(_CHECK)
-_MAGIC, _VERSION = b"FPTB", 1
-_WIDTH = 5  # a place in an alphabet of BLOCK ids is a run and a place in it, of so many bits each
-_SIZE = 1 << _WIDTH
-_ROW = np.dtype((np.void, 2 * (_SIZE + 4)))
-_ENDS = np.array([[0], [1]])
+_MAGIC, _VERSION = b"FPTB", 2
 _SCALE = float(1 << 16)
-_GAIN = 3  # what an occurrence counts for; an id not seen yet counts 1
-_LIMIT = 1 << 12  # BLOCK * (1 + _GAIN), the highest count. Order 0 weighs at least as much of _SCALE
-_SLOTS = 9  # bits of a place in the tables of orders 1 and 2
-_SLOW = 16.0
-_SURE = (0, 20000, 36000, 50000)  # first weight of a prediction that was right so often
+_LIMIT = 1 << 12  # order 0 weighs at least as much of _SCALE, which is no less than the slots
+_SLOTS = 10  # bits of a place in the tables of orders 1 and 2
+_WEIGHTS = 8  # of order 2, then of order 1, by how often the prediction was right: never seen, 0, 1 and 2 or more times
+_STEPS = 32  # ids of all lanes whose intervals are found at once
 _TOP, _LOW = float(1 << 48), float(1 << 32)
+_PART = 1 / _SCALE
 
 
 class BrokenBlock(ValueError):
@@ -51,95 +48,104 @@ class BrokenBlock(ValueError):
 
 
 class _Mixer:
-    """The state of all lanes. Encoder and decoder ask and teach it in the same order.
-
-    Arrays with two rows hold order 1 in the first and order 2 in the second. Order 0 counts places in two steps: `upper` has
-    the running counts of a lane's 32 runs of 32 places, `lower` those inside each run.
-    """
-
-    def __init__(self, sizes: np.ndarray):
-        lanes = len(sizes)
-        self.lane = np.arange(lanes)
-        # A row: 0, the running counts of 32 parts, and padding to a multiple of eight bytes.
-        edge = np.minimum(np.arange(_ROW.itemsize // 2), _SIZE)
-        inside = np.clip(sizes[:, None] - _SIZE * np.arange(_SIZE), 0, _SIZE).reshape(-1, 1)
-        self.lower = np.minimum(edge, inside).astype(np.uint16).view(_ROW).reshape(-1)
-        self.upper = np.minimum(_SIZE * edge, sizes[:, None]).astype(np.uint16)
-        gain = (_GAIN * (np.arange(len(edge))[None, :] > np.arange(_SIZE)[:, None])).astype(np.uint16)
-        self.gain = gain.view(np.uint64)
-        sure = np.array(_SURE, np.float64)
-        second, first = np.divmod(np.arange(16), 4)
-        w1 = np.floor((_SCALE - _LIMIT - sure[second]) * sure[first] / _SCALE)
-        self.weights = np.repeat(np.stack((w1, sure[second])), lanes, 1).reshape(2, 16, lanes).swapaxes(1, 2).reshape(-1)
+    """The state of all lanes. Arrays with two rows hold order 1 in the first and order 2 in the second. Order 0 shares its weight
+    among a power of two of slots."""
+
+    def __init__(self, counts: np.ndarray, weights: np.ndarray):
+        lanes = len(counts)
+        self.total = np.exp2(np.ceil(np.log2(np.maximum(counts, 1))))
+        self.part = 1 / self.total
+        free = _SCALE - _LIMIT
+        second = np.repeat(np.floor(free * weights[:, :4] / 256), 4, 1)
+        first = np.floor((free - second) * np.tile(weights[:, 4:], (1, 4)) / 256)
+        self.weights = np.stack((first, second)).reshape(-1)
         self.states = (np.arange(2 * lanes) << 4).reshape(2, lanes)
-        self.next = np.zeros(2 * lanes << _SLOTS, np.int16)  # place * 4 + how often it was right
-        self.slots = (np.arange(2 * lanes) << _SLOTS).reshape(2, lanes)
-        self.past = np.zeros((2, lanes), np.int64)  # the last place, and a mixture of the last two
-
-    def predict(self, active: int) -> None:
-        """Look up what all orders expect for the next id of the first `active` lanes."""
-        self.at = self.slots[:, :active] + self.past[:, :active]
-        self.found = self.next.take(self.at).astype(np.int64)
-        self.sure, self.guess = self.found & 3, self.found >> 2
-        self.state = self.states[:, :active] + ((self.sure[1] << 2) + self.sure[0])
-        self.shares = self.weights.take(self.state)
-        self.rest = _SCALE - (self.shares[0] + self.shares[1])
-        self.table = self.upper[:active]
-        self.total = self.table[:, _SIZE].astype(np.float64)
-        self.base = self.lane[:active] << _WIDTH
-        self.begin = self.lane[:active] * (_ROW.itemsize // 2)
-
-    def _counted(self, place: np.ndarray) -> np.ndarray:
-        """How often all places up to and with this one came."""
-        run = place >> _WIDTH
-        inside = (self.base + run) * (_ROW.itemsize // 2) + (place & _SIZE - 1) + 1
-        return self.lower.view(np.uint16).take(inside) + self.upper.reshape(-1).take(self.begin + run)
-
-    def place_at(self, value: np.ndarray) -> np.ndarray:
-        """The place whose part of _SCALE holds the value: take the predictions' shares out, then search the counts."""
-        ends = np.floor(self._counted(self.guess) * self.rest / self.total)
+
+    def expect(self, found: np.ndarray) -> None:
+        """Take in what both orders expect for the next id of the first lanes. `found` may hold several steps."""
+        lanes = found.shape[-1]
+        sure = found & 3
+        self.guess = (found >> 2).astype(np.float64)
+        states = self.states[:, :lanes].reshape((2,) + (1,) * (found.ndim - 2) + (lanes,))
+        self.shares = self.weights.take(states + ((sure[1] << 2) + sure[0]))
+        self.both = self.shares[0] + self.shares[1]
+        self.rest = _SCALE - self.both
+        self.each = self.rest * self.part[:lanes]  # what a slot weighs; exact, as it is divided by a power of two
+
+    def slot_at(self, value: np.ndarray) -> np.ndarray:
+        """A slot of the id whose part of _SCALE holds the value: take the predictions' shares out, then find the slot."""
+        edges = np.floor(self.guess * self.each)
         early = (self.guess[0] > self.guess[1]) * (self.shares[1] - self.shares[0]) + self.shares[0]
-        for end, share in (
-            (np.minimum(ends[0], ends[1]), early),
-            (np.maximum(ends[0], ends[1]), self.shares[0] + self.shares[1] - early),
-        ):
-            value = np.minimum(value, np.maximum(value - share, end - 1))
-        least = np.floor(((value + 1) * self.total - 1) / self.rest).astype(np.uint16)
-        run = _not_above(self.table, least)
-        row = self.lower.take(self.base + run).view(np.uint16).reshape(len(run), -1)
-        return (run << _WIDTH) + _not_above(row, least - self.upper.reshape(-1).take(self.begin + run))
-
-    def interval(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and length of the place's part of _SCALE."""
-        self.run, self.inner = place >> _WIDTH, place & _SIZE - 1
-        self.node = self.base + self.run
-        self.row = self.lower.take(self.node)
-        both = self.row.view(np.uint16).take(self.begin + self.inner + _ENDS) + self.table.reshape(-1).take(self.begin + self.run)
-        both = np.floor(both * self.rest / self.total)
-        self.right = place == self.guess
-        self.hits = self.shares * self.right
-        passed = self.shares * (place > self.guess)
-        return both[0] + (passed[0] + passed[1]), both[1] - both[0] + (self.hits[0] + self.hits[1])
-
-    def teach(self, place: np.ndarray, length: np.ndarray) -> None:
-        """Learn that this was the place."""
-        grown = self.row.view(np.uint64).reshape(len(place), -1) + self.gain.take(self.inner, 0)
-        self.lower[self.node] = grown.view(_ROW).reshape(-1)
-        upper = self.table.view(np.uint64)
-        upper += self.gain.take(self.run, 0)
-        target = self.hits * (_SCALE - _LIMIT) / length
-        self.weights[self.state] = self.shares + np.floor((target - self.shares) / _SLOW)
-        self.next[self.at] = np.minimum(self.sure, 2) * self.right + ((place << 2) + 1)
-        past = self.past[:, : len(place)]
-        past[1] = past[0] * 181 + place * 67 & (1 << _SLOTS) - 1
-        past[0] = place & (1 << _SLOTS) - 1
-
-
-def _not_above(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """How many of a row's running counts are not above the row's value."""
-    below = (rows[:, 1 : _SIZE + 1] <= value[:, None]).view(np.uint64)
-    ones = below[:, 0] + below[:, 1] + below[:, 2] + below[:, 3]
-    return (ones * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
+        value = np.minimum(value, np.maximum(value - early, np.minimum(edges[0], edges[1])))
+        value = np.minimum(value, np.maximum(value - (self.both - early), np.maximum(edges[0], edges[1])))
+        return (((value + 1) * self.total[: len(value)] - 1) / self.rest).astype(np.int64)
+
+    def interval(self, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and length of the id's part of _SCALE."""
+        slot = span & 0xFFFF
+        begin, end = np.floor(slot * self.each), np.floor((span >> 16) * self.each)
+        passed = self.shares * (slot > self.guess)
+        reached = self.shares * (slot >= self.guess)
+        begin += passed[0]
+        begin += passed[1]
+        end += reached[0]
+        end += reached[1]
+        return begin, end - begin
+
+
+class _Past:
+    """What came last after the last id (first row) and the last two ids (second row) of every lane."""
+
+    def __init__(self, lanes: int):
+        self.next = np.zeros(2 * lanes << _SLOTS, np.int16)  # first slot * 4 + how often it was right
+        self.slots = (np.arange(2 * lanes) << _SLOTS).reshape(2, lanes)
+        self.at = self.slots.copy()
+
+    def found(self, active: int) -> np.ndarray:
+        self.here = self.at[:, :active]
+        self.last = self.next.take(self.here)
+        return self.last
+
+    def teach(self, slot: np.ndarray, two: np.ndarray) -> None:
+        """Learn that the id with this first slot came. `two` mixes it with the one before."""
+        own = slot.astype(np.int16) << 2
+        off = self.last ^ own  # below 4 where the prediction was right
+        own += 1
+        self.next[self.here] = np.minimum(off, 2) * (1 - (np.minimum(off, 4) >> 2)) + own
+        active = len(slot)
+        np.add(self.slots[0, :active], slot, out=self.at[0, :active])
+        np.add(self.slots[1, :active], two, out=self.at[1, :active])
+
+
+def _two(slot: np.ndarray, before: np.ndarray | int) -> np.ndarray:
+    """The place of two ids in the table of order 2."""
+    return before * 181 + slot * 67 & (1 << _SLOTS) - 1
+
+
+def _fitted(found: np.ndarray, slots: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The weights of each lane, as bytes, from what both orders expected at each step and what came."""
+    lanes = slots.shape[1]
+    right = found >> 2 == slots
+    cells = np.arange(lanes, dtype=np.int32) * 8
+    counts = np.zeros((2, lanes * 8))
+    for order, open_ in ((1, inside), (0, inside & ~right[1])):
+        cell = (cells + (found[order] & 3) * 2 + right[order])[open_]
+        counts[order] = np.bincount(cell, minlength=lanes * 8)
+    counts = counts.reshape(2, lanes, 4, 2)
+    part = np.minimum(np.floor(256 * counts[..., 1] / np.maximum(counts.sum(-1), 1)), 255)
+    return np.concatenate((part[1], part[0]), 1).astype(np.uint8)
+
+
+def _spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The spans of all slots of all lanes, from a table that is true where another id begins."""
+    lanes, width = begins.shape
+    slots = np.arange(width, dtype=np.int32)
+    first = np.maximum.accumulate(np.where(begins, slots, np.int32(0)), 1)
+    ends = np.empty((lanes, width), np.int32)
+    ends[:, :-1] = np.where(begins[:, 1:], slots[1:], np.int32(width))
+    ends[:, -1] = width
+    after = np.minimum.accumulate(ends[:, ::-1], 1)[:, ::-1]
+    return first | np.minimum(after, lengths[:, None].astype(np.int32)) << 16
 
 
 def _checked(ids: np.ndarray) -> int:
@@ -152,22 +158,23 @@ def _active(lengths: np.ndarray) -> np.ndarray:
 
 
 def _pack_alphabet(known: np.ndarray) -> bytes:
-    steps = np.diff(known.astype(np.int64), prepend=0)
-    if (steps < 255).all():
-        return steps.astype(np.uint8).tobytes()
-    return b"".join(bytes((s,)) if s < 255 else b"\xff" + struct.pack("<I", s) for s in steps.tolist())
-
-
-def _unpack_alphabet(data: bytes, count: int) -> tuple[np.ndarray, int]:
-    """The alphabet and how many bytes it took."""
-    steps, at = np.frombuffer(data, np.uint8, min(count, len(data))).astype(np.int64), count
-    if (steps == 255).any():
-        at, values = 0, []
-        for _ in range(count):
-            wide = data[at] == 255
-            values.append(struct.unpack_from("<I", data, at + 1)[0] if wide else data[at])
-            at += 5 if wide else 1
-        steps = np.array(values, np.int64)
+    steps = known.astype(np.int64)
+    steps[1:] -= steps[:-1].copy()
+    mid = steps[steps >= 255]
+    wide = mid[mid >= 65535]
+    return np.minimum(steps, 255).astype(np.uint8).tobytes() + np.minimum(mid, 65535).astype("<u2").tobytes() + wide.astype("<u4").tobytes()
+
+
+def _unpack_alphabet(block: bytes, at: int, count: int) -> tuple[np.ndarray, int]:
+    """The alphabet and where it ends in the block."""
+    steps = np.frombuffer(block, np.uint8, count, at).astype(np.int64)
+    at += count
+    for top, kind in ((255, "<u2"), (65535, "<u4")):
+        more = np.flatnonzero(steps == top)
+        if not len(more):
+            break
+        steps[more] = np.frombuffer(block, kind, len(more), at)
+        at += len(more) * np.dtype(kind).itemsize
     return np.cumsum(steps).astype(np.uint32), at
 
 
@@ -185,36 +192,66 @@ def _encode_lanes(blocks: Sequence[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lengths = np.array([len(blocks[i]) for i in order])
     lanes, longest = len(order), int(lengths[0])
-    rows, alphabets = np.zeros((lanes, longest), np.int16), []
+    width = max(longest, 1)
+    # An id and its time make one number; sorted, they give the slots.
+    wide = any(len(b) and b.max() >= 1 << 22 for b in blocks)
+    kind = np.uint64 if wide else np.uint32
+    timed = np.zeros((lanes, width), kind)
     for lane, i in enumerate(order):
-        known = np.sort(blocks[i])
-        known = known[np.concatenate(([True], known[1:] != known[:-1]))] if len(known) else known
-        rows[lane, : lengths[lane]] = np.searchsorted(known, blocks[i])
-        alphabets.append(known)
-    places = np.ascontiguousarray(rows.T)
-    mixer = _Mixer(np.array([len(a) for a in alphabets]))
+        timed[lane, : lengths[lane]] = blocks[i]
+    timed <<= kind(10)
+    timed |= np.arange(width, dtype=kind)
+    inside = np.arange(width) < lengths[:, None]
+    if lengths[-1] < width:
+        timed[~inside] = np.iinfo(kind).max
+    timed.sort(1)
+    known = timed >> kind(10)
+    begins = np.ones((lanes, width), np.bool_)
+    np.not_equal(known[:, 1:], known[:, :-1], out=begins[:, 1:])
+    begins &= inside
+    spans = _spans(begins, lengths)
+    # Lanes without an id at a time have their places among those after the last id.
+    when = (timed & kind(1023)).astype(np.int64)
+    if lengths[-1] < width:
+        when = np.where(inside, when, np.arange(width))
+    when += (np.arange(lanes) * width)[:, None]
+    turns = np.empty(lanes * width, np.int32)
+    turns[when.reshape(-1)] = spans.reshape(-1)
+    turns = np.ascontiguousarray(turns.reshape(lanes, width).T)  # the span of each id, in the order of time
+    slots = (turns & 0xFFFF).astype(np.int16)
+    active = _active(lengths)
+    past = _Past(lanes)
+    found = np.zeros((2, width, lanes), np.int16)
+    before: np.ndarray | int = 0
+    for t, n in enumerate(active):
+        found[:, t, :n] = past.found(n)
+        slot = slots[t, :n].astype(np.int64)
+        past.teach(slot, _two(slot, before if t == 0 else before[:n]))
+        before = slot
+    weights = _fitted(found, slots, inside.T)
+    mixer = _Mixer(lengths, weights)
     room = longest + 4
     words = np.zeros(lanes * room, np.uint32)
     start = np.arange(lanes) * room
     place, low, span = start.copy(), np.zeros(lanes), np.full(lanes, _TOP)
-    for t, active in enumerate(_active(lengths)):
-        own = places[t, :active].astype(np.int64)
-        mixer.predict(active)
-        begin, length = mixer.interval(own)
-        mixer.teach(own, length)
-        unit = np.floor(span[:active] / _SCALE)
-        now, left = low[:active] + unit * begin, unit * length
+    for t, n in enumerate(active):
+        if t % _STEPS == 0:
+            mixer.expect(found[:, t : t + _STEPS])
+            begin, length = mixer.interval(turns[t : t + _STEPS])
+        unit = np.floor(span[:n] * _PART)
+        now, left = low[:n] + unit * begin[t % _STEPS, :n], unit * length[t % _STEPS, :n]
         carry = np.flatnonzero(now >= _TOP)
         if len(carry):
             words[place[carry] - 1] += 1
             now[carry] -= _TOP
         full = np.flatnonzero(left < _LOW)
-        high = np.floor(now[full] / _LOW)
+        spill = now[full]
+        high = np.floor(spill / _LOW)
         words[place[full]] = high
         place[full] += 1
-        now[full] = (now[full] - high * _LOW) * _SCALE
+        now[full] = (spill - high * _LOW) * _SCALE
         left[full] *= _SCALE
-        low[:active], span[:active] = now, left
+        low[:n], span[:n] = now, left
     for shift in (32, 16, 0):
         words[place] = low.astype(np.int64) >> shift & 0xFFFF
         place += 1
@@ -224,14 +261,16 @@ def _encode_lanes(blocks: Sequence[np.ndarray]) -> list[bytes]:
     out: list[bytes] = [b""] * lanes
     for lane, i in enumerate(order):
         code = (table[lane, : place[lane] - start[lane]] & 0xFFFF).astype("<u2").tobytes()
-        rest = _pack_alphabet(alphabets[lane]) + code
-        head = struct.pack(_HEAD, _MAGIC, _VERSION, lengths[lane], len(alphabets[lane]), len(code) // 2, _checked(blocks[i]))
+        fresh = begins[lane, : lengths[lane]]
+        alphabet = known[lane, : lengths[lane]][fresh]
+        rest = _pack_alphabet(alphabet) + np.packbits(fresh).tobytes() + weights[lane].tobytes() + code
+        head = struct.pack(_HEAD, _MAGIC, _VERSION, lengths[lane], len(alphabet), len(code) // 2, _checked(blocks[i]))
         out[i] = head + struct.pack(_CHECK, zlib.crc32(rest, zlib.crc32(head))) + rest
     return out
 
 
-def _open(block: bytes) -> tuple[int, np.ndarray, np.ndarray, int]:
-    """Number of ids, alphabet, code words and the ids' checksum."""
+def _open(block: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Number of ids, alphabet, whether another id begins at each slot, weights, code words and the ids' checksum."""
     if len(block) < _BEGIN:
         raise BrokenBlock("a block is shorter than its header")
     magic, version, count, known, size, check = struct.unpack_from(_HEAD, block)
@@ -239,8 +278,11 @@ def _open(block: bytes) -> tuple[int, np.ndarray, np.ndarray, int]:
         raise BrokenBlock("not a block of token ids")
     if zlib.crc32(block[_BEGIN:], zlib.crc32(block[: _HEAD_SIZE])) != struct.unpack_from(_CHECK, block, _HEAD_SIZE)[0]:
         raise BrokenBlock("a block does not agree with its checksum")
-    alphabet, taken = _unpack_alphabet(block[_BEGIN:], known)
-    return count, alphabet, np.frombuffer(block, "<u2", size, _BEGIN + taken), check
+    alphabet, at = _unpack_alphabet(block, _BEGIN, known)
+    bits = np.frombuffer(block, np.uint8, (count + 7) // 8, at)
+    weights = np.frombuffer(block, np.uint8, _WEIGHTS, at + len(bits))
+    words = np.frombuffer(block, "<u2", size, at + len(bits) + _WEIGHTS)
+    return count, alphabet, np.unpackbits(bits, count=count).view(np.bool_), weights, words, check
 
 
 def decode_blocks(blocks: Sequence[bytes]) -> list[np.ndarray]:
@@ -251,36 +293,49 @@ def decode_blocks(blocks: Sequence[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _decode_lanes(opened: Sequence[tuple[int, np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
+def _decode_lanes(opened: Sequence[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
     order = sorted(range(len(opened)), key=lambda i: -opened[i][0])
     lengths = np.array([opened[i][0] for i in order])
     lanes, longest = len(order), int(lengths[0])
-    room = max(len(o[2]) for o in opened) + 4
+    room = max(len(o[4]) for o in opened) + 4
+    width = max(longest, 1)
     words = np.zeros((lanes, room), np.uint16)
+    begins = np.zeros((lanes, width), np.bool_)
     for lane, i in enumerate(order):
-        words[lane, : len(opened[i][2])] = opened[i][2]
+        begins[lane, : lengths[lane]] = opened[i][2]
+        words[lane, : len(opened[i][4])] = opened[i][4]
     code = (words[:, 0] * _LOW + words[:, 1] * _SCALE) + words[:, 2]
     words = words.reshape(-1)
     place, span = np.arange(lanes) * room + 3, np.full(lanes, _TOP)
-    mixer = _Mixer(np.array([len(opened[i][1]) for i in order]))
-    places = np.zeros((longest, lanes), np.int16)
-    for t, active in enumerate(_active(lengths)):
-        mixer.predict(active)
-        unit = np.floor(span[:active] / _SCALE)
-        own = mixer.place_at(np.minimum(np.floor(code[:active] / unit), _SCALE - 1))
+    spans = _spans(begins, lengths).reshape(-1)
+    base = np.arange(lanes) * width
+    past, mixer = _Past(lanes), _Mixer(lengths, np.stack([opened[i][3] for i in order]))
+    turns = np.zeros((longest, lanes), np.int16)
+    before: np.ndarray | int = 0
+    for t, n in enumerate(_active(lengths)):
+        mixer.expect(past.found(n))
+        unit = np.floor(span[:n] * _PART)
+        slot = mixer.slot_at(np.minimum(np.floor(code[:n] / unit), _SCALE - 1))
+        slot += base[:n]
+        own = spans.take(slot)
         begin, length = mixer.interval(own)
-        mixer.teach(own, length)
-        now, left = code[:active] - unit * begin, unit * length
+        now, left = code[:n] - unit * begin, unit * length
         short = np.flatnonzero(left < _LOW)
-        now[short] = now[short] * _SCALE + words[place[short]]
-        place[short] += 1
+        at = place[short]
+        now[short] = now[short] * _SCALE + words[at]
+        place[short] = at + 1
         left[short] *= _SCALE
-        code[:active], span[:active] = now, left
-        places[t, :active] = own
-    rows = np.ascontiguousarray(places.T)
+        code[:n], span[:n] = now, left
+        own &= 0xFFFF
+        turns[t, :n] = own
+        own = own.astype(np.int64)
+        past.teach(own, _two(own, before if t == 0 else before[:n]))
+        before = own
+    rows = np.ascontiguousarray(turns.T)
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * lanes
     for lane, i in enumerate(order):
-        out[i] = opened[i][1][rows[lane, : lengths[lane]]] if lengths[lane] else out[i]
-        if _checked(out[i]) != opened[i][3]:
+        count, alphabet, fresh, _, _, check = opened[i]
+        out[i] = alphabet[np.cumsum(fresh) - 1][rows[lane, :count]] if count else out[i]
+        if _checked(out[i]) != check:
             raise BrokenBlock("the ids of a block do not agree with their checksum")
     return out

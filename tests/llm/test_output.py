@@ -125,6 +125,14 @@ def test_joined_crc():
     assert token_output.joined_crc([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(data)
 
 
+def test_joined_crcs_of_many_wholes_at_once():
+    wholes = [[b"abc"], [b"", b"x" * 4096, b"yz"], [b"1", b"2", b"3" * 70_000]]
+    parts = [p for w in wholes for p in w]
+    crcs, sizes = np.array([zlib.crc32(p) for p in parts]), np.array([len(p) for p in parts])
+    found = token_output.joined_crcs(crcs, sizes, np.array([0, 1, 4]))
+    assert found.tolist() == [zlib.crc32(b"".join(w)) for w in wholes]
+
+
 def test_tokens_equal_the_whole_texts(rows):
     from tokenizers import Tokenizer
 
