@@ -12,7 +12,8 @@ holds them: the part of the cases in which order 2 was right and, of the others,
 2**53 and quotients of which only the whole part is taken, so every machine decodes what any machine encoded.
 
 Every block starts from nothing and carries two checksums, so blocks are coded, read and verified independently. That makes
-them lanes: numpy works on one id of many blocks at a time, and no Python loop runs per id of a block.
+them lanes: numpy works on one id of many blocks at a time, and no Python loop runs per id of a block. Headers, alphabets and bits of
+many blocks are taken apart and put together at once too. The encoder, which has all ids, finds what orders 1 and 2 expect by sorting.
 
 Layout of a block, little endian: magic `FPTB`, version, three zero bytes, number of ids, size of the alphabet, number of code
 words, CRC-32 of the ids as unsigned 32-bit numbers, CRC-32 of all before it and of all after it; then the alphabet as steps between
@@ -39,6 +40,7 @@ _LIMIT = 1 << 12  # order 0 weighs at least as much of _SCALE, which is no less
 _SLOTS = 10  # bits of a place in the tables of orders 1 and 2
 _WEIGHTS = 8  # of order 2, then of order 1, by how often the prediction was right: never seen, 0, 1 and 2 or more times
 _STEPS = 32  # ids of all lanes whose intervals are found at once
+_ROWS = 128  # lanes that are prepared at once, few enough for a processor's cache
 _TOP, _LOW = float(1 << 48), float(1 << 32)
 _PART = 1 / _SCALE
 
@@ -58,16 +60,19 @@ class _Mixer:
         free = _SCALE - _LIMIT
         second = np.repeat(np.floor(free * weights[:, :4] / 256), 4, 1)
         first = np.floor((free - second) * np.tile(weights[:, 4:], (1, 4)) / 256)
-        self.weights = np.stack((first, second)).reshape(-1)
-        self.states = (np.arange(2 * lanes) << 4).reshape(2, lanes)
+        # Both weights of a lane and how often its predictions were right (4 bits), in one number.
+        self.weights = (first.astype(np.uint32) | second.astype(np.uint32) << 16).reshape(-1)
+        self.states = np.arange(lanes) << 4
 
     def expect(self, found: np.ndarray) -> None:
         """Take in what both orders expect for the next id of the first lanes. `found` may hold several steps."""
         lanes = found.shape[-1]
         sure = found & 3
-        self.guess = (found >> 2).astype(np.float64)
-        states = self.states[:, :lanes].reshape((2,) + (1,) * (found.ndim - 2) + (lanes,))
-        self.shares = self.weights.take(states + ((sure[1] << 2) + sure[0]))
+        self.foreseen = found >> 2
+        self.guess = self.foreseen.astype(np.float64)
+        pairs = self.weights.take(self.states[:lanes] + ((sure[1] << 2) + sure[0]))
+        self.shares = np.empty(found.shape)
+        self.shares[0], self.shares[1] = pairs & 0xFFFF, pairs >> 16
         self.both = self.shares[0] + self.shares[1]
         self.rest = _SCALE - self.both
         self.each = self.rest * self.part[:lanes]  # what a slot weighs; exact, as it is divided by a power of two
@@ -75,7 +80,7 @@ class _Mixer:
     def slot_at(self, value: np.ndarray) -> np.ndarray:
         """A slot of the id whose part of _SCALE holds the value: take the predictions' shares out, then find the slot."""
         edges = np.floor(self.guess * self.each)
-        early = (self.guess[0] > self.guess[1]) * (self.shares[1] - self.shares[0]) + self.shares[0]
+        early = np.where(self.foreseen[0] > self.foreseen[1], self.shares[1], self.shares[0])
         value = np.minimum(value, np.maximum(value - early, np.minimum(edges[0], edges[1])))
         value = np.minimum(value, np.maximum(value - (self.both - early), np.maximum(edges[0], edges[1])))
         return (((value + 1) * self.total[: len(value)] - 1) / self.rest).astype(np.int64)
@@ -84,8 +89,9 @@ class _Mixer:
         """Begin and length of the id's part of _SCALE."""
         slot = span & 0xFFFF
         begin, end = np.floor(slot * self.each), np.floor((span >> 16) * self.each)
-        passed = self.shares * (slot > self.guess)
-        reached = self.shares * (slot >= self.guess)
+        slot = slot.astype(np.int16)
+        passed = self.shares * (slot > self.foreseen)
+        reached = self.shares * (slot >= self.foreseen)
         begin += passed[0]
         begin += passed[1]
         end += reached[0]
@@ -110,8 +116,11 @@ class _Past:
         """Learn that the id with this first slot came. `two` mixes it with the one before."""
         own = slot.astype(np.int16) << 2
         off = self.last ^ own  # below 4 where the prediction was right
-        own += 1
-        self.next[self.here] = np.minimum(off, 2) * (1 - (np.minimum(off, 4) >> 2)) + own
+        off *= off < 4
+        off -= off + 1 >> 2  # at most 2
+        off += own
+        off += 1
+        self.next[self.here] = off
         active = len(slot)
         np.add(self.slots[0, :active], slot, out=self.at[0, :active])
         np.add(self.slots[1, :active], two, out=self.at[1, :active])
@@ -122,34 +131,67 @@ def _two(slot: np.ndarray, before: np.ndarray | int) -> np.ndarray:
     return before * 181 + slot * 67 & (1 << _SLOTS) - 1
 
 
+def _expected(slots: np.ndarray) -> np.ndarray:
+    """What both orders expect at each step of all lanes (rows): what `_Past` would find, without following it step by step. Steps after
+    the end of a lane come last, so what is found before them does not depend on them."""
+    lanes, width = slots.shape
+    now = slots.astype(np.uint32)
+    before = np.zeros((2, lanes, width), np.uint32)
+    before[0, :, 1:], before[1, :, 2:] = now[:, :-1], now[:, :-2]
+    now |= np.arange(width, dtype=np.uint32) << 10
+    out = np.empty((2, lanes, width), np.int16)
+    rows = (np.arange(lanes) * width)[:, None]
+    for order, key in ((0, before[0]), (1, _two(before[0], before[1]))):
+        key = key << 20 | now
+        key.sort(1)
+        place, slot = key >> 20, (key & 1023).astype(np.int16)
+        same = place[:, 1:] == place[:, :-1]  # as the step before it in this place
+        again = same & (slot[:, 1:] == slot[:, :-1])
+        found = np.zeros((lanes, width), np.int16)
+        sure = found[:, 1:]
+        sure[:] = 1
+        sure[:, 1:] += again[:, :-1]
+        sure[:, 2:] += again[:, 1:-1] & again[:, :-2]
+        sure |= slot[:, :-1] << 2
+        sure *= same
+        out[order].reshape(-1)[((key >> 10 & 1023) + rows).reshape(-1)] = found.reshape(-1)
+    return out
+
+
 def _fitted(found: np.ndarray, slots: np.ndarray, inside: np.ndarray) -> np.ndarray:
     """The weights of each lane, as bytes, from what both orders expected at each step and what came."""
-    lanes = slots.shape[1]
-    right = found >> 2 == slots
-    cells = np.arange(lanes, dtype=np.int32) * 8
-    counts = np.zeros((2, lanes * 8))
-    for order, open_ in ((1, inside), (0, inside & ~right[1])):
-        cell = (cells + (found[order] & 3) * 2 + right[order])[open_]
-        counts[order] = np.bincount(cell, minlength=lanes * 8)
+    lanes = len(slots)
+    cells = (np.arange(lanes) << 4)[:, None]
+    counts, skipped = np.empty((2, lanes, 8)), ~inside
+    for order in (1, 0):
+        right = found[order] >> 2 == slots
+        cell = cells + ((found[order] & 3) << 1 | right | skipped.view(np.int8) << 3)
+        counts[order] = np.bincount(cell.reshape(-1), minlength=lanes << 4).reshape(lanes, 16)[:, :8]
+        skipped |= right
     counts = counts.reshape(2, lanes, 4, 2)
     part = np.minimum(np.floor(256 * counts[..., 1] / np.maximum(counts.sum(-1), 1)), 255)
     return np.concatenate((part[1], part[0]), 1).astype(np.uint8)
 
 
+def _runs(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The flat places where another id begins or a lane does, and the number of slots of each."""
+    heads = begins.copy()
+    heads[:, 0] = True
+    at = np.flatnonzero(heads)
+    return at, np.diff(np.append(at, begins.size))
+
+
 def _spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The spans of all slots of all lanes, from a table that is true where another id begins."""
     lanes, width = begins.shape
-    slots = np.arange(width, dtype=np.int32)
-    first = np.maximum.accumulate(np.where(begins, slots, np.int32(0)), 1)
-    ends = np.empty((lanes, width), np.int32)
-    ends[:, :-1] = np.where(begins[:, 1:], slots[1:], np.int32(width))
-    ends[:, -1] = width
-    after = np.minimum.accumulate(ends[:, ::-1], 1)[:, ::-1]
-    return first | np.minimum(after, lengths[:, None].astype(np.int32)) << 16
+    at, sizes = _runs(begins)
+    lane, first = np.divmod(at, width)
+    ends = np.minimum(first + sizes, lengths.take(lane))
+    return np.repeat((first | ends << 16).astype(np.int32), sizes).reshape(lanes, width)
 
 
 def _checked(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
 def _active(lengths: np.ndarray) -> np.ndarray:
@@ -157,25 +199,43 @@ def _active(lengths: np.ndarray) -> np.ndarray:
     return np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
 
 
-def _pack_alphabet(known: np.ndarray) -> bytes:
-    steps = known.astype(np.int64)
-    steps[1:] -= steps[:-1].copy()
-    mid = steps[steps >= 255]
-    wide = mid[mid >= 65535]
-    return np.minimum(steps, 255).astype(np.uint8).tobytes() + np.minimum(mid, 65535).astype("<u2").tobytes() + wide.astype("<u4").tobytes()
-
-
-def _unpack_alphabet(block: bytes, at: int, count: int) -> tuple[np.ndarray, int]:
-    """The alphabet and where it ends in the block."""
-    steps = np.frombuffer(block, np.uint8, count, at).astype(np.int64)
-    at += count
-    for top, kind in ((255, "<u2"), (65535, "<u4")):
-        more = np.flatnonzero(steps == top)
-        if not len(more):
-            break
-        steps[more] = np.frombuffer(block, kind, len(more), at)
-        at += len(more) * np.dtype(kind).itemsize
-    return np.cumsum(steps).astype(np.uint32), at
+def _pack_alphabets(known: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The coded form of alphabets put together, each ending at one of `ends`."""
+    known = known.astype(np.int64)
+    steps = np.diff(known, prepend=0)
+    begins = np.append(0, ends[:-1])
+    begins = begins[begins < ends]
+    steps[begins] = known[begins]
+    large = np.flatnonzero(steps >= 255)
+    mid = steps[large]
+    huge = np.flatnonzero(mid >= 65535)
+    mids = np.searchsorted(large, ends)
+    wides = np.searchsorted(huge, mids)
+    coded = (
+        np.minimum(steps, 255).astype(np.uint8).tobytes(),
+        np.minimum(mid, 65535).astype("<u2").tobytes(),
+        mid[huge].astype("<u4").tobytes(),
+    )
+    cuts = [np.append(0, size * to).tolist() for size, to in ((1, ends), (2, mids), (4, wides))]
+    return [b"".join(data[at[k] : at[k + 1]] for data, at in zip(coded, cuts)) for k in range(len(ends))]
+
+
+def _unpack_alphabets(blocks: Sequence[bytes], sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The alphabets of all blocks, put together, and where each ends in its block."""
+    places, parts, counts = [_BEGIN] * len(blocks), [], sizes
+    for top, kind in ((255, "<u1"), (65535, "<u2"), (None, "<u4")):
+        stops = [at + n for at, n in zip(places, (counts * np.dtype(kind).itemsize).tolist())]
+        parts.append(np.frombuffer(b"".join([b[at:to] for b, at, to in zip(blocks, places, stops)]), kind).astype(np.int64))
+        places, ends = stops, np.cumsum(counts)
+        if top:
+            more = np.flatnonzero(parts[-1] == top)
+            counts = np.diff(np.searchsorted(more, ends), prepend=0)
+    steps, mid, wide = parts
+    mid[mid == 65535] = wide
+    steps[steps == 255] = mid
+    known = np.append(0, np.cumsum(steps))
+    ends = np.cumsum(sizes)
+    return (known[1:] - np.repeat(known.take(ends - sizes), sizes)).astype(np.uint32), places
 
 
 def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
@@ -188,17 +248,17 @@ def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
     return out
 
 
-def _encode_lanes(blocks: Sequence[np.ndarray]) -> list[bytes]:
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    lengths = np.array([len(blocks[i]) for i in order])
-    lanes, longest = len(order), int(lengths[0])
-    width = max(longest, 1)
+def _prepared(
+    blocks: Sequence[np.ndarray], lengths: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """The spans of the ids of some lanes, what both orders expect and the weights; sizes of the alphabets, their coded form, and the slots' bits."""
+    lanes = len(blocks)
     # An id and its time make one number; sorted, they give the slots.
-    wide = any(len(b) and b.max() >= 1 << 22 for b in blocks)
-    kind = np.uint64 if wide else np.uint32
-    timed = np.zeros((lanes, width), kind)
-    for lane, i in enumerate(order):
-        timed[lane, : lengths[lane]] = blocks[i]
+    timed = np.zeros((lanes, width), np.uint32)
+    for lane, block in enumerate(blocks):
+        timed[lane, : len(block)] = block
+    kind = np.uint64 if timed.max() >= 1 << 22 else np.uint32
+    timed = timed.astype(kind, copy=False)
     timed <<= kind(10)
     timed |= np.arange(width, dtype=kind)
     inside = np.arange(width) < lengths[:, None]
@@ -215,26 +275,35 @@ def _encode_lanes(blocks: Sequence[np.ndarray]) -> list[bytes]:
     if lengths[-1] < width:
         when = np.where(inside, when, np.arange(width))
     when += (np.arange(lanes) * width)[:, None]
-    turns = np.empty(lanes * width, np.int32)
-    turns[when.reshape(-1)] = spans.reshape(-1)
-    turns = np.ascontiguousarray(turns.reshape(lanes, width).T)  # the span of each id, in the order of time
+    turns = np.empty((lanes, width), np.int32)  # the span of each id, in the order of time
+    turns.reshape(-1)[when.reshape(-1)] = spans.reshape(-1)
     slots = (turns & 0xFFFF).astype(np.int16)
-    active = _active(lengths)
-    past = _Past(lanes)
-    found = np.zeros((2, width, lanes), np.int16)
-    before: np.ndarray | int = 0
-    for t, n in enumerate(active):
-        found[:, t, :n] = past.found(n)
-        slot = slots[t, :n].astype(np.int64)
-        past.teach(slot, _two(slot, before if t == 0 else before[:n]))
-        before = slot
-    weights = _fitted(found, slots, inside.T)
+    found = _expected(slots)
+    sizes = np.count_nonzero(begins, 1)
+    alphabets = _pack_alphabets(known[begins], np.cumsum(sizes))
+    return turns, found, _fitted(found, slots, inside), sizes, alphabets, np.packbits(begins, 1)
+
+
+def _encode_lanes(blocks: Sequence[np.ndarray]) -> list[bytes]:
+    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+    lengths = np.array([len(blocks[i]) for i in order])
+    lanes, longest = len(order), int(lengths[0])
+    width = max(longest, 1)
+    turns, found = np.empty((width, lanes), np.int32), np.empty((2, width, lanes), np.int16)
+    weights, sizes, alphabets, bits = np.empty((lanes, _WEIGHTS), np.uint8), np.empty(lanes, np.int64), [], []
+    for at in range(0, lanes, _ROWS):
+        part = slice(at, at + _ROWS)
+        own, expected, weights[part], sizes[part], known, slots = _prepared([blocks[i] for i in order[part]], lengths[part], width)
+        turns[:, part], found[:, :, part] = own.T, expected.swapaxes(1, 2)
+        alphabets += known
+        bits.append(slots.tobytes())
+    bits = b"".join(bits)
     mixer = _Mixer(lengths, weights)
     room = longest + 4
     words = np.zeros(lanes * room, np.uint32)
     start = np.arange(lanes) * room
     place, low, span = start.copy(), np.zeros(lanes), np.full(lanes, _TOP)
-    for t, n in enumerate(active):
+    for t, n in enumerate(_active(lengths)):
         if t % _STEPS == 0:
             mixer.expect(found[:, t : t + _STEPS])
             begin, length = mixer.interval(turns[t : t + _STEPS])
@@ -255,61 +324,77 @@ def _encode_lanes(blocks: Sequence[np.ndarray]) -> list[bytes]:
     for shift in (32, 16, 0):
         words[place] = low.astype(np.int64) >> shift & 0xFFFF
         place += 1
-    table = words.reshape(lanes, room)
-    for k in range(room - 1, 0, -1):  # carries that were left in their words
-        table[:, k - 1] += table[:, k] >> 16
+    over = np.flatnonzero(words >> 16)
+    while len(over):  # carries that were left in their words
+        words[over - 1] += words[over] >> 16
+        words[over] &= 0xFFFF
+        over = over[words[over - 1] >> 16 > 0] - 1
+    own, code, wide = weights.tobytes(), words.astype("<u2").tobytes(), (width + 7) // 8
     out: list[bytes] = [b""] * lanes
-    for lane, i in enumerate(order):
-        code = (table[lane, : place[lane] - start[lane]] & 0xFFFF).astype("<u2").tobytes()
-        fresh = begins[lane, : lengths[lane]]
-        alphabet = known[lane, : lengths[lane]][fresh]
-        rest = _pack_alphabet(alphabet) + np.packbits(fresh).tobytes() + weights[lane].tobytes() + code
-        head = struct.pack(_HEAD, _MAGIC, _VERSION, lengths[lane], len(alphabet), len(code) // 2, _checked(blocks[i]))
+    each = zip(order, lengths.tolist(), sizes.tolist(), (place - start).tolist(), alphabets)
+    for lane, (i, count, size, coded, alphabet) in enumerate(each):
+        rest = b"".join((
+            alphabet,
+            bits[lane * wide : lane * wide + (count + 7) // 8],
+            own[lane * _WEIGHTS : (lane + 1) * _WEIGHTS],
+            code[2 * lane * room : 2 * (lane * room + coded)],
+        ))
+        head = struct.pack(_HEAD, _MAGIC, _VERSION, count, size, coded, _checked(blocks[i]))
         out[i] = head + struct.pack(_CHECK, zlib.crc32(rest, zlib.crc32(head))) + rest
     return out
 
 
-def _open(block: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Number of ids, alphabet, whether another id begins at each slot, weights, code words and the ids' checksum."""
+def _open(block: bytes) -> tuple[int, int, int, int]:
+    """Number of ids, size of the alphabet, number of code words and the ids' checksum."""
     if len(block) < _BEGIN:
         raise BrokenBlock("a block is shorter than its header")
     magic, version, count, known, size, check = struct.unpack_from(_HEAD, block)
     if magic != _MAGIC or version != _VERSION:
         raise BrokenBlock("not a block of token ids")
-    if zlib.crc32(block[_BEGIN:], zlib.crc32(block[: _HEAD_SIZE])) != struct.unpack_from(_CHECK, block, _HEAD_SIZE)[0]:
+    if zlib.crc32(block[_BEGIN:], zlib.crc32(block[:_HEAD_SIZE])) != struct.unpack_from(_CHECK, block, _HEAD_SIZE)[0]:
         raise BrokenBlock("a block does not agree with its checksum")
-    alphabet, at = _unpack_alphabet(block, _BEGIN, known)
-    bits = np.frombuffer(block, np.uint8, (count + 7) // 8, at)
-    weights = np.frombuffer(block, np.uint8, _WEIGHTS, at + len(bits))
-    words = np.frombuffer(block, "<u2", size, at + len(bits) + _WEIGHTS)
-    return count, alphabet, np.unpackbits(bits, count=count).view(np.bool_), weights, words, check
+    return count, known, size, check
 
 
 def decode_blocks(blocks: Sequence[bytes]) -> list[np.ndarray]:
     """The ids of each coded block; raises BrokenBlock if a checksum does not agree."""
     out: list[np.ndarray] = []
     for at in range(0, len(blocks), LANES):
-        out += _decode_lanes([_open(b) for b in blocks[at : at + LANES]])
+        out += _decode_lanes(blocks[at : at + LANES])
     return out
 
 
-def _decode_lanes(opened: Sequence[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
+def _decode_lanes(blocks: Sequence[bytes]) -> list[np.ndarray]:
+    opened = [_open(b) for b in blocks]
     order = sorted(range(len(opened)), key=lambda i: -opened[i][0])
-    lengths = np.array([opened[i][0] for i in order])
+    blocks = [blocks[i] for i in order]
+    lengths, sizes, coded, _ = np.array([opened[i] for i in order], np.int64).T
     lanes, longest = len(order), int(lengths[0])
-    room = max(len(o[4]) for o in opened) + 4
-    width = max(longest, 1)
-    words = np.zeros((lanes, room), np.uint16)
-    begins = np.zeros((lanes, width), np.bool_)
-    for lane, i in enumerate(order):
-        begins[lane, : lengths[lane]] = opened[i][2]
-        words[lane, : len(opened[i][4])] = opened[i][4]
+    room, width = int(coded.max()) + 4, max(longest, 1)
+    alphabets, places = _unpack_alphabets(blocks, sizes)
+    wide = (width + 7) // 8
+    bits, own, words = [], [], []
+    for block, at, count, size in zip(blocks, places, lengths.tolist(), coded.tolist()):
+        to = at + (count + 7) // 8
+        bits.append(block[at:to].ljust(wide, b"\0"))
+        own.append(block[to : to + _WEIGHTS])
+        to += _WEIGHTS
+        words.append(block[to : to + 2 * size].ljust(2 * room, b"\0"))
+    words = np.frombuffer(b"".join(words), "<u2").reshape(lanes, room)
+    weights = np.frombuffer(b"".join(own), np.uint8).reshape(lanes, _WEIGHTS)
+    bits = np.frombuffer(b"".join(bits), np.uint8).reshape(lanes, wide)
+    begins = np.unpackbits(bits, axis=1, count=width).view(np.bool_)
+    if (np.count_nonzero(begins, 1) != sizes).any():
+        raise BrokenBlock("a block's alphabet does not agree with its slots")
     code = (words[:, 0] * _LOW + words[:, 1] * _SCALE) + words[:, 2]
     words = words.reshape(-1)
     place, span = np.arange(lanes) * room + 3, np.full(lanes, _TOP)
-    spans = _spans(begins, lengths).reshape(-1)
+    spans = np.empty((lanes, width), np.int32)
+    for at in range(0, lanes, _ROWS):
+        spans[at : at + _ROWS] = _spans(begins[at : at + _ROWS], lengths[at : at + _ROWS])
+    spans = spans.reshape(-1)
     base = np.arange(lanes) * width
-    past, mixer = _Past(lanes), _Mixer(lengths, np.stack([opened[i][3] for i in order]))
+    past, mixer = _Past(lanes), _Mixer(lengths, weights)
     turns = np.zeros((longest, lanes), np.int16)
     before: np.ndarray | int = 0
     for t, n in enumerate(_active(lengths)):
@@ -320,22 +405,34 @@ def _decode_lanes(opened: Sequence[tuple[int, np.ndarray, np.ndarray, np.ndarray
         own = spans.take(slot)
         begin, length = mixer.interval(own)
         now, left = code[:n] - unit * begin, unit * length
-        short = np.flatnonzero(left < _LOW)
-        at = place[short]
-        now[short] = now[short] * _SCALE + words[at]
-        place[short] = at + 1
-        left[short] *= _SCALE
-        code[:n], span[:n] = now, left
+        # Lanes that are short take in a word; the others are multiplied by 1 and get 0.
+        short = left < _LOW
+        at = place[:n]
+        more = short * (_SCALE - 1)
+        more += 1
+        np.multiply(now, more, out=now)
+        np.multiply(left, more, out=span[:n])
+        np.add(now, words.take(at) * short, out=code[:n])
+        at += short
         own &= 0xFFFF
         turns[t, :n] = own
         own = own.astype(np.int64)
         past.teach(own, _two(own, before if t == 0 else before[:n]))
         before = own
-    rows = np.ascontiguousarray(turns.T)
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * lanes
-    for lane, i in enumerate(order):
-        count, alphabet, fresh, _, _, check = opened[i]
-        out[i] = alphabet[np.cumsum(fresh) - 1][rows[lane, :count]] if count else out[i]
-        if _checked(out[i]) != check:
+    ends = np.append(0, np.cumsum(sizes))
+    for at in range(0, lanes, _ROWS):
+        if not lengths[at]:  # nor have the lanes after it
+            break
+        part = slice(at, min(at + _ROWS, lanes))
+        heads, counts = _runs(begins[part])
+        # A lane without ids has a place, but no id in the alphabet.
+        which = np.cumsum(begins[part].reshape(-1).take(heads)) - 1
+        ids = np.repeat(alphabets[ends[at] : ends[part.stop]].take(np.maximum(which, 0)), counts)
+        ids = ids.take(turns[:, part].T + base[: part.stop - at, None])
+        for own, i, count in zip(ids, order[part], lengths[part].tolist()):
+            out[i] = own[:count]
+    for i, own in enumerate(out):
+        if _checked(own) != opened[i][3]:
             raise BrokenBlock("the ids of a block do not agree with their checksum")
     return out

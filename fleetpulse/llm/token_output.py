@@ -26,7 +26,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,12 @@ from fleetpulse.plans.totals import running_totals
 from fleetpulse.session import pinned
 
 END = 0
-AT_ONCE = 2048  # blocks that are coded together
-PART = 1 << 22
+AT_ONCE = 4096  # blocks that are coded together
+READ_AT_ONCE = 5000  # about so many are decoded together; fewer cost more an id
+PART = 1 << 23
 KEPT = 600_000  # pieces that a task remembers
 JOINED = 500
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 40_000  # every range meets the words of the corpus anew
 LEAST_RANGES = 8
 
 BLOCKS = (
@@ -395,39 +396,54 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     coded_blocks(docs, source, end).write.mode("overwrite").parquet(path)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `rows`, at most half as many again."""
+    waiting: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        waiting.append(batch)
+        count += batch.num_rows
+        while count >= 2 * rows:
+            whole = pa.concat_batches(waiting)
+            yield whole.slice(0, rows)
+            waiting, count = [whole.slice(rows)], count - rows
+    if count:
+        whole, parts = pa.concat_batches(waiting), max(1, round(count / rows))
+        for begin, end in pairwise(count * k // parts for k in range(parts + 1)):
+            yield whole.slice(begin, end - begin)
+
+
 def read_fragments(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Parts of documents, one row for each block that a document has ids in: place of the document in the shard (`doc`), doc_id,
     place of the first id in the shard, number and CRC-32 of the ids, and the ids as unsigned 32-bit numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
-                decoded = decode_blocks(part.column("payload").to_pylist())
-                data = np.concatenate(decoded).astype("<u4").tobytes()
-                lists, lengths = part.column("doc_ids"), part.column("lengths").flatten().to_numpy()
-                counts = part.column("lengths").value_lengths().to_numpy()
-                row = np.repeat(np.arange(part.num_rows), counts)
-                ends = np.cumsum(lengths, dtype=np.int64)
-                begins = ends - lengths
-                heads = np.cumsum(counts) - counts  # the first fragment of each block
-                view = memoryview(data)
-                sums = [zlib.crc32(view[b:e]) for b, e in zip((4 * begins).tolist(), (4 * ends).tolist())]
-                if with_ids:
-                    places = pa.py_buffer(np.append(0, 4 * ends).astype(np.int32))
-                    ids = pa.Array.from_buffers(pa.binary(), len(row), [None, places, pa.py_buffer(data)])
-                else:
-                    ids = pa.nulls(len(row), pa.binary())
-                arrays = [
-                    part.column("shard").take(pa.array(row)),
-                    pa.array(part.column("first_doc").to_numpy()[row] + np.arange(len(row)) - heads[row]),
-                    lists.flatten(),
-                    pa.array(part.column("first").to_numpy()[row] + begins - begins[heads][row]),
-                    pa.array(lengths.astype(np.int32)),
-                    pa.array(sums, pa.int64()),
-                    ids,
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in FRAGMENTS.split(", ")])
+        for part in _gathered(batches, READ_AT_ONCE):
+            decoded = decode_blocks(part.column("payload").to_pylist())
+            data = np.concatenate(decoded).astype("<u4", copy=False)
+            lists, lengths = part.column("doc_ids"), part.column("lengths").flatten().to_numpy()
+            counts = part.column("lengths").value_lengths().to_numpy()
+            row = np.repeat(np.arange(part.num_rows), counts)
+            ends = np.cumsum(lengths, dtype=np.int64)
+            begins = ends - lengths
+            heads = np.cumsum(counts) - counts  # the first fragment of each block
+            view = memoryview(data).cast("B")
+            sums = [zlib.crc32(view[b:e]) for b, e in zip((4 * begins).tolist(), (4 * ends).tolist())]
+            if with_ids:
+                places = pa.py_buffer(np.append(0, 4 * ends).astype(np.int32))
+                ids = pa.Array.from_buffers(pa.binary(), len(row), [None, places, pa.py_buffer(data)])
+            else:
+                ids = pa.nulls(len(row), pa.binary())
+            arrays = [
+                part.column("shard").take(pa.array(row)),
+                pa.array(part.column("first_doc").to_numpy()[row] + np.arange(len(row)) - heads[row]),
+                lists.flatten(),
+                pa.array(part.column("first").to_numpy()[row] + begins - begins[heads][row]),
+                pa.array(lengths.astype(np.int32)),
+                pa.array(sums, pa.int64()),
+                ids,
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in FRAGMENTS.split(", ")])
 
     blocks = spark.read.schema(BLOCKS).parquet(path)
     return blocks.mapInArrow(work, FRAGMENTS)

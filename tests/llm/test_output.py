@@ -119,6 +119,59 @@ def test_coder_learns_and_notices_damage():
         mixing_coder.decode_blocks([again[:-2]])
 
 
+def test_expectations_sorted_out_equal_those_followed_step_by_step():
+    rng = np.random.default_rng(4)
+    slots = np.minimum(rng.zipf(1.3, (7, 300)), 1023).astype(np.int16)
+    slots[0], slots[1] = 0, np.arange(300) % 3
+    past, before = mixing_coder._Past(7), 0
+    expected = mixing_coder._expected(slots)
+    for t in range(300):
+        assert (expected[:, :, t] == past.found(7)).all()
+        slot = slots[:, t].astype(np.int64)
+        past.teach(slot, mixing_coder._two(slot, before))
+        before = slot
+
+
+def test_alphabets_of_many_blocks_at_once():
+    steps = [[0], [255, 254, 65535], [], [65534, 65536, 1], [1 << 31, 7], [], [254, 255, 256]]
+    known = [np.cumsum(s, dtype=np.int64) for s in steps]
+    sizes = np.array([len(s) for s in steps])
+    coded = mixing_coder._pack_alphabets(np.concatenate(known), np.cumsum(sizes))
+    head = bytes(mixing_coder._BEGIN)
+    found, ends = mixing_coder._unpack_alphabets([head + c + b"rest" for c in coded], sizes)
+    assert found.tolist() == np.concatenate(known).tolist()
+    assert ends == [len(head) + len(c) for c in coded]
+
+
+def test_blocks_without_ids_among_others():
+    blocks = [np.empty(0, np.uint32)] * 300 + [np.arange(3, dtype=np.uint32)] * 200
+    for some in (blocks, blocks[:300]):
+        found = mixing_coder.decode_blocks(mixing_coder.encode_blocks(some))
+        assert [b.tolist() for b in found] == [b.tolist() for b in some]
+
+
+def test_more_slots_than_the_alphabet_has_ids():
+    block = mixing_coder.encode_blocks([np.array([5, 5, 5, 9], np.uint32)])[0]
+    at = mixing_coder._BEGIN + 2  # after two steps of the alphabet
+    assert block[at] == 0b10010000
+    rest, head = bytearray(block[mixing_coder._BEGIN :]), block[: mixing_coder._HEAD_SIZE]
+    rest[2] = 0b11110000
+    forged = head + zlib.crc32(rest, zlib.crc32(head)).to_bytes(4, "little") + rest
+    with pytest.raises(mixing_coder.BrokenBlock):
+        mixing_coder.decode_blocks([forged])
+
+
+@pytest.mark.parametrize("sizes", [[], [0], [3], [7], [25], [1] * 40, [30, 0, 4], [12, 19, 2]])
+def test_blocks_are_gathered(sizes):
+    import pyarrow as pa
+
+    rows = iter(range(sum(sizes)))
+    batches = [pa.RecordBatch.from_pydict({"x": pa.array([next(rows) for _ in range(n)], pa.int64())}) for n in sizes]
+    found = list(token_output._gathered(iter(batches), 10))
+    assert [x for b in found for x in b.column("x").to_pylist()] == list(range(sum(sizes)))
+    assert all(b.num_rows <= 15 for b in found) and all(b.num_rows >= min(7, sum(sizes)) for b in found)
+
+
 def test_joined_crc():
     data = bytes(random.Random(1).randbytes(5000))
     parts = [data[:1], data[1:1], data[1:4096], data[4096:]]
