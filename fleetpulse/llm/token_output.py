@@ -183,6 +183,19 @@ class Tokens:
         self.known = pa.array([], pa.binary())
         self.begins, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
         self.store = np.empty(0, np.uint32)
+        self.again = np.empty(0, np.bool_)  # whether a piece has come again since it was learned or kept
+
+    def _thin(self) -> None:
+        """Forget the pieces that have not come again, most of them rare ones; all if that leaves more than half of KEPT."""
+        keep = np.flatnonzero(self.again)
+        sizes = self.sizes.take(keep)
+        ends = np.cumsum(sizes)
+        if 2 * len(keep) > KEPT or len(keep) and ends[-1] > 4 * KEPT:
+            self.forget()
+            return
+        self.store = self.store.take(np.repeat(self.begins.take(keep) - ends + sizes, sizes) + np.arange(sizes.sum()))
+        self.known, self.begins, self.sizes = self.known.take(pa.array(keep)), ends - sizes, sizes
+        self.again = np.zeros(len(keep), np.bool_)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -229,20 +242,24 @@ class Tokens:
         begins[order] = len(self.store) + np.cumsum(sizes[order]) - sizes[order]
         self.known = pa.concat_arrays([self.known, pieces])
         self.begins, self.sizes = np.append(self.begins, begins), np.append(self.sizes, sizes)
+        self.again = np.append(self.again, np.zeros(count, np.bool_))
         self.store = np.concatenate((self.store, *ids))
 
     def _numbers(self, pieces: pa.BinaryArray) -> np.ndarray:
         found = pc.index_in(pieces, value_set=self.known)
+        if len(self.known) and found.null_count and (len(self.known) + found.null_count > KEPT or len(self.store) > 8 * KEPT):
+            self._thin()
+            found = pc.index_in(pieces, value_set=self.known)
         if not found.null_count:
-            return found.to_numpy()
+            numbers = found.to_numpy()
+            self.again[numbers] = True
+            return numbers
         fresh = found.is_null()
-        if len(self.known) + found.null_count > KEPT or len(self.store) > 8 * KEPT:
-            self.forget()
-            self._learn(pieces)
-            return np.arange(len(pieces))
         count, numbers = len(self.known), found.fill_null(0).to_numpy().copy()
+        new = fresh.to_numpy(zero_copy_only=False)
+        self.again[numbers[~new]] = True
         self._learn(pieces.filter(fresh))
-        numbers[fresh.to_numpy(zero_copy_only=False)] = np.arange(count, len(self.known))
+        numbers[new] = np.arange(count, len(self.known))
         return numbers
 
     def _cut(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

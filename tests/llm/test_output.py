@@ -203,6 +203,22 @@ def test_tokens_equal_the_whole_texts(rows):
             token_output.PART = kept
 
 
+def test_pieces_that_come_again_are_kept(monkeypatch):
+    path = token_output.tokenizer_path()
+    tokens = token_output.Tokens(open(path, encoding="utf-8").read())
+    monkeypatch.setattr(token_output, "KEPT", 40)
+    learned = []
+    learn = tokens._learn
+    monkeypatch.setattr(tokens, "_learn", lambda pieces: (learned.extend(pieces.to_pylist()), learn(pieces)))
+    letters = "bcdfghjklmnpqrst"
+    for k in range(30):
+        text = "often used words " + " ".join(f"{letters[k % 16]}{x}{y}a" for x in letters[k // 16 : k // 16 + 3] for y in "aeio")
+        (ids,) = tokens.ids([text])
+        assert np.frombuffer(ids, np.uint32).tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(tokens.known) == len(tokens.begins) == len(tokens.sizes) == len(tokens.again) <= 40
+    assert [learned.count(w) for w in (b"often", b" used", b" words")] == [1, 1, 1] and len(learned) > 300
+
+
 def expected_ids(rows):
     from tokenizers import Tokenizer
 
